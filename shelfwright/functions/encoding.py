@@ -11,9 +11,7 @@ per row.
 
 from __future__ import annotations
 
-import codecs
-
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._util import col
@@ -91,48 +89,66 @@ def utf8_valid(content) -> Column:
 _HEAD_BYTES = 4096
 
 
-def _declaration_status(text: Column) -> tuple[Column, Column]:
-    has_decl = F.startswith(text, F.lit("<?xml"))
-    closed = F.locate("?>", text) > 0
+def declaration_head(content) -> Column:
+    """The bytes the declaration is looked for in, decoded as Latin-1: the
+    first few KiB, or the whole file when a declaration starts but does not
+    end there (rare, so the whole-file decode runs only for those rows)."""
+    content = col(content)
+    head = _latin1(F.substring(content, 1, _HEAD_BYTES))
+    need_whole = (F.startswith(head, F.lit("<?xml")) & (F.locate("?>", head) == 0)
+                  & (F.octet_length(content) > _HEAD_BYTES))
+    return F.when(need_whole, _latin1(content)).otherwise(head)
+
+
+def encoding_from_head(head) -> Column:
+    """B1 on :func:`declaration_head`: the lower-cased ``encoding="..."``
+    value, ``utf-8`` without declaration or attribute, NULL when the
+    declaration never ends."""
+    text = col(head)
     decl = F.substring_index(text, "?>", 1)
-    value = F.regexp_extract(decl, r'encoding="([^"]*)"', 1)
-    matched = decl.rlike(r'encoding="[^"]*"')
-    enc = (F.when(~has_decl, F.lit(UTF8))
-           .when(~closed, F.lit(None).cast("string"))
-           .when(matched, F.lower(value))
-           .otherwise(F.lit(UTF8)))
-    err = F.when(has_decl & ~closed, F.lit("XML declaration incomplete"))
-    return enc, err
+    return (F.when(~F.startswith(text, F.lit("<?xml")), F.lit(UTF8))
+            .when(F.locate("?>", text) == 0, F.lit(None).cast("string"))
+            .when(decl.rlike(r'encoding="[^"]*"'), F.lower(F.regexp_extract(decl, r'encoding="([^"]*)"', 1)))
+            .otherwise(F.lit(UTF8)))
+
+
+def declaration_error(head) -> Column:
+    text = col(head)
+    return F.when(F.startswith(text, F.lit("<?xml")) & (F.locate("?>", text) == 0),
+                  F.lit("XML declaration incomplete"))
 
 
 def declared_encoding(content) -> Column:
-    """B1: encoding named by the XML declaration, as ``struct(encoding, error)``.
+    """B1: encoding named by the XML declaration of ``content`` (binary).
 
     Only a file starting with ``<?xml`` has a declaration; it runs to the
     first ``?>``.  ``encoding="..."`` (double quotes only) gives the
     lower-cased value; no attribute, no closing quote or no declaration
-    give ``utf-8``; a declaration that never ends is an error.
+    give ``utf-8``; a declaration that never ends gives NULL (see
+    :func:`declaration_error`).  Prefer :func:`decode_books` on
+    DataFrames: it evaluates the head once.
     """
-    content = col(content)
-    head = _latin1(F.substring(content, 1, _HEAD_BYTES))
-    whole = _latin1(content)
-    need_whole = F.startswith(head, F.lit("<?xml")) & (F.locate("?>", head) == 0) & (
-        F.octet_length(content) > _HEAD_BYTES)
-    text = F.when(need_whole, whole).otherwise(head)
-    enc, err = _declaration_status(text)
-    return F.struct(enc.alias("encoding"), err.alias("error"))
+    return encoding_from_head(declaration_head(content))
 
 
-def decode_book(content) -> Column:
-    """Bytes of one FB2 file -> ``struct(encoding, text, error)``.
+def decode_books(df: DataFrame, content: str = "content") -> DataFrame:
+    """B1-B4 as DataFrame stages: adds ``encoding``, ``error`` (kept if
+    already present and non-NULL) and ``text``.
 
-    Chains B1 -> B4 -> B3/B2.  One bad file becomes an error string, never an
-    exception.
+    Each intermediate is its own column, so the optimizer evaluates it once
+    instead of inlining it at every use.  One bad file becomes an error
+    string, never an exception.
     """
-    decl = declared_encoding(content)
-    enc = decl["encoding"]
-    error = (F.when(decl["error"].isNotNull(), decl["error"])
-             .when(~encoding_supported(enc), F.concat(F.lit("unsupported encoding: "), enc))
-             .when((enc == UTF8) & ~utf8_valid(content), F.lit("malformed UTF-8")))
-    text = F.when(error.isNull(), recode(content, enc))
-    return F.struct(enc.alias("encoding"), text.alias("text"), error.alias("error"))
+    c = F.col(content)
+    prior = F.col("error") if "error" in df.columns else F.lit(None).cast("string")
+    df = df.withColumn("_head", declaration_head(c))
+    df = (df.withColumn("encoding", encoding_from_head(F.col("_head")))
+            .withColumn("_decl_error", declaration_error(F.col("_head"))))
+    enc = F.col("encoding")
+    err = F.coalesce(
+        prior, F.col("_decl_error"),
+        F.when(~encoding_supported(enc), F.concat(F.lit("unsupported encoding: "), enc)),
+        F.when((enc == UTF8) & ~utf8_valid(c), F.lit("malformed UTF-8")))
+    df = df.withColumn("error", err)
+    df = df.withColumn("text", F.when(F.col("error").isNull(), recode(c, enc)))
+    return df.drop("_head", "_decl_error")

@@ -152,8 +152,12 @@ def book_metadata(df: DataFrame, text: str = "text", path: str = "path",
               .when(ntitle.isNull(), F.lit(R_EMPTY_TITLE)))
     if "error" in df.columns:
         reason = F.coalesce(F.col("error"), reason)
+    # The parse is produced by a Generate node: a filter on the reject reason
+    # (or on any column derived from the parse) then stays above it instead
+    # of being pushed down with from_xml and the decode chain substituted
+    # into it at every reference.
     return (df
-            .withColumn("_x", parsed)
+            .select("*", F.explode(F.array(parsed)).alias("_x"))
             .select(
                 *[c for c in df.columns if c not in (text, "error")],
                 title.alias("title"),

@@ -162,13 +162,14 @@ def render_library(spark: SparkSession, d: str) -> DataFrame:
     decl = (F.when(m == 1, F.lit('<?xml version="1.0" encoding="windows-1252"?>\n'))
             .when(m == 2, F.lit('<?xml version="1.0" encoding="ISO-8859-1"?>\n'))
             .otherwise(F.lit('<?xml version="1.0" encoding="utf-8"?>\n')))
-    xml = fb2_text(src, declaration=decl)
-    raw = F.when(m == 0, F.encode(xml, "UTF-8")).otherwise(F.encode(xml, "ISO-8859-1"))
+    xml = src.select("doc_id", "path", fb2_text(src, declaration=decl).alias("xml"))
+    raw = xml.select("doc_id", "path", F.when(m == 0, F.encode("xml", "UTF-8"))
+                     .otherwise(F.encode("xml", "ISO-8859-1")).alias("raw"))
     is_zip = F.col("path").endswith(".fb2.zip")
     inner = F.regexp_replace(F.regexp_extract(F.col("path"), r"([^/]*)$", 1), r"\.zip$", "")
-    zipped = zip_single(F.when(is_zip, inner), F.when(is_zip, raw))
-    content = F.when(is_zip, zipped).otherwise(raw)
-    return src.select("doc_id", "path", content.alias("content"))
+    zipped = raw.withColumn("_zip", zip_single(F.when(is_zip, inner), F.when(is_zip, F.col("raw"))))
+    content = F.when(is_zip, F.col("_zip")).otherwise(F.col("raw"))
+    return zipped.select("doc_id", "path", content.alias("content"))
 
 
 # ------------------------------------------------------------- large catalogue

@@ -210,7 +210,7 @@ links AS (
   UNION ALL SELECT DISTINCT book_id, person_id, book_no FROM cat_links_k WHERE book_no % 2 = 0)
 SELECT 'duplicate_digest' AS rule, digest AS key, count(*) AS n FROM books GROUP BY digest HAVING count(*) > 1
 UNION ALL SELECT 'duplicate_book_id', CAST(id AS VARCHAR), count(*) FROM books GROUP BY id HAVING count(*) > 1
-UNION ALL SELECT 'duplicate_person_name', normalized_name, count(*) FROM persons GROUP BY 1 HAVING count(*) > 1
+UNION ALL SELECT 'duplicate_person_name', normalized_name, count(*) FROM persons GROUP BY normalized_name HAVING count(*) > 1
 UNION ALL SELECT 'duplicate_person_id', CAST(id AS VARCHAR), count(*) FROM persons GROUP BY id HAVING count(*) > 1
 UNION ALL SELECT 'duplicate_link', concat(book_id, '|', person_id), count(*) FROM links GROUP BY book_id, person_id HAVING count(*) > 1
 UNION ALL SELECT 'dangling_link_book', CAST(book_id AS VARCHAR), count(*) FROM links WHERE book_no % 10 = 0 GROUP BY book_id"""

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.encoding import decode_book
+from ..functions.encoding import decode_books
 from ..operators.aliases import resolve_aliases
 from ..operators.blacklist import basename, exclude_blacklisted, only_blacklisted
 from ..operators.catalog import Catalog, build_catalog, upsert
@@ -23,13 +23,11 @@ def decoded(files: DataFrame, path: str = "path", content: str = "content") -> D
     """Bytes -> ``(path, basename, encoding, text, error)``; the binary
     column is dropped here, before anything shuffles."""
     opened = open_books(files, path, content)
-    dec = decode_book(F.col(content))
     keep = [c for c in files.columns if c not in (path, content, "basename", "length",
-                                                  "modificationTime")]
-    return (opened.withColumn("_d", dec)
-            .select(F.col(path).alias("path"), basename(F.col(path)).alias("basename"), *keep,
-                    F.col("_d.encoding").alias("encoding"), F.col("_d.text").alias("text"),
-                    F.coalesce(F.col("error"), F.col("_d.error")).alias("error")))
+                                                  "modificationTime", "encoding", "text", "error")]
+    dec = decode_books(opened, content)
+    return dec.select(F.col(path).alias("path"), basename(F.col(path)).alias("basename"), *keep,
+                      "encoding", "text", "error")
 
 
 def parse_library(files: DataFrame, author_scope: str = "all") -> DataFrame:

@@ -245,10 +245,9 @@ def declared_encoding_q(spark: SparkSession, d: str) -> DataFrame:
     decl = None
     for i, s in enumerate(_DECLS):
         decl = F.when(m == i, F.lit(s + "\n")) if decl is None else decl.when(m == i, F.lit(s + "\n"))
-    content = F.encode(X.fb2_text(src, declaration=decl), "UTF-8")
-    e = declared_encoding(content)
-    return src.select("doc_id", e["encoding"].alias("encoding"),
-                      encoding_supported(e["encoding"]).alias("supported"))
+    files = src.select("doc_id", F.encode(X.fb2_text(src, declaration=decl), "UTF-8").alias("content"))
+    enc = files.select("doc_id", declared_encoding(F.col("content")).alias("encoding"))
+    return enc.select("doc_id", "encoding", encoding_supported(F.col("encoding")).alias("supported"))
 
 
 def recode_charsets(spark: SparkSession, d: str) -> DataFrame:
