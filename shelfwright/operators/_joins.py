@@ -14,8 +14,14 @@ BROADCAST_MAX_ROWS = 1_000_000
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """``broadcast(df)`` when ``df`` provably has <= ``max_rows`` rows, else ``df``.
 
-    The check reads at most ``max_rows + 1`` rows, so it stays cheap even
-    when the side turns out to be large.
+    The side is persisted first, so the check (which reads at most
+    ``max_rows + 1`` rows) and the broadcast share one computation; a side
+    that turns out large is released again and left to a shuffle join,
+    which AQE may still turn into a broadcast from exact runtime sizes.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    cached = df.persist()
+    n = cached.limit(max_rows + 1).count()
+    if n <= max_rows:
+        return F.broadcast(cached)
+    cached.unpersist()
+    return df

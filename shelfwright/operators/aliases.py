@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions._util import col
-from ..functions.normalize import alias_key, person_from_string
+from ..functions.normalize import alias_key, name_parts, person_from_string, person_key
 from ._joins import bounded_broadcast
 from .metadata import PERSON
 
@@ -21,19 +21,22 @@ def alias_table(raw: DataFrame, canonical: str = "canonical", alias: str = "alia
 
     The canonical string is parsed as ``Last [First [Middle]]`` (D5); the
     alias is matched on its normalised parts.  When an alias repeats, the
-    later position wins.  Canonical strings that cannot be parsed are kept
-    out (see :func:`alias_errors`).  Output: ``alias_key, canonical`` (a
-    person struct).  Equal positions fall back to the alias text, so the
-    choice is deterministic.
+    later position wins (equal positions fall back to the alias text, so
+    the choice is deterministic).  Canonical strings that cannot be parsed
+    are kept out (see :func:`alias_errors`).  Output: ``alias_key,
+    canonical`` (a person struct).  Each step is its own projection so the
+    normaliser runs once per value.
     """
-    parsed = raw.select(
-        alias_key(F.col(alias)).alias("alias_key"),
-        person_from_string(F.col(canonical)).alias("_p"),
-        F.col(position).alias("_pos"),
-        F.col(alias).alias("_alias"),
-    ).filter(F.col("alias_key").isNotNull() & F.col("_p.error").isNull())
-    person = F.struct(*[F.col("_p")[f].alias(f) for f in PERSON.fieldNames()])
-    return (parsed.groupBy("alias_key")
+    s = raw.select(alias_key(F.col(alias)).alias("alias_key"),
+                   name_parts(F.col(canonical)).alias("_parts"),
+                   F.col(position).alias("_pos"), F.col(alias).alias("_alias"))
+    s = s.select("alias_key", "_pos", "_alias", F.size("_parts").alias("_n"),
+                 F.get(F.col("_parts"), 0).alias("last_name"), F.get(F.col("_parts"), 1).alias("first_name"),
+                 F.get(F.col("_parts"), 2).alias("middle_name"))
+    s = s.withColumn("id", person_key(F.col("last_name"), F.col("first_name"), F.col("middle_name")))
+    s = s.filter(F.col("alias_key").isNotNull() & F.col("_n").between(1, 3) & F.col("id").isNotNull())
+    person = F.struct(*[F.col(f) for f in PERSON.fieldNames()])
+    return (s.groupBy("alias_key")
             .agg(F.max_by(person, F.struct(F.col("_pos"), F.col("_alias"))).alias("canonical")))
 
 

@@ -48,6 +48,7 @@ def stream_library(spark: SparkSession, source: str | DataFrame, catalog_root: s
     """
     if isinstance(source, str):
         reader = (spark.readStream.format("binaryFile")
+                  .schema("path string, modificationTime timestamp, length bigint, content binary")
                   .option("recursiveFileLookup", "true")
                   .option("pathGlobFilter", BOOK_GLOB))
         if max_files_per_trigger:
