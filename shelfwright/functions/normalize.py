@@ -33,6 +33,12 @@ def letters_only(c) -> Column:
     return F.regexp_replace(F.translate(col(c), YO_CHARS, YO_TARGET), _NOT_ALPHABETIC, "")
 
 
+def _title_case(s) -> Column:
+    """First letter upper case (full mapping), the rest lower case."""
+    rest = F.lower(F.translate(F.substring(s, 2, _MAX), "Σ", "σ"))
+    return F.concat(F.upper(F.substring(s, 1, 1)), rest)
+
+
 def norm_chunk(c) -> Column:
     """Letters only, first letter upper case, the rest lower case.
 
@@ -41,14 +47,17 @@ def norm_chunk(c) -> Column:
     the position of the letter in the word (per-character mapping).
     Empty -> NULL.
     """
-    s = letters_only(c)
-    rest = F.lower(F.translate(F.substring(s, 2, _MAX), "Σ", "σ"))
-    return F.nullif(F.concat(F.upper(F.substring(s, 1, 1)), rest), F.lit(""))
+    return F.nullif(_title_case(letters_only(c)), F.lit(""))
 
 
 def norm_name(c) -> Column:
-    """Split on ``-``, normalise each chunk, drop empty ones, join with ``-``."""
-    parts = F.filter(F.transform(F.split(col(c), "-"), norm_chunk), lambda x: x.isNotNull())
+    """Split on ``-``, normalise each chunk, drop empty ones, join with ``-``.
+
+    The letter filter runs once per chunk (first ``transform``), the case
+    mapping on its result (second ``transform``).
+    """
+    letters = F.transform(F.split(col(c), "-"), letters_only)
+    parts = F.filter(F.transform(letters, _title_case), lambda x: x != "")
     return F.nullif(F.array_join(parts, "-"), F.lit(""))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions._util import col
+from ..functions._util import col, evaluate_once
 from ..functions.normalize import BLANKS, norm_title, person_key
 
 _S = T.StringType()
@@ -152,12 +152,10 @@ def book_metadata(df: DataFrame, text: str = "text", path: str = "path",
               .when(ntitle.isNull(), F.lit(R_EMPTY_TITLE)))
     if "error" in df.columns:
         reason = F.coalesce(F.col("error"), reason)
-    # The parse is produced by a Generate node: a filter on the reject reason
-    # (or on any column derived from the parse) then stays above it instead
-    # of being pushed down with from_xml and the decode chain substituted
-    # into it at every reference.
-    return (df
-            .select("*", F.explode(F.array(parsed)).alias("_x"))
+    # evaluate_once: a filter on the reject reason (or any column derived
+    # from the parse) then stays above the parse instead of being pushed down
+    # with from_xml and the decode chain substituted at every reference.
+    return (evaluate_once(df, "_x", parsed)
             .select(
                 *[c for c in df.columns if c not in (text, "error")],
                 title.alias("title"),

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions._util import evaluate_once
 from ..functions.normalize import norm_title, person_key, trim_to_null
 from ..operators.aliases import dedupe_authors
 from ..operators.metadata import PERSON
@@ -28,8 +29,18 @@ DIGITS = "0123456789"
 DIGIT_LETTERS = "abcdefghij"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan over the cluster when it yields fewer input partitions
+    than there are cores (a small file with one row group is read by one
+    task, and every narrow expression after it would run in that task).
+    A large input already has more splits than cores and is left alone, so
+    this never adds a shuffle at scale."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{d.rstrip('/')}/{name}.parquet"))
 
 
 def book_src(spark: SparkSession, d: str) -> DataFrame:
@@ -38,7 +49,7 @@ def book_src(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     ext = F.when(F.col("doc_id") % 7 == 0, F.lit(".fb2.zip")).otherwise(F.lit(".fb2"))
     return docs.select(
-        "doc_id", "n_chars", "text",
+        "doc_id", "n_chars", "text",  # text is pruned by Catalyst where unused
         F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), ext).alias("path"),
         F.concat(F.col("doc_id").cast("string"), ext).alias("basename"),
         F.split_part(F.col("text"), F.lit("\n"), F.lit(1)).alias("title"),
@@ -46,7 +57,10 @@ def book_src(spark: SparkSession, d: str) -> DataFrame:
         F.col("source").alias("genre"),
         F.when(F.col("n_chars") % 5 != 0, F.col("n_chars").cast("string")).alias("ext_id"),
         F.when(F.col("n_chars") % 3 != 0, F.lit("1.0")).alias("version"),
-        F.split(F.trim(F.col("text")), r"\s+").alias("w"),
+        # Only words 1-5 are ever used: with limit 6 the split stops after the
+        # fifth separator (the sixth element holds the rest of the text
+        # unsplit), which gives exactly the same first five words.
+        F.split(F.trim(F.col("text")), r"\s+", 6).alias("w"),
     )
 
 
@@ -87,8 +101,9 @@ def parsed_books(spark: SparkSession, d: str) -> DataFrame:
     src = book_src(spark, d)
     people = F.transform(raw_authors(src), _person)
     authors = dedupe_authors(F.filter(people, lambda p: p["id"].isNotNull())).cast(T.ArrayType(PERSON))
+    src = evaluate_once(src, "norm_title", norm_title(F.col("title")))
     return src.select(
-        "doc_id", "path", "basename", "title", norm_title(F.col("title")).alias("norm_title"),
+        "doc_id", "path", "basename", "title", "norm_title",
         "ext_id", "version", "lang", "genre",
         F.regexp_replace(F.col("basename"), r"\.[^.]*$", "").alias("filename"),
         F.lit("utf-8").alias("encoding"),
