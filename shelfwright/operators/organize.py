@@ -53,7 +53,7 @@ def unique_destination(plan: DataFrame, target: str, path: str = "path") -> Data
     g = ["author_dir", "dest_name"]
     ranked = group_ordinal(plan.select(*g, path), g, [path], out="rank")
 
-    used = (plan.select("author_dir",
+    used = (ranked.select("author_dir",
                         F.regexp_extract("dest_name", _NUMBERED, 1).alias("base"),
                         F.regexp_extract("dest_name", _NUMBERED, 2).alias("k_txt"))
             .filter(F.col("k_txt") != "")

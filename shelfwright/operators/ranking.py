@@ -44,9 +44,13 @@ def group_ordinal(df: DataFrame, group_cols: list[str], order_cols: list[str],
     keys = group_cols + order_cols
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    s = (df.select(*keys).orderBy(*keys)
+    # the range sort samples its input before sorting it: persist the key
+    # columns so that the input is computed once, not once per pass
+    key_df = df.select(*keys).persist()
+    s = (key_df.orderBy(*keys)
          .withColumn("_mid", F.monotonically_increasing_id())
          .checkpoint(eager=True))
+    key_df.unpersist()
     s = s.select(*keys,
                  F.shiftright(F.col("_mid"), _LOCAL_BITS).alias("_pid"),
                  (F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))).alias("_loc"))
@@ -56,4 +60,6 @@ def group_ordinal(df: DataFrame, group_cols: list[str], order_cols: list[str],
     per = per.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
     ranked = _null_safe_join(s, per, group_cols + ["_pid"])
     ranked = ranked.select(*keys, (F.col("_off") + F.col("_loc") - F.col("_first")).alias(out))
+    if set(df.columns) == set(keys):
+        return ranked
     return _null_safe_join(df, ranked, keys)
