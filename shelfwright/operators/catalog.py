@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.digest import hex_id, stable_id
+from ._joins import bounded_broadcast
 from .identity import dedupe_books, with_digest
 
 _S = T.StringType()
@@ -129,27 +130,46 @@ def build_links(parsed: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------- upsert
 
-def upsert_books(cat_books: DataFrame, batch: Catalog) -> DataFrame:
+def _not_in_catalog(batch: DataFrame, table: DataFrame, keys: list[str],
+                    small_batch: bool = True) -> DataFrame:
+    """``batch LEFT ANTI table`` on ``keys``.
+
+    ``small_batch`` (a micro-batch against a big catalogue): the catalogue
+    keys are first semi-joined against the batch keys, broadcast when their
+    size is proven small, so the catalogue is only scanned -- never
+    shuffled -- per batch; the remaining anti-join is between two
+    batch-sized inputs.  Otherwise (a bulk load): one shuffled anti-join.
+    """
+    if not small_batch:
+        return batch.join(table.select(*keys), keys, "left_anti")
+    wanted = bounded_broadcast(batch.select(*keys).distinct())
+    present = table.select(*keys).join(wanted, keys, "left_semi")
+    return batch.join(present, keys, "left_anti")
+
+
+def upsert_books(cat_books: DataFrame, batch: Catalog, small_batch: bool = True) -> DataFrame:
     """Rows of the batch whose digest is not catalogued yet (never update)."""
-    return batch.books.join(cat_books.select("digest"), "digest", "left_anti").select(*BOOKS_SCHEMA.fieldNames())
+    return (_not_in_catalog(batch.books, cat_books, ["digest"], small_batch)
+            .select(*BOOKS_SCHEMA.fieldNames()))
 
 
-def upsert_persons(cat_persons: DataFrame, batch: Catalog) -> DataFrame:
+def upsert_persons(cat_persons: DataFrame, batch: Catalog, small_batch: bool = True) -> DataFrame:
     """Find-or-insert persons; an existing name is a no-op."""
-    return (batch.persons.join(cat_persons.select("normalized_name"), "normalized_name", "left_anti")
+    return (_not_in_catalog(batch.persons, cat_persons, ["normalized_name"], small_batch)
             .select(*PERSONS_SCHEMA.fieldNames()))
 
 
-def upsert_links(cat_links: DataFrame, batch: Catalog) -> DataFrame:
+def upsert_links(cat_links: DataFrame, batch: Catalog, small_batch: bool = True) -> DataFrame:
     """Links of new and existing books that are still missing."""
-    return batch.links.join(cat_links, ["book_id", "person_id"], "left_anti")
+    return _not_in_catalog(batch.links, cat_links, ["book_id", "person_id"], small_batch)
 
 
-def upsert(cat: Catalog, parsed_batch: DataFrame) -> Catalog:
+def upsert(cat: Catalog, parsed_batch: DataFrame, small_batch: bool = True) -> Catalog:
     """G4-G6 together: the rows to append for a batch of parsed books."""
     batch = build_catalog(parsed_batch)
-    return Catalog(upsert_books(cat.books, batch), upsert_persons(cat.persons, batch),
-                   upsert_links(cat.links, batch))
+    return Catalog(upsert_books(cat.books, batch, small_batch),
+                   upsert_persons(cat.persons, batch, small_batch),
+                   upsert_links(cat.links, batch, small_batch))
 
 
 def union_catalog(a: Catalog, b: Catalog) -> Catalog:

@@ -103,19 +103,19 @@ def _batch(spark: SparkSession, d: str) -> G.Catalog:
 
 def upsert_books(spark: SparkSession, d: str) -> DataFrame:
     cat, batch = _existing(spark, d), _batch(spark, d)
-    new = G.upsert_books(cat.books, batch)
+    new = G.upsert_books(cat.books, batch, small_batch=False)   # bulk load: all keys
     return cat.books.unionByName(new).select("id", "digest", "title", "encoding", "filename")
 
 
 def upsert_persons(spark: SparkSession, d: str) -> DataFrame:
     cat, batch = _existing(spark, d), _batch(spark, d)
-    new = G.upsert_persons(cat.persons, batch)
+    new = G.upsert_persons(cat.persons, batch, small_batch=False)
     return cat.persons.unionByName(new).select("id", "normalized_name", "first_name")
 
 
 def upsert_links(spark: SparkSession, d: str) -> DataFrame:
     cat, batch = _existing(spark, d), _batch(spark, d)
-    return cat.links.unionByName(G.upsert_links(cat.links, batch))
+    return cat.links.unionByName(G.upsert_links(cat.links, batch, small_batch=False))
 
 
 def find_person(spark: SparkSession, d: str) -> DataFrame:

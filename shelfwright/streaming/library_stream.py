@@ -13,8 +13,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.catalog import Catalog
-from ..plans.pipeline import index
+from ..operators.aliases import resolve_aliases
+from ..operators.catalog import upsert
+from ..operators.metadata import split_accepted
+from ..plans.pipeline import _not_black, parse_library
 from ..session import ensure_checkpoint_dir, scratch_path
 from ..sources.library import BOOK_GLOB, read_catalog, write_catalog
 
@@ -23,14 +25,21 @@ def _index_batch(catalog_root: str, aliases: DataFrame | None, blacklist: DataFr
                  rejects_root: str | None):
     def run(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
-        files = batch.select("path", "content")
-        cat = read_catalog(spark, catalog_root)
-        new, rejects = index(files, aliases=aliases, blacklist=blacklist, catalog=cat)
-        # Each table is guarded by its own anti-join against what is already
-        # written, so the order books -> persons -> links is replay-safe.
-        write_catalog(Catalog(new.books, new.persons, new.links), catalog_root, mode="append")
-        if rejects_root:
-            rejects.withColumn("epoch", F.lit(epoch_id)).write.mode("append").parquet(rejects_root)
+        # the parsed batch feeds three tables (and the rejects): parse once
+        meta = parse_library(_not_black(batch.select("path", "content"), blacklist)).persist()
+        try:
+            ok, rejects = split_accepted(meta)
+            books = resolve_aliases(ok, aliases)
+            new = upsert(read_catalog(spark, catalog_root), books, small_batch=True)
+            # Each table is guarded by its own anti-join against what is
+            # already written, so the order books -> persons -> links is
+            # replay-safe.
+            write_catalog(new, catalog_root, mode="append")
+            if rejects_root:
+                (rejects.select("path", "basename", "reject_reason")
+                 .withColumn("epoch", F.lit(epoch_id)).write.mode("append").parquet(rejects_root))
+        finally:
+            meta.unpersist()
     return run
 
 
