@@ -131,15 +131,27 @@ def declared_encoding(content) -> Column:
     return encoding_from_head(declaration_head(content))
 
 
-def decode_books(df: DataFrame, content: str = "content") -> DataFrame:
+def decode_books(df: DataFrame, content: str = "content", until: str | None = None) -> DataFrame:
     """B1-B4 as DataFrame stages: adds ``encoding``, ``error`` (kept if
     already present and non-NULL) and ``text``.
 
     Each intermediate is its own column, so the optimizer evaluates it once
     instead of inlining it at every use.  One bad file becomes an error
-    string, never an exception.
+    string, never an exception.  With ``until`` (an ASCII marker such as
+    ``</description>``) only the bytes up to and including its first
+    occurrence are checked and decoded -- the metadata reader never looks
+    further, and every supported charset is ASCII-compatible, so the byte
+    search is exact.
     """
     c = F.col(content)
+    if until:
+        # byte offset of the marker: substring_index works on the UTF-8 bytes
+        # of the (unvalidated) string view, octet_length counts them
+        before = F.octet_length(F.substring_index(c.cast("string"), until, 1))
+        found = before < F.octet_length(c)
+        df = df.withColumn("_upto", F.when(found, F.substring(c, F.lit(1), before + len(until)))
+                           .otherwise(c))
+        c = F.col("_upto")
     prior = F.col("error") if "error" in df.columns else F.lit(None).cast("string")
     df = df.withColumn("_head", declaration_head(c))
     df = (df.withColumn("encoding", encoding_from_head(F.col("_head")))
@@ -151,4 +163,4 @@ def decode_books(df: DataFrame, content: str = "content") -> DataFrame:
         F.when((enc == UTF8) & ~utf8_valid(c), F.lit("malformed UTF-8")))
     df = df.withColumn("error", err)
     df = df.withColumn("text", F.when(F.col("error").isNull(), recode(c, enc)))
-    return df.drop("_head", "_decl_error")
+    return df.drop("_head", "_decl_error", "_upto")

@@ -19,20 +19,25 @@ from ..operators.organize import destination, move_plan, unique_destination
 from ..sources.archives import open_books
 
 
-def decoded(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+def decoded(files: DataFrame, path: str = "path", content: str = "content",
+            until: str | None = None) -> DataFrame:
     """Bytes -> ``(path, basename, encoding, text, error)``; the binary
-    column is dropped here, before anything shuffles."""
+    column is dropped here, before anything shuffles.  ``until`` limits the
+    decoding to the bytes up to a marker (see ``decode_books``)."""
     opened = open_books(files, path, content)
     keep = [c for c in files.columns if c not in (path, content, "basename", "length",
                                                   "modificationTime", "encoding", "text", "error")]
-    dec = decode_books(opened, content)
+    dec = decode_books(opened, content, until=until)
     return dec.select(F.col(path).alias("path"), basename(F.col(path)).alias("basename"), *keep,
                       "encoding", "text", "error")
 
 
 def parse_library(files: DataFrame, author_scope: str = "all") -> DataFrame:
-    """Metadata of every file with ``reject_reason`` (K2 threads through)."""
-    return book_metadata(decoded(files), author_scope=author_scope)
+    """Metadata of every file with ``reject_reason`` (K2 threads through).
+
+    Only the bytes up to ``</description>`` are decoded and parsed, as the
+    metadata reader of the command-line tool stops there too."""
+    return book_metadata(decoded(files, until="</description>"), author_scope=author_scope)
 
 
 def _not_black(files: DataFrame, blacklist: DataFrame | None) -> DataFrame:

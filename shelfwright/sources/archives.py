@@ -21,6 +21,17 @@ from pyspark.sql import types as T
 
 BOOK_SUFFIX = ".fb2"
 
+# Ship this module's functions by value with the UDFs, so executors need no
+# copy of the package on their Python path.
+try:
+    import sys as _sys
+
+    from pyspark import cloudpickle as _cloudpickle
+
+    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # noqa: BLE001 - older cloudpickle: fall back to by-reference
+    pass
+
 UNZIPPED = T.StructType([
     T.StructField("content", T.BinaryType()),
     T.StructField("error", T.StringType()),
