@@ -193,21 +193,15 @@ def _letters(c) -> F.Column:
     return F.translate(c, DIGITS, DIGIT_LETTERS)
 
 
-def cat_parsed(spark: SparkSession, d: str, variant: str = "batch") -> DataFrame:
+def cat_parsed_base(spark: SparkSession, d: str) -> DataFrame:
     """Orders as parsed books: title ``Order <key in letters>``, ext_id =
     key, version = status, genre = priority; authors = suppliers of the
-    order's line items, ordered by supplier key.
-
-    ``variant="existing"`` marks rows with encoding ``koi8-r`` and upper-case
-    first names, so that an upsert that wrongly updates shows up.
-    """
+    order's line items, ordered by supplier key (at most 7 per order)."""
     orders = table(spark, d, "orders")
     sup = table(spark, d, "supplier")
     links = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("book_no"),
                                                F.col("l_suppkey").alias("person_no")).distinct()
     first = _letters(F.split_part(F.col("s_name"), F.lit("#"), F.lit(2)))
-    if variant == "existing":
-        first = F.upper(first)
     persons = sup.select(F.col("s_suppkey").alias("person_no"),
                          F.struct(person_key(F.lit("Supplier"), first, F.lit(None).cast("string")).alias("id"),
                                   first.alias("first_name"), F.lit(None).cast("string").alias("middle_name"),
@@ -223,8 +217,21 @@ def cat_parsed(spark: SparkSession, d: str, variant: str = "batch") -> DataFrame
         F.concat(F.lit("Order "), _letters(key)).alias("title"),
         key.alias("ext_id"), F.col("o_orderstatus").alias("version"),
         F.lit(None).cast("string").alias("lang"), F.col("o_orderpriority").alias("genre"),
-        key.alias("filename"),
-        F.lit("koi8-r" if variant == "existing" else "utf-8").alias("encoding"))
+        key.alias("filename"), F.lit("utf-8").alias("encoding"))
     out = books.join(authors, "book_no", "left").withColumn(
         "authors", F.coalesce(F.col("authors"), F.array().cast(T.ArrayType(PERSON))))
-    return out.withColumn("norm_title", norm_title(F.col("title")))
+    return evaluate_once(out, "norm_title", norm_title(F.col("title")))
+
+
+def cat_variant(base: DataFrame, variant: str = "batch") -> DataFrame:
+    """``variant="existing"`` marks rows with encoding ``koi8-r`` and
+    upper-case first names (same person keys), so that an upsert that wrongly
+    updates shows up."""
+    if variant == "batch":
+        return base
+    upper = F.transform("authors", lambda a: a.withField("first_name", F.upper(a["first_name"])))
+    return base.withColumn("authors", upper).withColumn("encoding", F.lit("koi8-r"))
+
+
+def cat_parsed(spark: SparkSession, d: str, variant: str = "batch") -> DataFrame:
+    return cat_variant(cat_parsed_base(spark, d), variant)

@@ -93,28 +93,37 @@ def build_links(spark: SparkSession, d: str) -> DataFrame:
 
 # ---------------------------------------------------------------- G (large catalogue)
 
-def _existing(spark: SparkSession, d: str) -> G.Catalog:
-    return G.build_catalog(X.cat_parsed(spark, d, "existing").filter(F.col("book_no") % 2 == 0))
+def _existing(spark: SparkSession, d: str, base: DataFrame | None = None) -> G.Catalog:
+    base = base if base is not None else X.cat_parsed_base(spark, d)
+    return G.build_catalog(X.cat_variant(base, "existing").filter(F.col("book_no") % 2 == 0))
 
 
-def _batch(spark: SparkSession, d: str) -> G.Catalog:
-    return G.build_catalog(X.cat_parsed(spark, d, "batch"))
+def _batch(spark: SparkSession, d: str, base: DataFrame | None = None) -> G.Catalog:
+    base = base if base is not None else X.cat_parsed_base(spark, d)
+    return G.build_catalog(X.cat_variant(base, "batch"))
+
+
+def _both(spark: SparkSession, d: str) -> tuple[G.Catalog, G.Catalog, DataFrame]:
+    """Existing and batch catalogues from one persisted parse of the orders
+    (both are derived from it by projection)."""
+    base = X.cat_parsed_base(spark, d).persist()
+    return _existing(spark, d, base), _batch(spark, d, base), base
 
 
 def upsert_books(spark: SparkSession, d: str) -> DataFrame:
-    cat, batch = _existing(spark, d), _batch(spark, d)
+    cat, batch, _ = _both(spark, d)
     new = G.upsert_books(cat.books, batch, small_batch=False)   # bulk load: all keys
     return cat.books.unionByName(new).select("id", "digest", "title", "encoding", "filename")
 
 
 def upsert_persons(spark: SparkSession, d: str) -> DataFrame:
-    cat, batch = _existing(spark, d), _batch(spark, d)
+    cat, batch, _ = _both(spark, d)
     new = G.upsert_persons(cat.persons, batch, small_batch=False)
     return cat.persons.unionByName(new).select("id", "normalized_name", "first_name")
 
 
 def upsert_links(spark: SparkSession, d: str) -> DataFrame:
-    cat, batch = _existing(spark, d), _batch(spark, d)
+    cat, batch, _ = _both(spark, d)
     return cat.links.unionByName(G.upsert_links(cat.links, batch, small_batch=False))
 
 
@@ -127,7 +136,8 @@ def find_person(spark: SparkSession, d: str) -> DataFrame:
 
 
 def find_book(spark: SparkSession, d: str) -> DataFrame:
-    return G.find_books(_existing(spark, d).books, _batch(spark, d).books.select("digest"))
+    cat, batch, _ = _both(spark, d)
+    return G.find_books(cat.books, batch.books.select("digest"))
 
 
 def authors_of_books(spark: SparkSession, d: str) -> DataFrame:
@@ -152,9 +162,9 @@ def delete_cascade(spark: SparkSession, d: str) -> DataFrame:
 
 
 def catalog_integrity(spark: SparkSession, d: str) -> DataFrame:
-    cat, batch = _existing(spark, d), _batch(spark, d)
+    cat, batch, base = _both(spark, d)
     naive = G.union_catalog(cat, batch)          # appended without the anti-joins
-    gone = X.cat_parsed(spark, d, "batch").filter(F.col("book_no") % 10 == 0)
+    gone = base.filter(F.col("book_no") % 10 == 0)
     gone = with_digest(gone.select("norm_title", "ext_id", "version", "authors")).select("digest")
     broken = G.Catalog(naive.books.join(gone, "digest", "left_anti"), naive.persons, naive.links)
     # the report reads every table several times: build each one once
