@@ -190,7 +190,9 @@ def explode_archives(archives: DataFrame, existing: DataFrame | None = None, ove
     key = F.struct("archive", "member_path")
     pick = F.max_by(key, key) if overwrite else F.min_by(key, key)
     chosen = members.groupBy("basename").agg(pick.alias("k")).select("basename", "k.*")
-    n = partitions or chosen.sparkSession.sparkContext.defaultParallelism
+    spark = chosen.sparkSession
+    n = partitions or max(spark.sparkContext.defaultParallelism,
+                          int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     spread = chosen.repartitionByRange(n, "archive", "member_path").sortWithinPartitions(
         "archive", "member_path")
     data = spread.select("archive", "member_path", "basename").mapInPandas(_read_members, MEMBER_BYTES)

@@ -127,3 +127,22 @@ def test_catalog_store_and_by_author(spark, tmp_dir):
     back = spark.read.parquet(out)
     assert back.count() == plan.count()
     assert back.select("author_dir", "file_name").distinct().count() == back.count()
+
+
+def test_validate_and_group_commands(spark, tmp_dir):
+    from shelfwright.plans.pipeline import group, validate
+    lib = os.path.join(tmp_dir, "lib")
+    write(f"{lib}/a/good.fb2", BOOK.format(enc="utf-8", t="Книга", a="Автор").encode())
+    write(f"{lib}/a/copy.fb2", BOOK.format(enc="utf-8", t="Книга", a="Автор").encode())
+    write(f"{lib}/b/bad.fb2", b"<FictionBook><description>")
+    write(f"{lib}/b/listed.fb2", b"<broken")
+    files = scan_library(spark, lib)
+    black = spark.createDataFrame([("listed.fb2", "known")], "basename string, comment string")
+    res = {r["basename"]: (r["ok"], r["reason"]) for r in validate(files, black).collect()}
+    assert res == {"good.fb2": (True, None), "copy.fb2": (True, None), "bad.fb2": (False, "malformed XML")}
+    rev = {r["basename"] for r in validate(files, black, reverse=True).collect()}
+    assert rev == {"listed.fb2"}
+    plan, rejects = group(files, "/sorted", blacklist=black)
+    dest = sorted(r["destination"] for r in plan.collect())
+    assert dest == ["/sorted/Автор/Книга(1).fb2", "/sorted/Автор/Книга.fb2"]
+    assert [r["basename"] for r in rejects.collect()] == ["bad.fb2"]
