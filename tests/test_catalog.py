@@ -46,3 +46,21 @@ def test_delete_and_lookup(spark):
     name = cat.persons.first()["normalized_name"]
     assert G.single_id(G.find_person(cat.persons, name), "person") is not None
     assert G.search_titles(cat.books, "").count() == cat.books.count()
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lookups_push_down_to_the_parquet_scan(spark, tmp_dir):
+    from shelfwright.sources.library import read_catalog, write_catalog
+    root = tmp_dir + "/cat"
+    write_catalog(G.build_catalog(X.accepted_books(spark, D)), root)
+    cat = read_catalog(spark, root)
+    p = _plan(G.search_titles(cat.books, "Th"))
+    assert "StringStartsWith(title,Th)" in p
+    assert "ReadSchema: struct<id:bigint,title:string,encoding:string,filename:string>" in p
+    p = _plan(G.find_person(cat.persons, "Supplier Ab"))
+    assert "EqualTo(normalized_name,Supplier Ab)" in p
+    p = _plan(G.find_book(cat.books, "0" * 32).select("id"))
+    assert "EqualTo(digest," in p and "ReadSchema: struct<id:bigint,digest:string>" in p
