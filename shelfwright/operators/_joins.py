@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 # A side is broadcast only if it has at most this many rows (checked with a
 # bounded count); beyond it the join is left to a shuffle join, which AQE
-# can split when one key is hot.
-BROADCAST_MAX_ROWS = 1_000_000
+# can split when one key is hot.  The sides broadcast here are narrow (keys,
+# a short comment or a person struct), so the default bounds a broadcast to
+# a few tens of MB.  Override per session with ``shelfwright.broadcast.maxRows``.
+BROADCAST_MAX_ROWS = 200_000
+MAX_ROWS_CONF = "shelfwright.broadcast.maxRows"
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+def bounded_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """``broadcast(df)`` when ``df`` provably has <= ``max_rows`` rows, else ``df``.
 
     The side is persisted first, so the check (which reads at most
@@ -19,6 +22,8 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Data
     that turns out large is released again and left to a shuffle join,
     which AQE may still turn into a broadcast from exact runtime sizes.
     """
+    if max_rows is None:
+        max_rows = int(df.sparkSession.conf.get(MAX_ROWS_CONF, str(BROADCAST_MAX_ROWS)))
     cached = df.persist()
     n = cached.limit(max_rows + 1).count()
     if n <= max_rows:
