@@ -61,7 +61,7 @@ def recode_charset(content, charset: str) -> Column:
 def recode(content, encoding) -> Column:
     """B2: decode ``content`` (binary) declared as ``encoding`` to a string.
 
-    UTF-8 passes through (see :func:`utf8_text` for the validity test);
+    UTF-8 passes through (see :func:`utf8_valid` for the validity test);
     unsupported encodings give NULL (see :func:`encoding_supported`).
     """
     enc = col(encoding)

@@ -117,7 +117,7 @@ WITH = "WITH " + BASE + "\n"
 WITH_ALIASES = "WITH " + BASE + ",\n" + ALIASES + "\n"
 
 
-def _cat_ctes(existing_filter: str = "") -> str:
+def _cat_ctes() -> str:
     first = "translate(split_part(s_name, '#', 2), '0123456789', 'abcdefghij')"
     return f"""WITH cat_person AS (
   SELECT s_suppkey AS person_no, 'Supplier' AS last_name, {first} AS first_name FROM supplier),
