@@ -93,20 +93,26 @@ def build_links(spark: SparkSession, d: str) -> DataFrame:
 
 # ---------------------------------------------------------------- G (large catalogue)
 
+def _base(spark: SparkSession, d: str) -> DataFrame:
+    """The orders parsed once per query: every catalogue table of the query
+    is derived from this persisted frame instead of re-running the joins."""
+    return X.cat_parsed_base(spark, d).persist()
+
+
 def _existing(spark: SparkSession, d: str, base: DataFrame | None = None) -> G.Catalog:
-    base = base if base is not None else X.cat_parsed_base(spark, d)
+    base = base if base is not None else _base(spark, d)
     return G.build_catalog(X.cat_variant(base, "existing").filter(F.col("book_no") % 2 == 0))
 
 
 def _batch(spark: SparkSession, d: str, base: DataFrame | None = None) -> G.Catalog:
-    base = base if base is not None else X.cat_parsed_base(spark, d)
+    base = base if base is not None else _base(spark, d)
     return G.build_catalog(X.cat_variant(base, "batch"))
 
 
 def _both(spark: SparkSession, d: str) -> tuple[G.Catalog, G.Catalog, DataFrame]:
     """Existing and batch catalogues from one persisted parse of the orders
     (both are derived from it by projection)."""
-    base = X.cat_parsed_base(spark, d).persist()
+    base = _base(spark, d)
     return _existing(spark, d, base), _batch(spark, d, base), base
 
 
@@ -144,20 +150,22 @@ def authors_of_books(spark: SparkSession, d: str) -> DataFrame:
     return G.authors_of(_batch(spark, d)).select("book_id", "person_id", "normalized_name")
 
 
-def _delete_request(spark: SparkSession, d: str) -> DataFrame:
-    cat = X.cat_parsed(spark, d, "batch").filter(F.col("book_no") % 10 == 0)
+def _delete_request(base: DataFrame) -> DataFrame:
+    cat = base.filter(F.col("book_no") % 10 == 0)
     real = with_digest(cat.select("norm_title", "ext_id", "version", "authors")).select("digest")
     fake = cat.select(F.md5(F.concat(F.lit("missing|"), F.col("book_no").cast("string"))).alias("digest"))
     return real.unionByName(fake)
 
 
 def delete_books(spark: SparkSession, d: str) -> DataFrame:
-    _, status = G.delete_books(_batch(spark, d), _delete_request(spark, d))
+    base = _base(spark, d)
+    _, status = G.delete_books(_batch(spark, d, base), _delete_request(base))
     return status
 
 
 def delete_cascade(spark: SparkSession, d: str) -> DataFrame:
-    cat, _ = G.delete_books(_batch(spark, d), _delete_request(spark, d))
+    base = _base(spark, d)
+    cat, _ = G.delete_books(_batch(spark, d, base), _delete_request(base))
     return cat.links
 
 
