@@ -59,6 +59,9 @@ def unique_destination(plan: DataFrame, target: str, path: str = "path") -> Data
             .filter(F.col("k_txt") != "")
             .select("author_dir", "base", F.col("k_txt").cast("bigint").alias("k"))
             .distinct())
+    if used.limit(1).count() == 0:
+        # no literal "name(k)" anywhere: the r-th free number is r itself
+        return _finish(plan, ranked, None, target, path)
     used = group_ordinal(used, ["author_dir", "base"], ["k"], out="i0")
     events = used.select("author_dir", "base", (F.col("k") - F.col("i0") - 1).alias("value"),
                          F.lit(1).alias("kind"), F.col("k").alias("tb"))
@@ -70,7 +73,15 @@ def unique_destination(plan: DataFrame, target: str, path: str = "path") -> Data
     numbers = merged.filter(F.col("kind") == 0).select(
         "author_dir", F.col("base").alias("dest_name"), F.col("value").alias("rank"),
         (F.col("pos") + 1).alias("number"))
-    ranked = ranked.join(numbers, ["author_dir", "dest_name", "rank"], "left")
+    return _finish(plan, ranked, numbers, target, path)
+
+
+def _finish(plan: DataFrame, ranked: DataFrame, numbers: DataFrame | None, target: str,
+            path: str) -> DataFrame:
+    if numbers is None:
+        ranked = ranked.withColumn("number", F.col("rank"))
+    else:
+        ranked = ranked.join(numbers, ["author_dir", "dest_name", "rank"], "left")
     unique = F.when(F.col("rank") == 0, F.col("dest_name")).otherwise(
         F.concat(F.col("dest_name"), F.lit("("), F.col("number").cast("string"), F.lit(")")))
     ranked = ranked.select(path, "rank", unique.alias("unique_name"))

@@ -53,3 +53,10 @@ def test_sanitize(spark):
     got = [r[0] for r in df.select(sanitize(F.col("s"), 5)).collect()]
     # 5 bytes: "Во" is 4 bytes, "Вой" 6 -> cut at the character boundary
     assert got == ["a_b_c…", "unnamed", "Во…", "abcde…"]
+
+
+def test_unique_destination_without_numbered_titles(spark):
+    rows = [(f"in/{i}.fb2", "X", []) for i in range(3)] + [("in/y.fb2", "Y", [])]
+    df = spark.createDataFrame(rows, f"path string, title string, authors array<{PERSON}>")
+    got = sorted(r["unique_name"] for r in unique_destination(destination(df, "lib"), "lib").collect())
+    assert got == ["X", "X(1)", "X(2)", "Y"]
