@@ -49,13 +49,19 @@ def _not_black(files: DataFrame, blacklist: DataFrame | None) -> DataFrame:
 
 
 def index(files: DataFrame, aliases: DataFrame | None = None, blacklist: DataFrame | None = None,
-          catalog: Catalog | None = None, author_scope: str = "all") -> tuple[Catalog, DataFrame]:
+          catalog: Catalog | None = None, author_scope: str = "all",
+          persist: bool = True) -> tuple[Catalog, DataFrame]:
     """``index``: rows to write to the catalogue and the rejected files.
 
     Without ``catalog`` the result is a complete catalogue; with one it is
     the rows to append (G4-G6).
     """
+    # the parse feeds books, persons, links and the rejects: persist it so it
+    # runs once (release with unpersist/clearCache after writing); a caller
+    # that consumes a single output passes persist=False
     meta = parse_library(_not_black(files, blacklist), author_scope)
+    if persist:
+        meta = meta.persist()
     ok, rejects = split_accepted(meta)
     books = resolve_aliases(ok, aliases)
     out = build_catalog(books) if catalog is None else upsert(catalog, books)
@@ -77,7 +83,7 @@ def validate(files: DataFrame, blacklist: DataFrame | None = None, reverse: bool
 def group(files: DataFrame, target: str, aliases: DataFrame | None = None,
           blacklist: DataFrame | None = None, max_len: int = 0) -> tuple[DataFrame, DataFrame]:
     """``group``: the move plan and the rejected files."""
-    meta = parse_library(_not_black(files, blacklist))
+    meta = parse_library(_not_black(files, blacklist)).persist()   # plan + rejects
     ok, rejects = split_accepted(meta)
     books = resolve_aliases(ok, aliases)
     plan = unique_destination(destination(books, target, max_len), target)

@@ -313,7 +313,7 @@ def reject_reasons(spark: SparkSession, d: str) -> DataFrame:
 
 def _index_catalog(spark: SparkSession, d: str) -> G.Catalog:
     files = X.render_library(spark, d)
-    cat, _ = index(files, aliases=_aliases(spark, d))
+    cat, _ = index(files, aliases=_aliases(spark, d), persist=False)   # only books are read
     return cat
 
 

@@ -169,7 +169,9 @@ def list_archive_members(archives: DataFrame, archive: str = "path") -> DataFram
     """Central directories of the archives: one row per ``.fb2`` member
     (directories skipped).  An unreadable archive yields one row with
     ``error`` set."""
-    return archives.select(F.col(archive).alias("archive")).mapInPandas(_list_members, MEMBERS)
+    paths = archives.select(F.col(archive).alias("archive")).distinct()
+    # one listing per archive, spread over tasks by the hash of its path
+    return paths.repartition("archive").mapInPandas(_list_members, MEMBERS)
 
 
 def explode_archives(archives: DataFrame, existing: DataFrame | None = None, overwrite: bool = False,
