@@ -64,3 +64,14 @@ def test_lookups_push_down_to_the_parquet_scan(spark, tmp_dir):
     assert "EqualTo(normalized_name,Supplier Ab)" in p
     p = _plan(G.find_book(cat.books, "0" * 32).select("id"))
     assert "EqualTo(digest," in p and "ReadSchema: struct<id:bigint,digest:string>" in p
+
+
+def test_alias_errors_and_failure_list(spark):
+    from shelfwright.operators.aliases import alias_errors, alias_table
+    from shelfwright.operators.report import failure_list
+    raw = spark.createDataFrame([("Иванов Иван", "Ваня", 0), ("a b c d", "x", 1), ("123", "y", 2)],
+                                "canonical string, alias string, position int")
+    assert sorted(r["canonical"] for r in alias_errors(raw).collect()) == ["123", "a b c d"]
+    assert [r["alias_key"] for r in alias_table(raw).collect()] == ["Ваня"]
+    rej = spark.createDataFrame([("lib/x/bad.fb2.zip", "cannot unzip: bad")], "path string, reject_reason string")
+    assert [tuple(r) for r in failure_list(rej).collect()] == [("bad.fb2.zip", "cannot unzip: bad")]
