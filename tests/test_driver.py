@@ -1,6 +1,7 @@
 """The driver contract: entry() runs, every query has an oracle, and each
 query equals its DuckDB oracle on the smallest scale factor."""
 
+import re
 from collections import Counter
 
 import pytest
@@ -36,10 +37,13 @@ def test_entry(spark):
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(E.oracle_sql()) <= set(E.queries())
+    # the training-data operators that SQL cannot express have tests of their own
+    own = {q for q in E.queries() if not re.match(r"op\d+_|pipeline$", q)}
+    assert own <= set(E.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
 def test_query_matches_oracle(spark, duck, name):
     df = E.queries()[name](spark, D)
     cols = sorted(df.columns)
