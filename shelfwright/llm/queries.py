@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import exact_dedup, packing, quality, secret_scan, url_filter
+from . import edit_fingerprint, exact_dedup, packing, quality, secret_scan, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op2_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         joined.alias("spans"))
 
 
+def op5_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited text."""
+    return edit_fingerprint.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict per document: the largest doc_id of equal texts stays."""
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
@@ -61,4 +66,4 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op2_secret_ledger, op6_exact_dedup, op7_url_filter, op9_quality, op10_pack)}
+        op2_secret_ledger, op5_edit_fingerprint, op6_exact_dedup, op7_url_filter, op9_quality, op10_pack)}
