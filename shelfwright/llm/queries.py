@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import edit_fingerprint, exact_dedup, packing, quality, secret_scan, url_filter
+from . import byte_bpe, edit_fingerprint, exact_dedup, packing, quality, secret_scan, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,15 @@ def op2_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         joined.alias("spans"))
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text, and the bytes that they decode to."""
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    decoded = byte_bpe.decode(encoded, ranks, public_tokenizers.PATTERN)
+    return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                          F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
 def op5_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and of its edited text."""
     return edit_fingerprint.fingerprint_documents(table(spark, sf_dir, "documents"))
@@ -66,4 +75,4 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op2_secret_ledger, op5_edit_fingerprint, op6_exact_dedup, op7_url_filter, op9_quality, op10_pack)}
+        op2_secret_ledger, op3_byte_bpe, op5_edit_fingerprint, op6_exact_dedup, op7_url_filter, op9_quality, op10_pack)}
