@@ -29,6 +29,9 @@ ship_by_value(__name__)
 #: Keys of one bucket on average, and keys of one displacement group.
 BUCKET_KEYS, GROUP_KEYS = 16384, 4
 GROUPS = BUCKET_KEYS // GROUP_KEYS
+#: Displaced keys are taken modulo a prime first: modulo the slots alone, a
+#: step that shares a factor with their number would reach few of them.
+PRIME = 2 ** 31 - 1
 
 _SLOT_SCHEMA = ("bucket long, grp long, slot long, m long, salt long, d long, "
                 "digest string, winner long, n long")
@@ -55,8 +58,7 @@ def _place(a: np.ndarray, b: np.ndarray, c: np.ndarray, grp: np.ndarray, salt: i
     """Displacements and slots of one bucket's keys; None if a group finds no
     free slots with this salt."""
     m = len(a)
-    base = (a + salt * c) % m
-    step = b % m
+    base = a + salt * c
     order = np.argsort(grp, kind="stable")
     ids, starts = np.unique(grp[order], return_index=True)
     ends = np.append(starts[1:], m)
@@ -69,7 +71,7 @@ def _place(a: np.ndarray, b: np.ndarray, c: np.ndarray, grp: np.ndarray, salt: i
             singles.append(keys[0])
             continue
         for block in range(0, 64 * m, 64):
-            tries = (base[keys] + np.arange(block, block + 64)[:, None] * step[keys]) % m
+            tries = (base[keys] + np.arange(block, block + 64)[:, None] * b[keys]) % PRIME % m
             good = free[tries].all(axis=1)
             for t in np.flatnonzero(good):
                 if len(set(tries[t].tolist())) == len(keys):
@@ -128,7 +130,7 @@ def lookup(probes: DataFrame, index: DigestIndex) -> DataFrame:
     at = (_address(probes, index.buckets)
           .join(index.displacements, ["bucket", "grp"], "left")
           .withColumn("slot", F.when(F.col("d") < 0, -1 - F.col("d")).otherwise(
-              F.pmod(F.col("a") + F.col("salt") * F.col("c") + F.col("d") * F.col("b"), F.col("m")))))
+              F.pmod(F.pmod(F.col("a") + F.col("salt") * F.col("c") + F.col("d") * F.col("b"), F.lit(PRIME)), F.col("m")))))
     found = at.join(index.slots, ["bucket", "slot"], "left")
     member = F.col("slot_digest") == F.col("digest")
     return found.select(*probes.columns, F.when(member, F.col("winner")).alias("winner"),
