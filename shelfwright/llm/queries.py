@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import byte_bpe, edit_fingerprint, exact_dedup, packing, quality, secret_scan, url_filter
+from . import byte_bpe, edit_fingerprint, exact_dedup, minhash_join, packing, quality, secret_scan, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,11 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+def op4_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return minhash_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and of its edited text."""
     return edit_fingerprint.fingerprint_documents(table(spark, sf_dir, "documents"))
@@ -75,4 +80,4 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op2_secret_ledger, op3_byte_bpe, op5_edit_fingerprint, op6_exact_dedup, op7_url_filter, op9_quality, op10_pack)}
+        op2_secret_ledger, op3_byte_bpe, op4_minhash_join, op5_edit_fingerprint, op6_exact_dedup, op7_url_filter, op9_quality, op10_pack)}
