@@ -55,3 +55,12 @@ def worker_store() -> dict:
     """A dict that lives as long as the Python worker: tasks that reuse the
     worker find what earlier ones loaded."""
     return sys.__dict__.setdefault("_llm_store", {})
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove shuffle files of finished steps now; it acts
+    when the driver collects its garbage, which may be long after."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()

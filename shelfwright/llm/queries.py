@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import byte_bpe, edit_fingerprint, exact_dedup, minhash_join, packing, quality, secret_scan, url_filter
+from . import byte_bpe, edit_fingerprint, exact_dedup, minhash_join, packing, quality, secret_scan, substring_dedup, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,11 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without repeated 35-word windows."""
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score per document; held-out rows' labels are never read."""
     docs = table(spark, sf_dir, "documents")
@@ -80,4 +85,4 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op2_secret_ledger, op3_byte_bpe, op4_minhash_join, op5_edit_fingerprint, op6_exact_dedup, op7_url_filter, op9_quality, op10_pack)}
+        op2_secret_ledger, op3_byte_bpe, op4_minhash_join, op5_edit_fingerprint, op6_exact_dedup, op7_url_filter, op8_substring_dedup, op9_quality, op10_pack)}
