@@ -99,11 +99,11 @@ def _allowed(n: np.ndarray) -> np.ndarray:
 
 
 def _describe(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, k1, k2, tokens, bits) per row."""
+    """(doc_id, tid, n, k1, k2, tokens, bits) per row; tid is the text's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = batch.column(1)
+            text = batch.column(2)
             for lo, hi in _words.blocks(text):
                 n, keys, tokens, bits = [], [], [], []
                 for s in shingle_sets(text, lo, hi):
@@ -117,12 +117,13 @@ def _describe(docs: DataFrame) -> DataFrame:
                         tokens.append(None)
                         bits.append(None)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array([k[0] for k in keys], pa.int64()),
+                    [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array([k[0] for k in keys], pa.int64()),
                      pa.array([k[1] for k in keys], pa.int64()), pa.array(tokens, pa.binary()), pa.array(bits, pa.binary())],
-                    names=["doc_id", "n", "k1", "k2", "tokens", "bits"])
+                    names=["doc_id", "tid", "n", "k1", "k2", "tokens", "bits"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, tokens binary, bits binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("tid"),
+                       text_or_empty().cast("binary").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, tid long, n long, k1 long, k2 long, tokens binary, bits binary")
 
 
 def _fixed(column: pa.Array, dtype: str, width: int) -> np.ndarray:
@@ -343,8 +344,9 @@ def _partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
+def _components_of_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, tid, n, root, component_id) for every row of ``docs``; root
+    names the component, null for empty sets."""
     partitions = _partitions(docs.sparkSession)
     rows = stage(_describe(docs), "shingled")
     vertices = stage(
@@ -357,16 +359,35 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     for more in leaves[1:]:
         members = members.unionByName(more)
     proposals = stage(_proposals(members, vertices, partitions), "proposals")
-    unstage(*{f: None for f in leaves})
+    unstage(*leaves)
     links = _confirmed(docs, proposals, vertices, partitions)
     roots = components(links).select(F.col("vertex").alias("sid"), "root")
-    owned = stage(vertices.select("sid", "k1", "k2", F.col("doc_key")).join(roots, "sid", "left").select(
+    owned = stage(vertices.select("sid", "k1", "k2", "doc_key").join(roots, "sid", "left").select(
         "k1", "k2", F.coalesce("root", "sid").alias("root"), "doc_key"), "rooted")
     # a vertex's doc_key is its smallest id already
-    smallest = stage(owned.groupBy("root").agg(F.min(F.when(F.col("doc_key") != _LOW_KEY, F.col("doc_key"))).alias("component_id")), "smallest")
-    named = stage(owned.join(smallest, "root").select("k1", "k2", "component_id"), "named")
-    slim = rows.select("doc_id", "n", "k1", "k2").withColumn("k1", F.when(F.col("n") > 0, F.col("k1")))
-    found = slim.join(named, ["k1", "k2"], "left")
+    smallest = stage(owned.groupBy("root").agg(F.min(F.when(
+        F.col("doc_key") != _LOW_KEY, F.col("doc_key"))).alias("component_id")), "smallest")
+    named = stage(owned.join(smallest, "root").select("k1", "k2", "root", "component_id"), "named")
+    # keys of empty sets are nulled: they all are one key
+    slim = rows.select("doc_id", "tid", "n", F.when(F.col("n") > 0, F.col("k1")).alias("k1"), "k2")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
-                        F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return slim.join(named, ["k1", "k2"], "left").select("doc_id", "tid", "n", "root", component.alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
+    return _components_of_rows(docs).select(
+        "doc_id", F.col("n").alias("n_shingles"), "component_id",
+        F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def drop_near_copies(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of every component, that of the smallest id
+    (ties: text hash); rows that repeat both id and text stay alike."""
+    rows = stage(_components_of_rows(docs).filter("root IS NOT NULL"), "near-rows")
+    me = F.struct(F.coalesce("doc_id", F.lit(_LOW_KEY)).alias("id"), F.col("tid").alias("tid"))
+    first = stage(rows.groupBy("root").agg(F.min(me).alias("first")), "near-firsts")
+    gone = rows.join(first, "root").filter(me != F.col("first")).select(me.alias("me")).distinct()
+    named = docs.withColumn("_me", F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOW_KEY)).alias("id"),
+                                            F.xxhash64(text_or_empty()).alias("tid")))
+    return named.join(gone, F.col("_me") == F.col("me"), "left_anti").drop("_me")

@@ -52,5 +52,30 @@ FROM d LEFT JOIN j USING (doc_id)
 """
 
 
+_NORM = r"""trim(regexp_replace(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D\x20]+', ' ', 'g'))"""
+
+_OP1 = f"""
+WITH RECURSIVE m AS (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations),
+own AS (SELECT conv_id, turn, {_NORM.format('x')} AS norm FROM (
+  SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS x FROM m)),
+firsts AS (SELECT conv_id, norm, min(turn) AS turn FROM own WHERE norm <> '' GROUP BY ALL),
+quoted AS (SELECT m.conv_id, m.turn, q.level, o.norm FROM m, (VALUES (1), (2)) AS q(level)
+  JOIN own o ON true WHERE o.conv_id = m.conv_id AND o.turn = m.turn - q.level AND o.norm <> ''),
+votes AS (SELECT q.conv_id, q.turn, q.level, f.turn AS reply_turn, sum(length(q.norm)) AS size
+  FROM quoted q JOIN firsts f ON f.conv_id = q.conv_id AND f.norm = q.norm GROUP BY ALL),
+best AS (SELECT conv_id, turn, reply_turn FROM votes
+  QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, size DESC, reply_turn) = 1),
+totals AS (SELECT conv_id, turn, max(level) AS max_level, count(*) AS n FROM quoted GROUP BY ALL),
+chain AS (SELECT conv_id, turn, turn AS thread_turn, 0 AS depth FROM m
+    WHERE NOT EXISTS (SELECT 1 FROM best b WHERE b.conv_id = m.conv_id AND b.turn = m.turn)
+  UNION ALL SELECT b.conv_id, b.turn, c.thread_turn, c.depth + 1 FROM best b
+    JOIN chain c ON c.conv_id = b.conv_id AND c.turn = b.reply_turn)
+SELECT m.conv_id, m.turn, CASE WHEN b.turn IS NOT NULL THEN m.conv_id END AS reply_conv, b.reply_turn,
+  m.conv_id AS thread_conv, c.thread_turn, c.depth, coalesce(t.max_level, 0) AS max_level,
+  coalesce(t.n, 0) AS n_quoted, coalesce(t.n, 0) AS n_linked, sha256(m.text) AS own_sha256
+FROM m JOIN chain c USING (conv_id, turn) LEFT JOIN best b USING (conv_id, turn) LEFT JOIN totals t USING (conv_id, turn)
+"""
+
+
 def oracles() -> dict[str, str]:
-    return {"op2_secret_ledger": _OP2, "op6_exact_dedup": _OP6, "op7_url_filter": _OP7}
+    return {"op1_quote_links": _OP1, "op2_secret_ledger": _OP2, "op6_exact_dedup": _OP6, "op7_url_filter": _OP7}

@@ -13,13 +13,19 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import byte_bpe, edit_fingerprint, exact_dedup, minhash_join, packing, quality, secret_scan, substring_dedup, url_filter
+from . import byte_bpe, edit_fingerprint, exact_dedup, minhash_join, packing, quality, quote_links, secret_scan, substring_dedup, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, shown as mail with nested quotes, linked back."""
+    mail = quote_links.as_mail(table(spark, sf_dir, "conversations"))
+    return quote_links.link_quotes(mail).withColumn("own_sha256", F.sha2(F.col("own_text").cast("binary"), 256)).drop("own_text")
+
+
 def op2_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets per document, through the blob ledger."""
     docs = table(spark, sf_dir, "documents")
@@ -85,4 +91,4 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op2_secret_ledger, op3_byte_bpe, op4_minhash_join, op5_edit_fingerprint, op6_exact_dedup, op7_url_filter, op8_substring_dedup, op9_quality, op10_pack)}
+        op1_quote_links, op2_secret_ledger, op3_byte_bpe, op4_minhash_join, op5_edit_fingerprint, op6_exact_dedup, op7_url_filter, op8_substring_dedup, op9_quality, op10_pack)}

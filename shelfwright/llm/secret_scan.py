@@ -108,19 +108,28 @@ def update_ledger(versions: DataFrame, ledger: DataFrame | None = None,
     return stage(fresh if ledger is None else ledger.unionByName(fresh), "blob-ledger")
 
 
-def findings(versions: DataFrame, ledger: DataFrame, id_col: str = "doc_id",
-             rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(id, blob, spans) for every row of ``versions``: the current rules'
-    spans as (start, end, kind number, kind), ordered by start, then rule."""
+def blob_findings(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(blob, spans) of blobs with findings by the current rules; spans are
+    (start, end, rule number, kind), ordered by start, then rule.  A written
+    table."""
     rank = F.create_map(*(F.lit(x) for k, r in enumerate(rules) for x in (f"{r.kind}:{r.version}", k)))
     key = F.concat_ws(":", "rule", F.col("version").cast("string"))
-    by_blob = stage(
-        ledger.withColumn("k", F.try_element_at(rank, key)).filter("k IS NOT NULL AND size(spans) > 0")
-        .select("blob", F.expr("transform(spans, s -> struct(s.start AS start, s.end AS end, k AS k, rule AS kind))").alias("spans"))
-        .groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")), "blob-findings")
+    found = ledger.withColumn("k", F.try_element_at(rank, key)).filter("k IS NOT NULL AND size(spans) > 0").select(
+        "blob", F.expr("transform(spans, s -> struct(s.start AS start, s.end AS end, k AS k, rule AS kind))").alias("spans"))
+    # a list per blob and rule: as many rows a blob as there are rules
+    ordered = F.array_sort(F.flatten(F.collect_list("spans")), lambda a, b: F.when(
+        a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["k"] - b["k"]))
+    return stage(found.groupBy("blob").agg(ordered.alias("spans")), "blob-findings")
+
+
+def findings(versions: DataFrame, ledger: DataFrame, id_col: str = "doc_id",
+             rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(id, blob, spans) for every row of ``versions``, see
+    :func:`blob_findings`."""
     at = stage(versions.select(F.col(id_col).alias(id_col), blob_of(text_or_empty()).alias("blob")), "blob-paths")
     none = F.array().cast("array<struct<start:int,end:int,k:int,kind:string>>")
-    return at.join(by_blob, "blob", "left").select(id_col, "blob", F.coalesce("spans", none).alias("spans"))
+    return at.join(blob_findings(ledger, rules), "blob", "left").select(
+        id_col, "blob", F.coalesce("spans", none).alias("spans"))
 
 
 def spans_text(spans: Column) -> Column:
@@ -130,11 +139,10 @@ def spans_text(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, found: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """``docs`` with every span of ``found`` replaced by ``mark``; overlapping
-    spans become one mark, all other rows pass unchanged.  ``found`` has
-    (blob, spans) rows; they are joined by content, so all copies change."""
-    per_blob = found.filter("size(spans) > 0").groupBy("blob").agg(F.first("spans").alias("_spans")) \
-        .withColumnRenamed("blob", "_blob")
+    """``docs`` with every span of ``found`` (:func:`blob_findings`) replaced by
+    ``mark``; overlapping spans become one mark, all other rows pass unchanged.
+    Findings are joined by content, so all copies change."""
+    per_blob = found.select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
     text = F.col("text")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     cut = F.aggregate("_spans", start, lambda acc, s: F.when(s["end"] <= acc["at"], acc).otherwise(F.struct(
