@@ -45,10 +45,11 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def partitions_for(spark: SparkSession, rows: int, per_partition: int) -> int:
-    """Partitions that hold ``per_partition`` rows each, at least the
-    session's shuffle partitions."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_partition))
+def as_row(df: DataFrame, **more: Column) -> DataFrame:
+    """All columns of ``df`` in one struct ``row`` beside ``more``, so that
+    no column of the input can clash with ours; ``select("row.*")`` unpacks."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"),
+                     *(c.alias(name) for name, c in more.items()))
 
 
 def worker_store() -> dict:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ship_by_value, stage, text_or_empty
+from ._common import as_row, ship_by_value, stage, text_or_empty
 
 ship_by_value(__name__)
 
@@ -167,14 +167,13 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` without repeated texts: of equal texts the row with the
     largest doc_id stays, of rows that repeat doc_id and text one."""
     verdicts = stage(exact_dedup(docs), "copies")
-    gone = verdicts.filter(~F.col("kept")).select(
-        F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    twice = (verdicts.filter("kept").groupBy("doc_id", "text_sha256").count().filter("count > 1")
-             .select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")))
-    keyed = docs.withColumn("_digest", digest_of(text_or_empty()))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_sha"))
-    once = keyed.join(gone.unionByName(twice), same, "left_anti").drop("_digest")
+    name = F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha")
+    gone = verdicts.filter(~F.col("kept")).select(*name).distinct()
+    twice = verdicts.filter("kept").groupBy("doc_id", "text_sha256").count().filter("count > 1").select(*name)
+    rows = as_row(docs, doc_id=F.col("doc_id").cast("long"), digest=digest_of(text_or_empty()))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("sha"))
+    once = rows.join(gone.unionByName(twice), same, "left_anti").select("row.*")
     if not twice.take(1):
         return once
-    again = keyed.join(twice, same, "left_semi").dropDuplicates(["doc_id", "_digest"]).drop("_digest")
+    again = rows.join(twice, same, "left_semi").dropDuplicates(["doc_id", "digest"]).select("row.*")
     return once.unionByName(again)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _words
-from ._common import ship_by_value, stage, text_or_empty, unstage
+from ._common import as_row, ship_by_value, stage, text_or_empty, unstage
 from ._components import components
 
 ship_by_value(__name__)
@@ -388,6 +388,6 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     me = F.struct(F.coalesce("doc_id", F.lit(_LOW_KEY)).alias("id"), F.col("tid").alias("tid"))
     first = stage(rows.groupBy("root").agg(F.min(me).alias("first")), "near-firsts")
     gone = rows.join(first, "root").filter(me != F.col("first")).select(me.alias("me")).distinct()
-    named = docs.withColumn("_me", F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOW_KEY)).alias("id"),
-                                            F.xxhash64(text_or_empty()).alias("tid")))
-    return named.join(gone, F.col("_me") == F.col("me"), "left_anti").drop("_me")
+    mine = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOW_KEY)).alias("id"),
+                    F.xxhash64(text_or_empty()).alias("tid"))
+    return as_row(docs, mine=mine).join(gone, F.col("mine") == F.col("me"), "left_anti").select("row.*")

@@ -17,6 +17,7 @@ doc_id) are packed each on its own.  Extra columns are ignored.
 from __future__ import annotations
 
 import heapq
+import json
 import re
 import zlib
 from array import array
@@ -34,8 +35,8 @@ from ._common import ship_by_value, stage, text_or_empty, worker_store
 ship_by_value(__name__)
 
 CAPACITY, MAX_ITEM, GROUP_ITEMS = 4096, 1024, 1024
-#: Words whose ids a Python worker remembers.
-CACHED_WORDS = 1_000_000
+#: Words and pattern matches whose ids a Python worker remembers.
+CACHED_WORDS, CACHED_PIECES = 800_000, 500_000
 
 #: Python splits at these, the tokenizer doesn't: such texts are encoded whole.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -43,39 +44,62 @@ _SEPARATORS = re.compile("[\x1c-\x1f]")
 _BEYOND = re.compile("[̀-\U0010ffff]")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary:
+    printable ones themselves, the others numbered from U+0100."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class WordEncoder:
     """Ids of texts by a tokenizer that drops white space and never joins
-    across it, so a text's ids are those of its words; each word is encoded
-    once and remembered."""
+    across it, so a text's ids are those of its words; each word, and each
+    match of the tokenizer's pattern in one, is encoded once and remembered."""
 
     def __init__(self, path: str) -> None:
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            split = json.load(f)["pre_tokenizer"]["pretokenizers"][0]
+        self.matches = regex.compile(split["pattern"]["Regex"]).findall
+        self.letters = _byte_letters()
         self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def _words(self, text: str) -> list[str]:
         if _SEPARATORS.search(text):
             return [text]
         return (text if _BEYOND.search(text) else text.lower()).split()
 
+    def _word(self, word: str) -> bytes:
+        if _SEPARATORS.search(word) or _BEYOND.search(word):
+            return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        out = []
+        for piece in self.matches(word.lower()):
+            ids = self.pieces.get(piece)
+            if ids is None:
+                letters = piece.encode().decode("latin-1").translate(self.letters)
+                ids = array("I", [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
+                self.pieces[piece] = ids
+            out.append(ids)
+        return b"".join(out)
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         known = self.known
         if len(known) > CACHED_WORDS:
             known.clear()
-        words = [self._words(t) for t in texts]
-        new: set[str] = set()
-        for w in words:
-            new.update(filterfalse(known.__contains__, w))
-        fresh = list(new)
-        for k in range(0, len(fresh), 4096):
-            part = fresh[k:k + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[w] = array("I", e.ids).tobytes()
-        for w in words:
-            yield b"".join(map(known.__getitem__, w))
+        if len(self.pieces) > CACHED_PIECES:
+            self.pieces.clear()
+        for text in texts:
+            words = self._words(text)
+            for word in set(filterfalse(known.__contains__, words)):
+                known[word] = self._word(word)
+            yield b"".join(map(known.__getitem__, words))
 
 
 def _encoder(path: str) -> WordEncoder:

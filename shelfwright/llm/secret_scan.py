@@ -22,7 +22,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import stage, text_or_empty
+from ._common import as_row, stage, text_or_empty
 
 LEDGER_SCHEMA = ("blob string, rule string, version int, "
                  "spans array<struct<start:int,end:int>>")
@@ -142,17 +142,23 @@ def redact(docs: DataFrame, found: DataFrame, mark: str = "[secret]") -> DataFra
     """``docs`` with every span of ``found`` (:func:`blob_findings`) replaced by
     ``mark``; overlapping spans become one mark, all other rows pass unchanged.
     Findings are joined by content, so all copies change."""
-    per_blob = found.select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    text = F.col("text")
+    text = F.col("row.text")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    cut = F.aggregate("_spans", start, lambda acc, s: F.when(s["end"] <= acc["at"], acc).otherwise(F.struct(
+    cut = F.aggregate("spans", start, lambda acc, s: F.when(s["end"] <= acc["at"], acc).otherwise(F.struct(
         s["end"].alias("at"),
         F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(
             acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).alias("out"))),
         lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    joined = docs.withColumn("_blob", blob_of(text_or_empty())).join(per_blob, "_blob", "left")
-    hit = F.col("_spans").isNotNull()
-    changed = joined.withColumn("text", F.when(hit, cut).otherwise(text))
-    if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return changed.select(*(F.col(f"`{c}`") for c in docs.columns))
+    joined = as_row(docs, blob=blob_of(text_or_empty())).join(found.select("blob", "spans"), "blob", "left")
+    hit = F.col("spans").isNotNull()
+    changed = joined.withColumn("new", F.when(hit, cut).otherwise(text))
+
+    def column(c: str) -> Column:
+        old = F.col(f"row.`{c}`")
+        if c == "text":
+            return F.col("new").alias(c)
+        if c == "n_chars":
+            return F.when(hit, F.length("new").cast("long")).otherwise(old).alias(c)
+        return old.alias(c)
+
+    return changed.select(*map(column, docs.columns))
