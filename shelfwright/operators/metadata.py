@@ -4,6 +4,8 @@
 ``from_xml`` in PERMISSIVE mode with a fixed schema replaces the streaming
 tokenizer: a broken file yields ``_corrupt_record`` instead of an
 exception, and the schema prunes everything but the seven paths read.
+Elements match by local name (prefixes are ignored).  A leaf's value is the
+last text directly under it: text inside child elements does not count.
 Every repeatable leaf is an array so "last value wins" can be applied.
 """
 
@@ -17,7 +19,9 @@ from ..functions._util import col, evaluate_once
 from ..functions.normalize import BLANKS, norm_title, person_key
 
 _S = T.StringType()
-_A = T.ArrayType(_S)
+# A leaf: ``_VALUE`` takes the last text chunk directly under the element, so
+# markup inside a title never enters the title.
+_A = T.ArrayType(T.StructType([T.StructField("_VALUE", _S)]))
 
 AUTHOR_XML = T.StructType([
     T.StructField("first-name", _A),
@@ -52,6 +56,7 @@ PERSON = T.StructType([
 ])
 
 XML_OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+METADATA_OPTIONS = XML_OPTIONS | {"ignoreNamespace": "true"}
 
 # Reject reasons.
 R_MALFORMED = "malformed XML"
@@ -60,18 +65,45 @@ R_NO_TITLE = "book has no title"
 R_EMPTY_TITLE = "title normalises to nothing"
 ROOT = "FictionBook"
 
-_DECL = r"^<\?xml[\s\S]*?\?>"
-_ROOT_QNAME = r"^(?:\s|<\?[\s\S]*?\?>|<!--[\s\S]*?-->|<!DOCTYPE[^>]*>)*<([^\s>/!?]+)"
+# No alternation stands under a star: java.util.regex recurses per turn of
+# such a group, and a long prolog would overflow the executor's stack.
+_DECL = r"^\x{FEFF}?<\?xml[\s\S]*?\?>"
+_MISC = r"(<!\[CDATA\[[\s\S]*?\]\]>)|<!--[\s\S]*?-->|<\?[\s\S]*?\?>"
+_DOCTYPE = r"^\s*+<!DOCTYPE[^\[>]*+(?:\[[\s\S]*?\]\s*+)?+>"
+_ROOT_QNAME = r"^\s*+<([^\s>/!?]+)"
+_END_DESCRIPTION = r"</(?:[^\s<>/:]+:)?description\s*+>"
+_CDATA = "<![CDATA["
 
 
 def strip_declaration(text) -> Column:
-    """Drop the XML declaration: the text is already decoded."""
+    """Drop the byte order mark and the XML declaration: the text is already
+    decoded."""
     return F.regexp_replace(col(text), _DECL, "")
 
 
-def root_qname(text) -> Column:
-    """Qualified name of the root element ('' when none is found)."""
-    return F.regexp_extract(col(text), _ROOT_QNAME, 1)
+def _plain_cdata(text: Column) -> Column:
+    """CDATA sections as escaped text, so that what looks like a tag in them
+    is none; an unterminated one stays and fails the parse."""
+    pieces = F.split(text, r"(?=<!\[CDATA\[)|(?<=\]\]>)")
+    inner = lambda p: F.substring(p, len(_CDATA) + 1, F.length(p) - len(_CDATA) - 3)
+    escaped = lambda p: F.replace(F.replace(F.replace(
+        inner(p), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    plain = F.transform(pieces, lambda p: F.when(
+        F.startswith(p, F.lit(_CDATA)) & F.endswith(p, F.lit("]]>")), escaped(p)).otherwise(p))
+    return F.when(F.contains(text, F.lit(_CDATA)), F.array_join(plain, "")).otherwise(text)
+
+
+def without_prolog(text) -> Column:
+    """The document from its root element on: byte order mark, declaration,
+    comments, processing instructions and DOCTYPE removed, CDATA as text."""
+    bare = F.regexp_replace(F.regexp_replace(col(text), r"^\x{FEFF}", ""), _MISC, "$1")
+    return F.regexp_replace(F.regexp_replace(_plain_cdata(bare), _DOCTYPE, ""), r"^\s++", "")
+
+
+def root_qname(bare) -> Column:
+    """Qualified name of the root element of :func:`without_prolog` text
+    ('' when none is found)."""
+    return F.regexp_extract(col(bare), _ROOT_QNAME, 1)
 
 
 def local_name(qname) -> Column:
@@ -89,8 +121,8 @@ def check_wellformed(text) -> Column:
 
 
 def last_value(arr) -> Column:
-    """Last trimmed, non-empty string of an array (NULL when none)."""
-    vals = F.filter(F.transform(col(arr), lambda x: F.trim(x, F.lit(BLANKS))),
+    """Last trimmed, non-empty text of an array of leaves (NULL when none)."""
+    vals = F.filter(F.transform(col(arr), lambda x: F.trim(x["_VALUE"], F.lit(BLANKS))),
                     lambda x: x != "")
     return F.try_element_at(vals, F.lit(-1))
 
@@ -106,14 +138,13 @@ def _persons(authors) -> Column:
     return people
 
 
-def description_text(text) -> Column:
-    """C3 early stop: keep the text up to the first ``</description>`` and
-    close the root, so a broken body never matters."""
-    text = col(text)
-    q = root_qname(text)
-    cut = F.concat(F.substring_index(text, "</description>", 1),
-                   F.lit("</description></"), q, F.lit(">"))
-    return F.when(F.locate("</description>", text) > 0, cut).otherwise(text)
+def description_text(bare) -> Column:
+    """C3 early stop: keep :func:`without_prolog` text up to the first
+    ``</description>`` and close the root, so a broken body never matters."""
+    bare = col(bare)
+    end = F.regexp_extract(bare, _END_DESCRIPTION, 0)
+    cut = F.concat(F.get(F.split(bare, _END_DESCRIPTION, 2), 0), end, F.lit("</"), root_qname(bare), F.lit(">"))
+    return F.when(end != "", cut).otherwise(bare)
 
 
 def book_metadata(df: DataFrame, text: str = "text", path: str = "path",
@@ -127,8 +158,10 @@ def book_metadata(df: DataFrame, text: str = "text", path: str = "path",
     ``author_scope="title_first"`` uses document-info authors only when
     title-info has none.
     """
-    t = F.col(text)
-    parsed = F.from_xml(strip_declaration(description_text(t)), FB2_SCHEMA, XML_OPTIONS)
+    # its own stage: the bare text is read three times below
+    df = evaluate_once(df, "_bare", without_prolog(F.col(text)))
+    t = F.col("_bare")
+    parsed = F.from_xml(description_text(t), FB2_SCHEMA, METADATA_OPTIONS)
     x = F.col("_x")
     d = x["description"]
     ti, di = d["title-info"], d["document-info"]
@@ -157,7 +190,7 @@ def book_metadata(df: DataFrame, text: str = "text", path: str = "path",
     # with from_xml and the decode chain substituted at every reference.
     return (evaluate_once(df, "_x", parsed)
             .select(
-                *[c for c in df.columns if c not in (text, "error")],
+                *[c for c in df.columns if c not in (text, "error", "_bare")],
                 title.alias("title"),
                 ntitle.alias("norm_title"),
                 last_value(di["id"]).alias("ext_id"),

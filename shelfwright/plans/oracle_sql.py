@@ -288,6 +288,14 @@ SELECT doc_id, basename,
        WHEN {nname('t')} IS NULL THEN 'title normalises to nothing' END AS reject_reason
 FROM r"""
 
+    o["fb2_edge_cases"] = WITH + f""", e AS (SELECT doc_id,
+  CASE WHEN doc_id % 8 = 7 THEN 'Last words' ELSE nullif(trim(title), '') END AS title FROM book_src)
+SELECT e.doc_id, e.title, coalesce(a.ids, '') AS author_ids, true AS ok,
+  CASE WHEN e.title IS NULL THEN 'book has no title'
+       WHEN {nname('e.title')} IS NULL THEN 'title normalises to nothing' END AS reject_reason
+FROM e LEFT JOIN (SELECT doc_id, string_agg(id, '|' ORDER BY pos) AS ids FROM authors_k
+                  WHERE id IS NOT NULL GROUP BY doc_id) a USING (doc_id)"""
+
     # ---- end to end
     books_e2e = WITH_ALIASES + f""", rdig AS (
   SELECT t.*, r.ids AS rids,

@@ -20,7 +20,7 @@ from ..operators.metadata import book_metadata, check_wellformed
 from ..operators.organize import destination, move_plan, unique_destination
 from ..operators.report import run_summary
 from . import fixtures as X
-from .pipeline import index
+from .pipeline import index, parse_library, validate
 
 TARGET = "lib"
 
@@ -309,6 +309,41 @@ def reject_reasons(spark: SparkSession, d: str) -> DataFrame:
     return meta.select("doc_id", "basename", "reject_reason")
 
 
+def _edge_forms(src: DataFrame) -> F.Column:
+    """FB2 text of a ``book_src`` row in one of eight unusual but valid forms,
+    chosen by ``doc_id % 8``."""
+    text = X.fb2_text(src)
+    title = F.coalesce(F.col("title"), F.lit(""))
+    tag, end = F.lit("<book-title>"), F.lit("</book-title>")
+    forms = [
+        F.concat(F.lit("\ufeff"), text),
+        F.concat(F.repeat(F.lit("\n"), F.lit(5000)), X.fb2_text(src, declaration=F.lit(""))),
+        F.replace(text, F.lit("<FictionBook>"), F.lit('<!DOCTYPE FictionBook [<!ENTITY a "b>c">]>\n<FictionBook>')),
+        F.replace(F.regexp_replace(text, r"<(/?)([A-Za-z])", "<$1f:$2"), F.lit("<f:FictionBook>"),
+                  F.lit('<f:FictionBook xmlns:f="urn:f">')),
+        F.replace(text, F.lit("<description>"), F.lit("<!-- </description> --><description>")),
+        F.replace(text, end, F.concat(F.lit("<emphasis>and more</emphasis>"), end)),
+        F.replace(text, F.concat(tag, X.xml_escape(title)), F.concat(tag, F.lit("<![CDATA["), title, F.lit("]]>"))),
+        F.replace(F.replace(text, tag, F.concat(tag, F.lit("<strong>"))), end, F.concat(F.lit("</strong> Last words"), end)),
+    ]
+    m = F.col("doc_id") % len(forms)
+    out = F.when(m == 0, forms[0])
+    for k, form in enumerate(forms[1:], 1):
+        out = out.when(m == k, form)
+    return out
+
+
+def fb2_edge_cases(spark: SparkSession, d: str) -> DataFrame:
+    """C1-C5 on byte order marks, long blank prologs, DOCTYPE subsets, prefixed
+    elements, comments, CDATA and markup in titles, from bytes."""
+    src = X.book_src(spark, d)
+    path = F.concat(F.lit("edge/"), F.col("doc_id").cast("string"), F.lit(".fb2"))
+    files = src.select("doc_id", path.alias("path"), F.encode(_edge_forms(src), "UTF-8").alias("content"))
+    meta = parse_library(files).select("doc_id", "path", "title", _ids().alias("author_ids"), "reject_reason")
+    checked = validate(files)
+    return meta.join(checked.select("path", "ok"), "path").drop("path")
+
+
 # ---------------------------------------------------------------- end to end
 
 def _index_catalog(spark: SparkSession, d: str) -> G.Catalog:
@@ -367,6 +402,7 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "wellformed": wellformed,
         "fb2_roundtrip": fb2_roundtrip,
         "reject_reasons": reject_reasons,
+        "fb2_edge_cases": fb2_edge_cases,
         "index_books": index_books,
         "stream_index": stream_index,
     }
