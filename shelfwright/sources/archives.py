@@ -4,9 +4,10 @@
   ``.fb2`` member.  Arrow-batched pandas UDF; callers pass NULL for rows
   that are not zipped, so only zipped bytes cross into Python.
 * :func:`explode_archives` (A2) -- big archives of many books: the central
-  directories are listed first (one small task per archive), the member
-  list is repartitioned, and members are read in parallel, so one huge
-  archive spreads over many tasks and never sits in one binary cell.
+  directories are listed first, many archives a task, and the members are
+  dealt in slices of an archive's bytes, so one huge archive spreads over
+  many tasks and never sits in one binary cell.  Only bytes bounded by
+  ``BATCH_BYTES`` are handed over at once.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import scratch_path
+
 BOOK_SUFFIX = ".fb2"
 
 # Ship this module's functions by value with the UDFs, so executors need no
@@ -101,30 +104,33 @@ def open_books(files: DataFrame, path: str = "path", content: str = "content") -
 
 # ------------------------------------------------------------------ A2: extract
 
-MEMBERS = T.StructType([
-    T.StructField("archive", T.StringType()),
-    T.StructField("member_path", T.StringType()),
-    T.StructField("basename", T.StringType()),
-    T.StructField("size", T.LongType()),
-    T.StructField("error", T.StringType()),
-])
-MEMBER_BYTES = T.StructType([
-    T.StructField("archive", T.StringType()),
-    T.StructField("member_path", T.StringType()),
-    T.StructField("basename", T.StringType()),
-    T.StructField("content", T.BinaryType()),
-    T.StructField("error", T.StringType()),
-])
+#: Bytes of an archive that one task slice covers, and inflated bytes that a
+#: task hands over at once.
+SLICE_BYTES, BATCH_BYTES = 64 << 20, 16 << 20
+
+MEMBERS = "archive string, member_path string, basename string, size long, slice long, error string"
+MEMBER_BYTES = "archive string, member_path string, basename string, content binary, error string"
+
+# The names other readers use for a store, and pyarrow's.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
+
+
+class UnsupportedStore(Exception):
+    """The archive's store can't be read at random places."""
 
 
 def _open(path: str):
     """Random-access file for a local path or any URI pyarrow can open."""
-    from pyarrow import fs
+    from pyarrow import ArrowInvalid, fs
 
-    if "://" in path:
-        filesystem, p = fs.FileSystem.from_uri(path)
-    else:
-        filesystem, p = fs.LocalFileSystem(), path.removeprefix("file:")
+    if "://" not in path:
+        return fs.LocalFileSystem().open_input_file(path.removeprefix("file:"))
+    scheme, rest = path.split("://", 1)
+    uri = f"{SCHEMES.get(scheme, scheme)}://{rest}"
+    try:
+        filesystem, p = fs.FileSystem.from_uri(uri)
+    except ArrowInvalid as e:
+        raise UnsupportedStore(f"no random access to {scheme}:// archives: {e}") from e
     return filesystem.open_input_file(p)
 
 
@@ -137,15 +143,19 @@ def _list_members(batches):
                     for i in z.infolist():
                         if i.is_dir() or not i.filename.endswith(BOOK_SUFFIX):
                             continue
-                        rows.append((a, i.filename, i.filename.rsplit("/", 1)[-1], i.file_size, None))
+                        rows.append((a, i.filename, i.filename.rsplit("/", 1)[-1], i.file_size,
+                                     i.header_offset // SLICE_BYTES, None))
+            except UnsupportedStore:
+                raise  # every archive of this store would fail: stop at once
             except Exception as e:  # noqa: BLE001 - an unreadable archive is reported
-                rows.append((a, None, None, None, f"cannot read archive: {e}"))
-        yield pd.DataFrame(rows, columns=MEMBERS.fieldNames())
+                rows.append((a, None, None, None, None, f"cannot read archive: {e}"))
+        yield pd.DataFrame(rows, columns=["archive", "member_path", "basename", "size", "slice", "error"])
 
 
-def _read_members(batches):
+def _read_members(batches, keep_content: bool = True):
+    columns = ["archive", "member_path", "basename", "content", "error"]
     for pdf in batches:
-        rows = []
+        rows, held = [], 0
         # members of one archive are adjacent after the sort: open it once
         current, handle, z = None, None, None
         try:
@@ -156,22 +166,46 @@ def _read_members(batches):
                             handle.close()
                         current, handle = a, _open(a)
                         z = zipfile.ZipFile(handle)
-                    rows.append((a, m, b, z.read(m), None))
+                    data = z.read(m)
+                    held += len(data)
+                    rows.append((a, m, b, data if keep_content else None, None))
                 except Exception as e:  # noqa: BLE001 - a bad member is skipped, the rest go on
                     rows.append((a, m, b, None, f"cannot inflate: {e}"))
+                if held >= BATCH_BYTES:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, held = [], 0
         finally:
             if handle is not None:
                 handle.close()
-        yield pd.DataFrame(rows, columns=MEMBER_BYTES.fieldNames())
+        yield pd.DataFrame(rows, columns=columns)
+
+
+def _probe_members(batches):
+    """Which members inflate; their bytes stay here."""
+    return _read_members(batches, keep_content=False)
+
 
+def _partitions(df: DataFrame, partitions: int | None) -> int:
+    spark = df.sparkSession
+    return partitions or max(spark.sparkContext.defaultParallelism,
+                             int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
-def list_archive_members(archives: DataFrame, archive: str = "path") -> DataFrame:
+
+def list_archive_members(archives: DataFrame, archive: str = "path", partitions: int | None = None) -> DataFrame:
     """Central directories of the archives: one row per ``.fb2`` member
     (directories skipped).  An unreadable archive yields one row with
-    ``error`` set."""
+    ``error`` set.
+
+    The number of partitions is explicit: paths are so short that adaptive
+    coalescing would put thousands of archives into one task."""
     paths = archives.select(F.col(archive).alias("archive")).distinct()
-    # one listing per archive, spread over tasks by the hash of its path
-    return paths.repartition("archive").mapInPandas(_list_members, MEMBERS)
+    return paths.repartition(_partitions(archives, partitions), "archive").mapInPandas(_list_members, MEMBERS)
+
+
+def _dealt(members: DataFrame, partitions: int) -> DataFrame:
+    """Members by slices of their archive's bytes, in archive order."""
+    return (members.repartition(partitions, "archive", "slice").sortWithinPartitions("archive", "slice", "member_path")
+            .select("archive", "member_path", "basename"))
 
 
 def explode_archives(archives: DataFrame, existing: DataFrame | None = None, overwrite: bool = False,
@@ -180,24 +214,34 @@ def explode_archives(archives: DataFrame, existing: DataFrame | None = None, ove
 
     ``(archive, member_path, basename, content, error)``.  With
     ``overwrite=False`` base names present in ``existing`` (a DataFrame with
-    ``basename``) are skipped and, among equal names, the first
-    ``(archive, member_path)`` is kept; with ``overwrite=True`` the last one
-    wins.  Members that fail to inflate keep a row with ``error`` set.
+    ``basename``) are skipped and, among equal names, the first readable
+    ``(archive, member_path)`` is kept; with ``overwrite=True`` the last
+    readable one wins.  Members that fail to inflate keep a row with
+    ``error`` set and never displace a good copy: names that occur more than
+    once are inflated before their winner is chosen, the others once.
     """
-    members = list_archive_members(archives, archive)
+    spark, n = archives.sparkSession, _partitions(archives, partitions)
+    listing = scratch_path(spark, "members")
+    list_archive_members(archives, archive, partitions).write.parquet(listing)
+    members = spark.read.schema(MEMBERS).parquet(listing)
     bad_archives = members.filter(F.col("error").isNotNull())
     members = members.filter(F.col("error").isNull())
     if existing is not None and not overwrite:
         members = members.join(existing.select("basename").distinct(), "basename", "left_anti")
-    key = F.struct("archive", "member_path")
+    names = scratch_path(spark, "clashing-names")
+    members.groupBy("basename").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("basename").write.parquet(names)
+    clashing = spark.read.schema("basename string").parquet(names)
+    alone = members.join(clashing, "basename", "left_anti")
+    probes = scratch_path(spark, "probes")
+    twice = members.join(clashing, "basename", "left_semi")
+    _dealt(twice, n).mapInPandas(_probe_members, MEMBER_BYTES).drop("content").join(
+        twice.select("archive", "member_path", "slice"), ["archive", "member_path"]).write.parquet(probes)
+    probed = spark.read.schema("archive string, member_path string, basename string, error string, slice long").parquet(probes)
+    key = F.struct("archive", "member_path", "slice")
     pick = F.max_by(key, key) if overwrite else F.min_by(key, key)
-    chosen = members.groupBy("basename").agg(pick.alias("k")).select("basename", "k.*")
-    spark = chosen.sparkSession
-    n = partitions or max(spark.sparkContext.defaultParallelism,
-                          int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-    spread = chosen.repartitionByRange(n, "archive", "member_path").sortWithinPartitions(
-        "archive", "member_path")
-    data = spread.select("archive", "member_path", "basename").mapInPandas(_read_members, MEMBER_BYTES)
-    failed = bad_archives.select("archive", "member_path", "basename",
-                                 F.lit(None).cast("binary").alias("content"), "error")
-    return data.unionByName(failed)
+    winners = (probed.filter(F.col("error").isNull()).groupBy("basename").agg(pick.alias("k")).select("basename", "k.*"))
+    chosen = alone.select("basename", "archive", "member_path", "slice").unionByName(winners)
+    data = _dealt(chosen, n).mapInPandas(_read_members, MEMBER_BYTES)
+    failed = (bad_archives.select("archive", "member_path", "basename", "error")
+              .unionByName(probed.filter(F.col("error").isNotNull()).select("archive", "member_path", "basename", "error")))
+    return data.unionByName(failed.select("archive", "member_path", "basename", F.lit(None).cast("binary").alias("content"), "error"))
