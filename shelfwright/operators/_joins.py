@@ -5,28 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A side is broadcast only if it has at most this many rows (checked with a
-# bounded count); beyond it the join is left to a shuffle join, which AQE
-# can split when one key is hot.  The sides broadcast here are narrow (keys,
-# a short comment or a person struct), so the default bounds a broadcast to
-# a few tens of MB.  Override per session with ``shelfwright.broadcast.maxRows``.
+from ..session import written
+
+# A side is broadcast only if it has at most this many rows and this many
+# bytes; beyond it the join is a shuffle join on a written table, whose hot
+# keys the adaptive skew-join rule can split.  Override per session with
+# ``shelfwright.broadcast.maxRows``.
 BROADCAST_MAX_ROWS = 200_000
+BROADCAST_MAX_BYTES = 64 << 20
 MAX_ROWS_CONF = "shelfwright.broadcast.maxRows"
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """``broadcast(df)`` when ``df`` provably has <= ``max_rows`` rows, else ``df``.
+def bounded_broadcast(df: DataFrame, max_rows: int | None = None,
+                      max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """``broadcast(df)`` when ``df`` provably is small, else ``df``.
 
-    The side is persisted first, so the check (which reads at most
-    ``max_rows + 1`` rows) and the broadcast share one computation; a side
-    that turns out large is released again and left to a shuffle join,
-    which AQE may still turn into a broadcast from exact runtime sizes.
+    The side is written first, so the check (footers: rows and file sizes)
+    and the join share one computation and nothing stays cached.
     """
     if max_rows is None:
         max_rows = int(df.sparkSession.conf.get(MAX_ROWS_CONF, str(BROADCAST_MAX_ROWS)))
-    cached = df.persist()
-    n = cached.limit(max_rows + 1).count()
-    if n <= max_rows:
-        return F.broadcast(cached)
-    cached.unpersist()
-    return df
+    table = written(df, "join-side")
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size <= max_bytes and table.limit(max_rows + 1).count() <= max_rows:
+        return F.broadcast(table)
+    return table

@@ -135,10 +135,11 @@ def _not_in_catalog(batch: DataFrame, table: DataFrame, keys: list[str],
     """``batch LEFT ANTI table`` on ``keys``.
 
     ``small_batch`` (a micro-batch against a big catalogue): the catalogue
-    keys are first semi-joined against the batch keys, broadcast when their
-    size is proven small, so the catalogue is only scanned -- never
-    shuffled -- per batch; the remaining anti-join is between two
-    batch-sized inputs.  Otherwise (a bulk load): one shuffled anti-join.
+    keys are first semi-joined against the batch keys.  While those are small
+    enough to broadcast, the catalogue is only scanned per batch and the
+    remaining anti-join is between two batch-sized inputs; a batch beyond the
+    bound shuffles the catalogue's key column.  Otherwise (a bulk load): one
+    shuffled anti-join.
     """
     if not small_batch:
         return batch.join(table.select(*keys), keys, "left_anti")
@@ -257,41 +258,49 @@ def delete_books(cat: Catalog, digests: DataFrame, digest_col: str = "digest") -
     return Catalog(books, cat.persons, links), status
 
 
+_DUPLICATES = {"digest": "duplicate_digest", "book": "duplicate_book_id", "name": "duplicate_person_name",
+               "person": "duplicate_person_id", "link": "duplicate_link"}
+_DANGLING = {"book": "dangling_link_book", "person": "dangling_link_person"}
+
+
+def _fact(kind: str, key: F.Column, rows: int = 1, links: int = 0) -> F.Column:
+    return F.struct(F.lit(kind).alias("kind"), key.cast("string").alias("key"),
+                    F.lit(rows).alias("rows"), F.lit(links).alias("links"))
+
+
+def _facts(df: DataFrame, table: str, required: list[str], *facts: F.Column) -> DataFrame:
+    nulls = [F.when(F.col(c).isNull(), _fact("null", F.lit(f"{table}.{c}"))) for c in required]
+    return df.select(F.explode(F.array_compact(F.array(*facts, *nulls))).alias("f")).select("f.*")
+
+
 def check_catalog(cat: Catalog) -> DataFrame:
     """Integrity report ``(rule, key, n)``; empty when the catalogue is sound.
 
     Duplicate natural keys and ids, duplicate links, links to missing books
-    or persons, NULL in required columns.  Group counts combine map-side.
+    or persons, NULL in required columns.  Every row states its facts (a key
+    it has, a key it points to, a NULL), and one aggregate over all facts,
+    combined per task first, answers every rule: each table is read once and
+    only its key columns.
     """
-    def dup(df: DataFrame, rule: str, *keys: str) -> DataFrame:
-        k = F.concat_ws("|", *[F.col(c).cast("string") for c in keys])
-        return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-                .select(F.lit(rule).alias("rule"), k.alias("key"), "n"))
-
-    def dangling(rule: str, fk: str, table: DataFrame) -> DataFrame:
-        return (cat.links.join(table.select(F.col("id").alias(fk)), fk, "left_anti")
-                .groupBy(fk).agg(F.count(F.lit(1)).alias("n"))
-                .select(F.lit(rule).alias("rule"), F.col(fk).cast("string").alias("key"), "n"))
-
-    def nulls(df: DataFrame, table: str, cols: list[str]) -> DataFrame:
-        aggs = [F.count_if(F.col(c).isNull()).alias(c) for c in cols]
-        stacked = df.agg(*aggs).select(F.explode(F.array(*[
-            F.struct(F.lit(f"{table}.{c}").alias("key"), F.col(c).alias("n")) for c in cols])).alias("s"))
-        return stacked.select(F.lit("null_required").alias("rule"), "s.key", "s.n").filter(F.col("n") > 0)
-
-    parts = [
-        dup(cat.books, "duplicate_digest", "digest"),
-        dup(cat.books, "duplicate_book_id", "id"),
-        dup(cat.persons, "duplicate_person_name", "normalized_name"),
-        dup(cat.persons, "duplicate_person_id", "id"),
-        dup(cat.links, "duplicate_link", "book_id", "person_id"),
-        dangling("dangling_link_book", "book_id", cat.books),
-        dangling("dangling_link_person", "person_id", cat.persons),
-        nulls(cat.books, "books", ["id", "digest", "title", "encoding", "filename"]),
-        nulls(cat.persons, "persons", ["id", "normalized_name"]),
-        nulls(cat.links, "book_authors", ["book_id", "person_id"]),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("rule", "key", F.col("n").cast("bigint").alias("n"))
+    both = F.concat_ws("|", F.col("book_id").cast("string"), F.col("person_id").cast("string"))
+    facts = (_facts(cat.books, "books", ["id", "digest", "title", "encoding", "filename"],
+                    _fact("digest", F.col("digest")), _fact("book", F.col("id")))
+             .unionByName(_facts(cat.persons, "persons", ["id", "normalized_name"],
+                                 _fact("name", F.col("normalized_name")), _fact("person", F.col("id"))))
+             .unionByName(_facts(cat.links, "book_authors", ["book_id", "person_id"], _fact("link", both),
+                                 _fact("book", F.col("book_id"), 0, 1), _fact("person", F.col("person_id"), 0, 1))))
+    g = facts.groupBy("kind", "key").agg(F.sum("rows").alias("rows"), F.sum("links").alias("links"))
+
+    def rule(names: dict[str, str]) -> F.Column:
+        return F.try_element_at(F.create_map(*(F.lit(x) for kv in names.items() for x in kv)), F.col("kind"))
+
+    def found(name: F.Column, key: F.Column, n: str, when: F.Column) -> F.Column:
+        return F.when(name.isNotNull() & when, F.struct(name.alias("rule"), key.alias("key"), F.col(n).alias("n")))
+
+    key = F.col("key")
+    rules = F.array_compact(F.array(
+        found(rule(_DUPLICATES), F.coalesce(key, F.lit("")), "rows", F.col("rows") > 1),
+        # a NULL reference points to nothing, also where a row lacks its id
+        found(rule(_DANGLING), key, "links", (F.col("links") > 0) & ((F.col("rows") == 0) | key.isNull())),
+        found(rule({"null": "null_required"}), key, "rows", F.lit(True))))
+    return g.select(F.explode(rules).alias("r")).select("r.rule", "r.key", F.col("r.n").cast("bigint").alias("n"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.digest import book_digest
+from ..session import written
 
 
 def with_digest(books: DataFrame, authors: str = "authors") -> DataFrame:
@@ -38,6 +39,6 @@ def duplicate_groups(books: DataFrame, member: str = "path") -> DataFrame:
     list is never collected into one row, so a huge group stays spread
     over tasks (the join back to the counts is split by AQE when skewed).
     """
-    counts = (books.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
-              .filter(F.col("n") > 1))
+    counts = written(books.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
+                     .filter(F.col("n") > 1), "duplicate-counts")
     return books.select("digest", F.col(member)).join(counts, "digest").select("digest", "n", member)

@@ -91,8 +91,15 @@ def _finish(plan: DataFrame, ranked: DataFrame, numbers: DataFrame | None, targe
         F.concat(F.col("unique_name"), F.col("suffix"))))
 
 
-def move_plan(plan: DataFrame, path: str = "path") -> DataFrame:
-    """H5: ``(source, destination, action)``; ``keep`` when already in place."""
+def _place(path: F.Column) -> F.Column:
+    """A path without the ``file:`` scheme that a scan puts in front."""
+    return F.regexp_replace(path, r"^file:(//)?(?=/)", "")
+
+
+def move_plan(plan: DataFrame, path: str = "path", keep: tuple[str, ...] = ()) -> DataFrame:
+    """H5: ``(source, destination, action)`` and the ``keep`` columns;
+    ``keep`` when already in place."""
+    stays = _place(F.col(path)) == _place(F.col("dest_unique"))
     return plan.select(
-        F.col(path).alias("source"), F.col("dest_unique").alias("destination"),
-        F.when(F.col(path) == F.col("dest_unique"), F.lit("keep")).otherwise(F.lit("move")).alias("action"))
+        *keep, F.col(path).alias("source"), F.col("dest_unique").alias("destination"),
+        F.when(stays, F.lit("keep")).otherwise(F.lit("move")).alias("action"))

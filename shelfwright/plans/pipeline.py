@@ -7,16 +7,19 @@ digest, then one shuffle on ``digest`` and one on ``normalized_name``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.encoding import decode_books
 from ..operators.aliases import resolve_aliases
-from ..operators.blacklist import basename, exclude_blacklisted, only_blacklisted
+from ..operators.blacklist import basename, exclude_blacklisted, new_blacklist_entries, only_blacklisted
 from ..operators.catalog import Catalog, build_catalog, upsert
 from ..operators.metadata import book_metadata, check_wellformed, split_accepted
 from ..operators.organize import destination, move_plan, unique_destination
-from ..sources.archives import open_books
+from ..operators.report import run_summary
+from ..sources.archives import explode_archives, open_books
+from ..session import written
+from ..sources.library import append_blacklist, read_blacklist, read_files, write_by_author
 
 
 def decoded(files: DataFrame, path: str = "path", content: str = "content",
@@ -40,12 +43,44 @@ def parse_library(files: DataFrame, author_scope: str = "all") -> DataFrame:
     return book_metadata(decoded(files, until="</description>"), author_scope=author_scope)
 
 
-def _not_black(files: DataFrame, blacklist: DataFrame | None) -> DataFrame:
+def _selected(files: DataFrame, blacklist: DataFrame | None, reverse: bool = False) -> DataFrame:
+    """The files to process.  On a scan without content the blacklist join
+    sees names only, and no byte of an excluded file is read."""
     if blacklist is None:
         return files
     if "basename" not in files.columns:
         files = files.withColumn("basename", basename(F.col("path")))
-    return exclude_blacklisted(files, blacklist)
+    return (only_blacklisted if reverse else exclude_blacklisted)(files, blacklist)
+
+
+def summary(files: DataFrame, selected: DataFrame, failed: DataFrame) -> DataFrame:
+    """K1 of a command: counts of the scanned files, of those selected and of
+    those that failed (each a DataFrame with ``path``)."""
+    state = (files.select("path", F.lit(1).alias("s"), F.lit(0).alias("p"), F.lit(0).alias("f"))
+             .unionByName(selected.select("path", F.lit(0).alias("s"), F.lit(1).alias("p"), F.lit(0).alias("f")))
+             .unionByName(failed.select("path", F.lit(0).alias("s"), F.lit(0).alias("p"), F.lit(1).alias("f"))))
+    per = state.groupBy("path").agg(F.max("p").alias("p"), F.max("f").alias("f"))
+    return run_summary(per.select((F.col("p") == 0).alias("blacklisted"), (F.col("f") == 0).alias("ok")))
+
+
+def extract(archives: DataFrame, target: str, existing: DataFrame | None = None, overwrite: bool = False) -> DataFrame:
+    """``extract``: the books of all archives as a parquet table under
+    ``target`` with the columns of a scan (``path, basename, length,
+    content``), which the other commands take as their files.  Returns the
+    failures ``(archive, member_path, basename, error)``."""
+    out = explode_archives(archives, existing, overwrite)
+    spark = out.sparkSession
+    good = out.filter(F.col("error").isNull())
+    good.select(F.concat_ws("/", F.lit(target.rstrip("/")), "basename").alias("path"), "basename",
+                F.octet_length("content").cast("long").alias("length"), "content"
+                ).write.mode("overwrite" if overwrite else "append").parquet(f"{target.rstrip('/')}/books")
+    out.filter(F.col("error").isNotNull()).drop("content").write.mode("overwrite").parquet(f"{target.rstrip('/')}/failures")
+    return spark.read.parquet(f"{target.rstrip('/')}/failures")
+
+
+def extracted(spark: SparkSession, target: str) -> DataFrame:
+    """The files that :func:`extract` has written."""
+    return spark.read.parquet(f"{target.rstrip('/')}/books")
 
 
 def index(files: DataFrame, aliases: DataFrame | None = None, blacklist: DataFrame | None = None,
@@ -59,7 +94,7 @@ def index(files: DataFrame, aliases: DataFrame | None = None, blacklist: DataFra
     # the parse feeds books, persons, links and the rejects: persist it so it
     # runs once (release with unpersist/clearCache after writing); a caller
     # that consumes a single output passes persist=False
-    meta = parse_library(_not_black(files, blacklist), author_scope)
+    meta = parse_library(_selected(files, blacklist), author_scope)
     if persist:
         meta = meta.persist()
     ok, rejects = split_accepted(meta)
@@ -70,21 +105,47 @@ def index(files: DataFrame, aliases: DataFrame | None = None, blacklist: DataFra
 
 def validate(files: DataFrame, blacklist: DataFrame | None = None, reverse: bool = False) -> DataFrame:
     """``validate``: ``(path, basename, ok, reason)`` per selected file."""
-    if blacklist is not None:
-        if "basename" not in files.columns:
-            files = files.withColumn("basename", basename(F.col("path")))
-        files = (only_blacklisted if reverse else exclude_blacklisted)(files, blacklist)
-    d = decoded(files)
+    d = decoded(_selected(files, blacklist, reverse))
     wf = check_wellformed(F.col("text"))
     reason = F.when(F.col("error").isNotNull(), F.col("error")).when(~wf, F.lit("malformed XML"))
     return d.select("path", "basename", reason.isNull().alias("ok"), reason.alias("reason"))
 
 
+def validate_library(files: DataFrame, blacklist_path: str, reverse: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``validate`` with its list: the results, whose failures are appended
+    to the list at ``blacklist_path`` (a folder, or one plain file), and the
+    run's summary."""
+    spark = files.sparkSession
+    black = read_blacklist(spark, blacklist_path)
+    results = written(validate(files, black, reverse), "validated")
+    totals = summary(files, results, results.filter(~F.col("ok")))
+    totals = written(totals, "summary")
+    append_blacklist(new_blacklist_entries(results, black), blacklist_path)
+    return results, totals
+
+
 def group(files: DataFrame, target: str, aliases: DataFrame | None = None,
           blacklist: DataFrame | None = None, max_len: int = 0) -> tuple[DataFrame, DataFrame]:
-    """``group``: the move plan and the rejected files."""
-    meta = parse_library(_not_black(files, blacklist)).persist()   # plan + rejects
+    """``group``: the move plan and the rejected files.  The plan's
+    ``(source, destination, action)`` come with what ``write_by_author``
+    needs; join the sizes or bytes of the files to it last."""
+    meta = written(parse_library(_selected(files, blacklist)), "group-meta")   # plan + rejects
     ok, rejects = split_accepted(meta)
     books = resolve_aliases(ok, aliases)
-    plan = unique_destination(destination(books, target, max_len), target)
-    return move_plan(plan), rejects.select("path", "basename", "reject_reason")
+    # names only from here on; the plan is read twice to rank the names
+    named = written(destination(books, target, max_len).select(
+        "path", "author_dir", "dest_name", "suffix", "dest"), "destinations")
+    plan = unique_destination(named, target)
+    moves = move_plan(plan, keep=("path", "author_dir", "unique_name", "suffix"))
+    return moves, rejects.select("path", "basename", "reject_reason")
+
+
+def group_library(files: DataFrame, target: str, aliases: DataFrame | None = None,
+                  blacklist: DataFrame | None = None, max_len: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``group`` carried out: the plan, written by author under ``target``,
+    the rejected files and the run's summary."""
+    moves, rejects = group(files, target, aliases, blacklist, max_len)
+    moves = written(moves, "moves")
+    carry = [c for c in ("content", "length") if c in files.columns][:1]
+    write_by_author(moves.join(files.select("path", *carry), "path"), target)
+    return moves, rejects, summary(files, _selected(files, blacklist), rejects)

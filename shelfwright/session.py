@@ -3,10 +3,12 @@ checkpoint folder used to cut lineage."""
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
+import threading
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -55,9 +57,45 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf
 
 
+_SCOPES = threading.local()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the shared checkpoint folder for written tables."""
+    """A fresh sub-folder of the shared checkpoint folder for written tables;
+    inside :func:`scratch_scope` one that goes when the scope ends."""
     import uuid
 
-    base = ensure_checkpoint_dir(spark).rstrip("/")
+    open_ = getattr(_SCOPES, "paths", [])
+    base = open_[-1] if open_ else ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whichever store it lies."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession, name: str = "scope"):
+    """Tables this thread writes inside go when the block ends; nothing lazy
+    that reads them may outlive it."""
+    path = scratch_path(spark, name)
+    outer = getattr(_SCOPES, "paths", [])
+    _SCOPES.paths = [*outer, path]
+    try:
+        yield path
+    finally:
+        _SCOPES.paths = outer
+        remove_folder(spark, path)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared checkpoint folder: it is computed once,
+    survives lost executors, is never cached, and a shuffle join on it gets
+    plain exchanges on both sides, which the adaptive skew-join rule can split
+    (the exchange below an aggregate it cannot)."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -16,6 +16,7 @@ import io
 import zipfile
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -185,6 +186,43 @@ def _probe_members(batches):
     return _read_members(batches, keep_content=False)
 
 
+def read_paths(files: DataFrame, path: str = "path") -> DataFrame:
+    """Adds ``content``, the bytes of each row's file (``error`` where it
+    can't be read), in batches bounded by bytes."""
+    fields = [f for f in files.schema.fields if f.name not in ("content", "error")]
+    names = [f.name for f in fields]
+    schema = T.StructType([*fields, T.StructField("content", T.BinaryType()), T.StructField("error", T.StringType())])
+    where = names.index(path)
+
+    def run(batches):
+        for batch in batches:
+            rows, held = [], 0
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                data, error = None, None
+                try:
+                    with _open(row[where]) as f:
+                        data = f.read()
+                    held += len(data)
+                except UnsupportedStore:
+                    raise
+                except Exception as e:  # noqa: BLE001 - an unreadable file is reported
+                    error = f"cannot read: {e}"
+                rows.append((*row, data, error))
+                if held >= BATCH_BYTES:
+                    yield _batch(rows, batch.schema)
+                    rows, held = [], 0
+            yield _batch(rows, batch.schema)
+
+    return files.select(*names).mapInArrow(run, schema)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    types = [*(f.type for f in schema), pa.binary(), pa.string()]
+    columns = list(zip(*rows)) if rows else [()] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)],
+                                      names=[*schema.names, "content", "error"])
+
+
 def _partitions(df: DataFrame, partitions: int | None) -> int:
     spark = df.sparkSession
     return partitions or max(spark.sparkContext.defaultParallelism,

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..operators.catalog import TABLES, Catalog
 from ..operators.metadata import BLANKS
+from ..session import written
 
 BOOK_GLOB = "*.{fb2,fb2.zip}"
 
@@ -36,13 +37,21 @@ BLACKLIST_SCHEMA = T.StructType([T.StructField("basename", T.StringType()),
                                  T.StructField("comment", T.StringType())])
 
 
+def _missing(e: AnalysisException) -> bool:
+    """Only a path that does not exist counts as an empty table; any other
+    failure (no permission, not a table) must surface."""
+    return e.getCondition() == "PATH_NOT_FOUND"
+
+
 def read_blacklist(spark: SparkSession, path: str) -> DataFrame:
     """A4: ``basename|comment`` lines; ``#`` lines and blank lines skipped;
     split at the first ``|``; no comment -> NULL; a missing file is an
     empty list."""
     try:
         lines = spark.read.text(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if not _missing(e):
+            raise
         return spark.createDataFrame([], BLACKLIST_SCHEMA)
     v = F.col("value")
     kept = lines.filter(~v.startswith("#") & (F.trim(v, F.lit(BLANKS)) != ""))
@@ -98,27 +107,75 @@ def read_catalog(spark: SparkSession, root: str) -> Catalog:
     for name, schema in TABLES.items():
         try:
             out[name] = spark.read.schema(schema).parquet(f"{root.rstrip('/')}/{name}")
-        except AnalysisException:
+        except AnalysisException as e:
+            if not _missing(e):
+                raise
             out[name] = spark.createDataFrame([], schema)
     return Catalog(out["books"], out["persons"], out["book_authors"])
 
 
-def write_catalog(cat: Catalog, root: str, mode: str = "append") -> None:
-    """Write the three tables as parquet with the fixed schemas."""
+_NATURAL_KEYS = {"books": "digest", "persons": "normalized_name", "book_authors": "book_id"}
+
+
+def write_catalog(cat: Catalog, root: str, mode: str = "append", bulk: bool = False) -> None:
+    """Write the three tables as parquet with the fixed schemas.
+
+    Files are sorted by the natural key and carry a bloom filter on it, so a
+    lookup (G7, G8) skips row groups.  ``bulk`` range-partitions the rows by
+    the key first; a micro-batch is only sorted."""
     for name, df in cat.tables().items():
-        schema = TABLES[name]
-        df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]) \
-            .write.mode(mode).parquet(f"{root.rstrip('/')}/{name}")
+        schema, key = TABLES[name], _NATURAL_KEYS[name]
+        rows = df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
+        if bulk:
+            rows = rows.repartitionByRange(key)
+        (rows.sortWithinPartitions(key).write.mode(mode)
+         .option(f"parquet.bloom.filter.enabled#{key}", "true")
+         .option(f"parquet.bloom.filter.expected.ndv#{key}", "200000")
+         .parquet(f"{root.rstrip('/')}/{name}"))
+
+
+def compact_catalog(spark: SparkSession, root: str, target: str) -> Catalog:
+    """The catalogue under ``root`` rewritten to ``target`` in few sorted
+    files; readers switch when it is complete."""
+    write_catalog(read_catalog(spark, root), target, mode="errorifexists", bulk=True)
+    return read_catalog(spark, target)
+
+
+def read_files(files: DataFrame) -> DataFrame:
+    """``content`` for a scan without it: the bytes of exactly these paths,
+    read in tasks that hold about equally many bytes' worth of files.
+
+    With :func:`scan_library` (``with_content=False``) in front, a filter or
+    join on names drops files before any of their bytes are read."""
+    from .archives import read_paths
+
+    return read_paths(files)
+
+
+#: Bytes of one author's books that go to one file.
+AUTHOR_FILE_BYTES = 128 << 20
 
 
 def write_by_author(plan: DataFrame, root: str, mode: str = "errorifexists") -> None:
     """The books laid out by author: parquet partitioned by
     ``author_dir`` holding ``(file_name, source, content)``.
 
-    No shuffle by author: every task writes its own file into each author
-    folder it meets, so a hot author is written by many tasks."""
-    (plan.select("author_dir",
-                 F.concat(F.col("unique_name"), F.col("suffix")).alias("file_name"),
-                 F.col("path").alias("source"), "content")
-     .sortWithinPartitions("author_dir")
+    ``plan`` has ``path, author_dir, unique_name, suffix`` and either
+    ``content`` or ``length`` (then the bytes are read last, after the
+    shuffle).  An author's rows go to as many tasks as their bytes fill files
+    of ``AUTHOR_FILE_BYTES``, so an author has few files and a prolific one is
+    still written by many tasks."""
+    has_content = "content" in plan.columns
+    size = F.octet_length("content") if has_content else F.col("length")
+    plan = plan.withColumn("_size", F.coalesce(size.cast("long"), F.lit(0)))
+    parts = written(plan.groupBy("author_dir").agg(
+        F.ceil(F.sum("_size") / AUTHOR_FILE_BYTES).cast("int").alias("_parts")), "author-bytes")
+    salt = F.pmod(F.xxhash64("path"), F.greatest("_parts", F.lit(1)))
+    dealt = plan.join(parts, "author_dir").withColumn("_salt", salt)
+    n = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(n, "author_dir", "_salt").sortWithinPartitions("author_dir", "unique_name")
+    if not has_content:
+        dealt = read_files(dealt)
+    (dealt.select("author_dir", F.concat(F.col("unique_name"), F.col("suffix")).alias("file_name"),
+                  F.col("path").alias("source"), "content")
      .write.mode(mode).partitionBy("author_dir").parquet(root))

@@ -14,10 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.aliases import resolve_aliases
-from ..operators.catalog import upsert
+from ..operators.catalog import (Catalog, books_rows, first_seen_books, links_rows, persons_rows, upsert_books,
+                                 upsert_links, upsert_persons)
 from ..operators.metadata import split_accepted
-from ..plans.pipeline import _not_black, parse_library
-from ..session import ensure_checkpoint_dir, scratch_path
+from ..plans.pipeline import _selected, parse_library
+from ..session import ensure_checkpoint_dir, scratch_path, scratch_scope, written
 from ..sources.library import BOOK_GLOB, read_catalog, write_catalog
 
 
@@ -25,12 +26,17 @@ def _index_batch(catalog_root: str, aliases: DataFrame | None, blacklist: DataFr
                  rejects_root: str | None):
     def run(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
-        # the parsed batch feeds three tables (and the rejects): parse once
-        meta = parse_library(_not_black(batch.select("path", "content"), blacklist)).persist()
-        try:
+        # what a batch writes on the way goes with the batch, and nothing is
+        # cached: an endless stream fills neither executors nor the disk
+        with scratch_scope(spark, f"stream-batch-{epoch_id}"):
+            meta = written(parse_library(_selected(batch.select("path", "content"), blacklist)), "parsed")
             ok, rejects = split_accepted(meta)
-            books = resolve_aliases(ok, aliases)
-            new = upsert(read_catalog(spark, catalog_root), books, small_batch=True)
+            # one alias join and one dedupe per batch feed all three tables
+            books = written(first_seen_books(resolve_aliases(ok, aliases)), "first-seen")
+            rows = Catalog(books_rows(books), persons_rows(books), links_rows(books))
+            known = read_catalog(spark, catalog_root)
+            new = Catalog(upsert_books(known.books, rows), upsert_persons(known.persons, rows),
+                          upsert_links(known.links, rows))
             # Each table is guarded by its own anti-join against what is
             # already written, so the order books -> persons -> links is
             # replay-safe.
@@ -38,8 +44,6 @@ def _index_batch(catalog_root: str, aliases: DataFrame | None, blacklist: DataFr
             if rejects_root:
                 (rejects.select("path", "basename", "reject_reason")
                  .withColumn("epoch", F.lit(epoch_id)).write.mode("append").parquet(rejects_root))
-        finally:
-            meta.unpersist()
     return run
 
 
@@ -75,10 +79,10 @@ def stream_library(spark: SparkSession, source: str | DataFrame, catalog_root: s
     return q
 
 
-def stream_index_documents(spark: SparkSession, d: str, batches: int = 4) -> DataFrame:
+def stream_index_documents(spark: SparkSession, d: str, batches: int = 4) -> Catalog:
     """Driver check: the rendered documents arrive in ``batches`` drops of
-    parquet files, are indexed by the stream, and the final ``books`` table
-    is returned (it must equal the batch build on every digest-determined
+    parquet files, are indexed by the stream, and the final catalogue is
+    returned (it must equal the batch build on every digest-determined
     column)."""
     from ..plans.fixtures import render_library
 
@@ -93,4 +97,4 @@ def stream_index_documents(spark: SparkSession, d: str, batches: int = 4) -> Dat
     stream = (spark.readStream.schema(schema).option("recursiveFileLookup", "true")
               .option("maxFilesPerTrigger", "16").parquet(drops))
     stream_library(spark, stream, catalog_root, ckpt)
-    return read_catalog(spark, catalog_root).books
+    return read_catalog(spark, catalog_root)
