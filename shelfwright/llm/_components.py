@@ -29,27 +29,36 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     else:
         out = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             least.select(F.col("k").alias("u"), F.col("m").alias("v")))
-    result = stage(out.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "star")
+    out = out.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    # a large star has a row for each of its input's at most; a small star adds some
+    result = stage(out if large else out.distinct(), "star")
     unstage(least)
     return result
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
     """(vertex, root) of every vertex of ``links`` (u, v: long); the root is
-    the component's smallest vertex, which is a row too."""
+    the component's smallest vertex, which is a row too.  With ``rounds`` it
+    stops early: roots then name groups of linked vertices, and a wide
+    component may have several."""
     now = stage(links.filter("u <> v").select(
         F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     before = None
-    for _ in range(MAX_ROUNDS):
+    for _ in range(rounds or MAX_ROUNDS):
         wide = _star(now, large=True)
         stars = _star(wide, large=False)
         unstage(wide, now)
         now = stars
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == before:
-            break
-        before = mark
+        if rounds is None:
+            mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            if mark == before:
+                break
+            before = mark
     else:
-        raise RuntimeError(f"no fixed point after {MAX_ROUNDS} rounds")
-    return now.select(F.col("u").alias("vertex"), F.col("v").alias("root")).union(
-        now.select(F.col("v").alias("vertex"), F.col("v").alias("root")).distinct())
+        if rounds is None:
+            raise RuntimeError(f"no fixed point after {MAX_ROUNDS} rounds")
+    # the fixed point has one row per vertex that is no root
+    below = now.groupBy("u").agg(F.min("v").alias("v")) if rounds else now
+    roots = now.select("v").distinct().join(now.select(F.col("u").alias("v")), "v", "left_anti") if rounds else now.select("v").distinct()
+    return below.select(F.col("u").alias("vertex"), F.col("v").alias("root")).union(
+        roots.select(F.col("v").alias("vertex"), F.col("v").alias("root")))

@@ -40,7 +40,9 @@ from ._components import components
 ship_by_value(__name__)
 
 SHINGLE_WORDS, THRESHOLD = 5, 85
-TREES, LEVELS, SMALL_NODE, BLOCK, NEAREST = 8, 5, 128, 1024, 8
+TREES, LEVELS, SMALL_NODE, BLOCK, NEAREST = 8, 3, 512, 1024, 4
+#: Rounds of components that are enough to bring proposals' texts together.
+GROUPING_ROUNDS = 2
 GROUP_VERTICES, GROUP_SHINGLES = 512, 1_000_000
 BINS, COORDS = 256, 64
 
@@ -295,7 +297,7 @@ def _confirm(sids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 def _confirmed(docs: DataFrame, proposals: DataFrame, vertices: DataFrame, partitions: int) -> DataFrame:
     """Links (u, v) between vertices, confirmed on the texts' full sets."""
-    groups = components(proposals)
+    groups = stage(components(proposals, GROUPING_ROUNDS), "proposal-groups")
     info = vertices.select(F.col("sid").alias("vertex"), "n", "k1", "k2", "doc_key")
     members = stage(groups.join(info, "vertex"), "group-members")
     parts = stage(members.groupBy("root").agg(F.greatest(
@@ -307,7 +309,8 @@ def _confirmed(docs: DataFrame, proposals: DataFrame, vertices: DataFrame, parti
     needed = stage(needed.select("part", "vertex", "k1", "k2", F.col("doc_key")), "needed-texts")
     text = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOW_KEY)).alias("doc_key"),
                        text_or_empty().cast("binary").alias("text"))
-    dealt = (text.join(needed, "doc_key").select("part", "vertex", "k1", "k2", "text")
+    # by id at every size: texts are too large to depend on what is broadcast
+    dealt = (text.join(needed.hint("merge"), "doc_key").select("part", "vertex", "k1", "k2", "text")
              .repartition(partitions, "part").sortWithinPartitions("part", "vertex"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
