@@ -117,11 +117,15 @@ def accepted_books(spark: SparkSession, d: str) -> DataFrame:
 
 def alias_source(spark: SparkSession, d: str) -> DataFrame:
     """``(canonical, alias, position)``: about a quarter of the person keys
-    (length divisible by 4) are aliases of their last name alone."""
+    (length divisible by 4) are aliases, each listed twice: of their last name
+    alone and of ``<last name> Zweit``; half of them in either order."""
     al = authors_long(spark, d).filter(F.col("id").isNotNull() & (F.length("id") % 4 == 0))
-    return (al.select(F.col("id").alias("alias")).distinct()
-            .select(F.split_part(F.col("alias"), F.lit(" "), F.lit(1)).alias("canonical"), "alias",
-                    F.lit(0).alias("position")))
+    last = F.split_part(F.col("alias"), F.lit(" "), F.lit(1))
+    turn = (F.length("alias") / 4).cast("int") % 2
+    entries = F.array(F.struct(last.alias("canonical"), turn.alias("position")),
+                      F.struct(F.concat(last, F.lit(" Zweit")).alias("canonical"), (1 - turn).alias("position")))
+    return (al.select(F.col("id").alias("alias")).distinct().select("alias", F.explode(entries).alias("e"))
+            .select("e.canonical", "alias", "e.position"))
 
 
 def blacklist_src(spark: SparkSession, d: str) -> DataFrame:
@@ -150,29 +154,33 @@ def _author_xml(a) -> F.Column:
                     F.lit("</author>"))
 
 
-def fb2_text(src: DataFrame, declaration=None, close_root=None) -> F.Column:
-    """FB2 document for a ``book_src`` row, whole text as the body."""
-    authors = F.array_join(F.transform(raw_authors(src), _author_xml), "")
+def fb2_text(src: DataFrame, declaration=None, close_root=None, document_authors: bool = False) -> F.Column:
+    """FB2 document for a ``book_src`` row, whole text as the body.  With
+    ``document_authors`` every author but the first stands in document-info."""
+    people = F.transform(raw_authors(src), _author_xml)
+    authors = F.get(people, 0) if document_authors else F.array_join(people, "")
+    others = F.array_join(F.slice(people, 2, 9), "") if document_authors else F.lit("")
     decl = declaration if declaration is not None else F.lit('<?xml version="1.0" encoding="utf-8"?>\n')
     end = close_root if close_root is not None else F.lit("</FictionBook>\n")
     return F.concat(
         decl, F.lit("<FictionBook>\n<description>\n<title-info>"),
         _element("genre", F.col("genre")), authors,
         _element("book-title", F.col("title")), _element("lang", F.col("lang")),
-        F.lit("</title-info>\n<document-info>"),
+        F.lit("</title-info>\n<document-info>"), others,
         _element("id", F.col("ext_id")), _element("version", F.col("version")),
         F.lit("</document-info>\n</description>\n<body><section><p>"),
         xml_escape(F.col("text")),
         F.lit("</p></section></body>\n"), end)
 
 
-def render_library(spark: SparkSession, d: str) -> DataFrame:
+def render_library(spark: SparkSession, d: str, title=None) -> DataFrame:
     """``(path, content)``: every document as FB2 bytes.  A third of the
     files are single-byte encoded (declared ``windows-1252`` or
-    ``ISO-8859-1``), every 7th is a ``.fb2.zip`` holding one ``.fb2``."""
-    from ..sources.archives import zip_single
-
+    ``ISO-8859-1``), every 7th is a ``.fb2.zip`` holding one ``.fb2``.
+    ``title`` replaces the documents' own."""
     src = book_src(spark, d)
+    if title is not None:
+        src = src.withColumn("title", title)
     m = F.col("doc_id") % 3
     decl = (F.when(m == 1, F.lit('<?xml version="1.0" encoding="windows-1252"?>\n'))
             .when(m == 2, F.lit('<?xml version="1.0" encoding="ISO-8859-1"?>\n'))
@@ -180,6 +188,14 @@ def render_library(spark: SparkSession, d: str) -> DataFrame:
     xml = src.select("doc_id", "path", fb2_text(src, declaration=decl).alias("xml"))
     raw = xml.select("doc_id", "path", F.when(m == 0, F.encode("xml", "UTF-8"))
                      .otherwise(F.encode("xml", "ISO-8859-1")).alias("raw"))
+    return zipped_where_named(raw)
+
+
+def zipped_where_named(raw: DataFrame) -> DataFrame:
+    """``(doc_id, path, content)`` from ``raw`` bytes: ``.fb2.zip`` paths hold
+    them as their one member."""
+    from ..sources.archives import zip_single
+
     is_zip = F.col("path").endswith(".fb2.zip")
     inner = F.regexp_replace(F.regexp_extract(F.col("path"), r"([^/]*)$", 1), r"\.zip$", "")
     zipped = raw.withColumn("_zip", zip_single(F.when(is_zip, inner), F.when(is_zip, F.col("raw"))))
@@ -235,3 +251,58 @@ def cat_variant(base: DataFrame, variant: str = "batch") -> DataFrame:
 
 def cat_parsed(spark: SparkSession, d: str, variant: str = "batch") -> DataFrame:
     return cat_variant(cat_parsed_base(spark, d), variant)
+
+
+# ------------------------------------------------------------- files on disk
+
+def _store(path: str):
+    from pyarrow import fs
+
+    if "://" in path:
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), path.removeprefix("file:")
+
+
+def write_files(files: DataFrame, root: str) -> None:
+    """Write ``(name, content)`` rows as the files ``root/name``."""
+    def run(batches):
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                store, path = _store(f"{root}/{name}")
+                store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(path) as f:
+                    f.write(content)
+            yield batch.select([0])
+
+    files.select("name", "content").mapInArrow(run, "name string").count()
+
+
+#: Documents an archive holds, and how many names the clashing ones share.
+ARCHIVE_BOOKS, CLASHING_NAMES = 64, 250
+
+
+def book_archives(spark: SparkSession, d: str) -> DataFrame:
+    """``(name, content)`` of ZIP archives with the documents' texts as books:
+    every 5th has one of a few names that other documents share, and every
+    20th is damaged."""
+    import io
+    import zipfile
+
+    import pandas as pd
+
+    def build(pdf):
+        buf, damaged = io.BytesIO(), []
+        with zipfile.ZipFile(buf, "w", zipfile.ZIP_STORED) as z:
+            for i, text in sorted(zip(pdf["doc_id"].tolist(), pdf["text"])):
+                name = f"b{i % CLASHING_NAMES}.fb2" if i % 5 == 0 else f"{i}.fb2"
+                info = zipfile.ZipInfo(f"d{i}/{name}", date_time=(2000, 1, 1, 0, 0, 0))
+                z.writestr(info, text.encode())
+                if i % 20 == 0:
+                    damaged.append(info.header_offset + 30 + len(info.filename))
+        data = bytearray(buf.getvalue())
+        for at in damaged:
+            data[at] ^= 0xFF
+        return pd.DataFrame({"name": [f"a{pdf['a'].iloc[0]:08d}.zip"], "content": [bytes(data)]})
+
+    docs = table(spark, d, "documents").select("doc_id", "text", F.expr(f"doc_id DIV {ARCHIVE_BOOKS}").alias("a"))
+    return docs.groupBy("a").applyInPandas(build, "name string, content binary")

@@ -9,7 +9,18 @@ RE2 has no ``\\p{IsAlphabetic}`` (``\\p{L}`` is equal on the test data).
 
 from __future__ import annotations
 
-from ..functions.encoding import CHARSETS, UPPER_HALF, charset_table
+# The supported charsets, by doc_id % 6, and those whose bytes
+# 0x80-0x9F mean nothing.
+CHARSETS = ["windows-1251", "koi8-r", "windows-1252", "iso-8859-1", "iso-8859-5", "windows-1255"]
+NO_C1 = {"iso-8859-1", "iso-8859-5"}
+UPPER_HALF = bytes(range(0x80, 0x100)).decode("latin-1")
+
+
+def charset_table(charset: str) -> str:
+    """What bytes 0x80..0xFF mean in a charset, by Python's codec."""
+    def one(b: int) -> str:
+        return "\ufffd" if b < 0xA0 and charset in NO_C1 else bytes([b]).decode(charset, "replace")
+    return "".join(map(one, range(0x80, 0x100)))
 
 
 def q(s: str) -> str:
@@ -90,16 +101,17 @@ first_seen AS (
   SELECT * FROM dig QUALIFY row_number() OVER (PARTITION BY digest ORDER BY path) = 1)"""
 
 ALIASES = f"""alias_src AS (
-  SELECT DISTINCT id AS alias, split_part(id, ' ', 1) AS canonical
-  FROM authors_k WHERE id IS NOT NULL AND length(id) % 4 = 0),
+  SELECT alias, CASE n WHEN 0 THEN split_part(alias, ' ', 1) ELSE split_part(alias, ' ', 1) || ' Zweit' END AS canonical,
+         CASE WHEN (length(alias) // 4) % 2 = n THEN 0 ELSE 1 END AS position
+  FROM (SELECT DISTINCT id AS alias FROM authors_k WHERE id IS NOT NULL AND length(id) % 4 = 0), (VALUES (0), (1)) v(n)),
 alias_parsed AS (
-  SELECT {alias_key('alias')} AS alias_key, alias,
+  SELECT {alias_key('alias')} AS alias_key, (position, alias) AS place,
          list_filter(list_transform(string_split(canonical, ' '), lambda p: trim(p)), lambda p: p <> '') AS parts
   FROM alias_src),
 alias_tab AS (
   SELECT alias_key,
-         arg_max({pkey('parts[1]', 'parts[2]', 'parts[3]')}, alias) AS canonical_id,
-         arg_max(parts[1], alias) AS canonical_last
+         arg_max({pkey('parts[1]', 'parts[2]', 'parts[3]')}, place) AS canonical_id,
+         arg_max(parts[1], place) AS canonical_last
   FROM alias_parsed
   WHERE alias_key IS NOT NULL AND len(parts) BETWEEN 1 AND 3
     AND {pkey('parts[1]', 'parts[2]', 'parts[3]')} IS NOT NULL
@@ -247,10 +259,38 @@ numbered AS (
   FROM ranked r0)"""
     o["unique_destination"] = WITH + "," + unique + """
 SELECT doc_id, unique_name, concat('lib/', author_dir, '/', unique_name, suffix) AS dest_unique FROM numbered"""
-    o["move_plan"] = WITH + "," + unique + """
-SELECT path AS source, concat('lib/', author_dir, '/', unique_name, suffix) AS destination,
-       CASE WHEN path = concat('lib/', author_dir, '/', unique_name, suffix) THEN 'keep' ELSE 'move' END AS action
+    placed = unique.replace("FROM plan WHERE", "FROM placed WHERE").replace("AS r FROM plan)", "AS r FROM placed)")
+    placed = placed.replace(""",
+ranked AS (""", """,
+placed AS (
+  SELECT doc_id, author_dir, dest_name, suffix,
+    CASE WHEN doc_id % 4 = 0 AND doc_id = min(doc_id) OVER (PARTITION BY author_dir, dest_name)
+         THEN concat('file:/lib/', author_dir, '/', dest_name, suffix) ELSE path END AS path FROM plan),
+ranked AS (""")
+    o["move_plan"] = WITH + "," + placed + """
+SELECT path AS source, concat('/lib/', author_dir, '/', unique_name, suffix) AS destination,
+       CASE WHEN path = concat('file:/lib/', author_dir, '/', unique_name, suffix) THEN 'keep' ELSE 'move' END AS action
 FROM numbered"""
+    o["by_author_sink"] = WITH + "," + unique + """
+SELECT author_dir, concat(unique_name, suffix) AS file_name, path AS source, sha256(text) AS sha
+FROM numbered JOIN documents USING (doc_id)"""
+
+    # ---- sources
+    o["scan_library"] = """SELECT concat(doc_id, CASE doc_id % 4 WHEN 0 THEN '.fb2' ELSE '.fb2.zip' END) AS basename,
+  strlen(text) AS length, sha256(text) AS sha FROM documents WHERE doc_id % 4 < 2"""
+    o["explode_archives"] = """
+WITH m AS (SELECT doc_id, text, doc_id % 20 <> 0 AS ok,
+  CASE WHEN doc_id % 5 = 0 THEN concat('b', doc_id % 250, '.fb2') ELSE concat(doc_id, '.fb2') END AS basename FROM documents),
+w AS (SELECT *, row_number() OVER (PARTITION BY basename, ok ORDER BY doc_id) AS r FROM m)
+SELECT basename, concat('d', doc_id, '/', basename) AS member_path, ok, CASE WHEN ok THEN sha256(text) END AS sha
+FROM w WHERE NOT ok OR r = 1"""
+    o["blacklist_file"] = """
+WITH d AS (SELECT *, concat(doc_id, '.fb2') AS basename FROM documents),
+listed AS (SELECT basename, CASE WHEN doc_id % 2 = 1 THEN concat(lang, '|', n_chars) END AS comment
+  FROM d WHERE doc_id % 7 = 0 AND doc_id % 77 <> 0)
+SELECT basename, comment FROM listed
+UNION ALL SELECT basename, 'cut short' FROM d WHERE n_chars % 3 = 0 AND basename NOT IN (SELECT basename FROM listed)"""
+    o["utf8_check"] = "SELECT doc_id, doc_id % 4 = 0 AS ok FROM documents"
 
     # ---- blacklist and reports
     black = """black AS (
@@ -307,5 +347,17 @@ SELECT {sid('rdigest')} AS id, rdigest AS digest, ext_id, version, trim(title) A
   lang, genre, regexp_replace(basename, '\\.[^.]*$', '') AS filename
 FROM rfirst"""
     o["index_books"] = books_e2e
+    accepted = books_e2e.split(",\nrfirst AS")[0]
+    o["index_persons"] = accepted + f"""
+SELECT DISTINCT {sid('md5(r.id)')} AS id, r.id AS normalized_name FROM rdig JOIN resolved r USING (doc_id)"""
+    o["index_links"] = accepted + f"""
+SELECT DISTINCT {sid('rdigest')} AS book_id, {sid('md5(r.id)')} AS person_id FROM rdig JOIN resolved r USING (doc_id)"""
+    o["index_rejects"] = WITH + f""", r AS (SELECT path, {title_r} AS t FROM book_src)
+SELECT path, CASE WHEN nullif(trim(t), '') IS NULL THEN 'book has no title'
+  ELSE 'title normalises to nothing' END AS reject_reason FROM r WHERE {nname('t')} IS NULL"""
     o["stream_index"] = WITH + f"""SELECT {sid('digest')} AS id, digest, ext_id, version FROM first_seen"""
+    o["stream_persons"] = WITH + f"""SELECT DISTINCT {sid('md5(k.id)')} AS id, k.id AS normalized_name
+FROM dig JOIN authors_k k USING (doc_id) WHERE k.id IS NOT NULL"""
+    o["stream_links"] = WITH + f"""SELECT DISTINCT {sid('digest')} AS book_id, {sid('md5(k.id)')} AS person_id
+FROM dig JOIN authors_k k USING (doc_id) WHERE k.id IS NOT NULL"""
     return o

@@ -8,19 +8,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.encoding import CHARSETS, declared_encoding, encoding_supported, recode_charset
+from ..functions._util import evaluate_once
+from ..functions.encoding import CHARSETS, declared_encoding, encoding_supported, recode_charset, utf8_valid
 from ..functions.naming import sanitize
 from ..functions.normalize import norm_title, person_key
 from ..operators import catalog as G
 from ..operators.aliases import alias_table, principal_author, resolve_aliases
-from ..operators._joins import bounded_broadcast
 from ..operators.blacklist import exclude_blacklisted, new_blacklist_entries, only_blacklisted
 from ..operators.identity import dedupe_books, duplicate_groups, with_digest
 from ..operators.metadata import book_metadata, check_wellformed
 from ..operators.organize import destination, move_plan, unique_destination
-from ..operators.report import run_summary
+from ..session import scratch_path, written
+from ..sources.archives import explode_archives
+from ..sources.library import append_blacklist, read_blacklist, read_files, scan_library, write_by_author
 from . import fixtures as X
-from .pipeline import index, parse_library, validate
+from .pipeline import index, parse_library, summary, validate
 
 TARGET = "lib"
 
@@ -203,7 +205,69 @@ def unique_destination_q(spark: SparkSession, d: str) -> DataFrame:
 
 
 def move_plan_q(spark: SparkSession, d: str) -> DataFrame:
-    return move_plan(unique_destination(_plan(spark, d), TARGET))
+    """A library of which a part is sorted already: of the books that share a
+    destination the first is in place, if its number divides by 4."""
+    plan = _plan(spark, d).select("doc_id", "path", "author_dir", "dest_name", "suffix")
+    first = plan.groupBy("author_dir", "dest_name").agg(F.min("doc_id").alias("_first"))
+    there = (F.col("doc_id") == F.col("_first")) & (F.col("doc_id") % 4 == 0)
+    place = F.concat(F.lit("file:/lib/"), F.col("author_dir"), F.lit("/"), F.col("dest_name"), F.col("suffix"))
+    plan = plan.join(first, ["author_dir", "dest_name"]).withColumn("path", F.when(there, place).otherwise(F.col("path")))
+    return move_plan(unique_destination(plan, "/lib"))
+
+
+def by_author_sink(spark: SparkSession, d: str) -> DataFrame:
+    """The planned layout written by author and read back."""
+    text = X.table(spark, d, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content"))
+    plan = unique_destination(_plan(spark, d), TARGET).select("doc_id", "path", "author_dir", "unique_name", "suffix")
+    root = scratch_path(spark, "by-author")
+    write_by_author(plan.join(text, "doc_id"), root)
+    back = spark.read.schema("file_name string, source string, content binary, author_dir string").parquet(root)
+    return back.select("author_dir", "file_name", "source", F.sha2("content", 256).alias("sha"))
+
+
+# ---------------------------------------------------------------- A, B3
+
+def scan_library_q(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as files of four name endings, scanned without content and
+    read afterwards (A1)."""
+    m = F.col("doc_id") % 4
+    ending = F.when(m == 0, ".fb2").when(m == 1, ".fb2.zip").when(m == 2, ".FB2").otherwise(".txt")
+    name = F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), ending)
+    root = scratch_path(spark, "library")
+    X.write_files(X.table(spark, d, "documents").select(name.alias("name"), F.encode("text", "UTF-8").alias("content")), root)
+    read = read_files(scan_library(spark, root, with_content=False))
+    return read.select("basename", "length", F.sha2("content", 256).alias("sha"))
+
+
+def explode_archives_q(spark: SparkSession, d: str) -> DataFrame:
+    """Multi-member archives with clashing names and damaged members (A2)."""
+    root = scratch_path(spark, "archives")
+    X.write_files(X.book_archives(spark, d), root)
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(root).select("path")
+    books = explode_archives(found)
+    return books.select("basename", "member_path", F.col("error").isNull().alias("ok"), F.sha2("content", 256).alias("sha"))
+
+
+def blacklist_file(spark: SparkSession, d: str) -> DataFrame:
+    """A list with comments and remarks is read, appended to and read again
+    (A4, A7)."""
+    docs = X.table(spark, d, "documents").select("doc_id", "lang", "n_chars", F.concat(F.col("doc_id"), F.lit(".fb2")).alias("basename"))
+    root = scratch_path(spark, "blacklist")
+    line = (F.when(F.col("doc_id") % 77 == 0, F.concat(F.lit("# "), F.col("basename"), F.lit("|remark")))
+            .when(F.col("doc_id") % 2 == 0, F.col("basename"))
+            .otherwise(F.concat(F.col("basename"), F.lit("|"), F.col("lang"), F.lit("|"), F.col("n_chars"))))
+    docs.filter("doc_id % 7 = 0").select(line.alias("value")).write.text(root)
+    failed = docs.select("basename", F.lit(False).alias("ok"), F.lit("cut\nshort").alias("reason")).filter("n_chars % 3 = 0")
+    append_blacklist(new_blacklist_entries(failed, read_blacklist(spark, root)), root)
+    return read_blacklist(spark, root)
+
+
+def utf8_check(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts, three quarters with a stray, a cut or an overlong
+    sequence at the end (B3)."""
+    m = F.col("doc_id") % 4
+    tail = F.when(m == 1, F.unhex(F.lit("FF"))).when(m == 2, F.unhex(F.lit("C3"))).when(m == 3, F.unhex(F.lit("C0AF"))).otherwise(F.unhex(F.lit("")))
+    return X.table(spark, d, "documents").select("doc_id", utf8_valid(F.concat(F.encode("text", "UTF-8"), tail)).alias("ok"))
 
 
 # ---------------------------------------------------------------- I, K
@@ -220,14 +284,30 @@ def only_blacklisted_q(spark: SparkSession, d: str) -> DataFrame:
     return only_blacklisted(_files(spark, d), X.blacklist_src(spark, d)).select("path", "basename")
 
 
-def _validation(spark: SparkSession, d: str) -> DataFrame:
-    """Rendered documents, every 5th with its root left open, checked."""
-    src = X.book_src(spark, d)
+#: The ``book_src`` columns that rendering reads.
+_RENDERED = ("n_chars", "text", "title", "lang", "genre", "ext_id", "version", "w")
+
+
+def _breakable(src: DataFrame) -> DataFrame:
+    """``book_src`` rows with their FB2 text ``xml``, every 5th broken in one
+    of four ways: root left open, wrong end tag, bare ampersand, unquoted
+    attribute."""
     broken = F.col("doc_id") % 5 == 0
-    text = X.fb2_text(src, close_root=F.when(broken, F.lit("")).otherwise(F.lit("</FictionBook>\n")))
-    ok = check_wellformed(text)
-    return src.select("doc_id", "path", "basename", ok.alias("ok"),
-                      F.when(~ok, F.lit("malformed XML")).alias("reason"))
+    way = F.when(broken, (F.col("doc_id") / 5).cast("long") % 4)
+    root_end = F.when(way == 0, F.lit("")).otherwise(F.lit("</FictionBook>\n"))
+    x = F.col("_whole")
+    xml = (F.when(way == 1, F.replace(x, F.lit("</section>"), F.lit("</sektion>")))
+           .when(way == 2, F.replace(x, F.lit("<section><p>"), F.lit("<section><p>this & that ")))
+           .when(way == 3, F.replace(x, F.lit("<section>"), F.lit("<section id=a>"))).otherwise(x))
+    return evaluate_once(src, "_whole", X.fb2_text(src, close_root=root_end)).withColumn("xml", xml).drop("_whole")
+
+
+def _validation(spark: SparkSession, d: str) -> DataFrame:
+    """Rendered documents, some broken, checked."""
+    src = _breakable(X.book_src(spark, d).select("doc_id", "path", "basename", *_RENDERED))
+    checked = evaluate_once(src, "ok", check_wellformed(F.col("xml")))
+    return checked.select("doc_id", "path", "basename", "ok",
+                          F.when(~F.col("ok"), F.lit("malformed XML")).alias("reason"))
 
 
 def new_blacklist_entries_q(spark: SparkSession, d: str) -> DataFrame:
@@ -235,11 +315,12 @@ def new_blacklist_entries_q(spark: SparkSession, d: str) -> DataFrame:
 
 
 def run_summary_q(spark: SparkSession, d: str) -> DataFrame:
-    v = _validation(spark, d)
-    black = X.blacklist_src(spark, d).select(F.col("basename").alias("_b"), F.lit(True).alias("_bl")).distinct()
-    files = v.join(bounded_broadcast(black), v["basename"] == black["_b"], "left")
-    files = files.select(F.coalesce(F.col("_bl"), F.lit(False)).alias("blacklisted"), "ok")
-    return run_summary(files)
+    """The validate command's counts over files in bytes (K1)."""
+    src = _breakable(X.book_src(spark, d).select("doc_id", "path", *_RENDERED))
+    raw = written(src.select("doc_id", "path", F.encode("xml", "UTF-8").alias("raw")), "rendered")
+    files = X.zipped_where_named(raw)
+    results = written(validate(files, X.blacklist_src(spark, d)), "validated")   # read twice below
+    return summary(files, results, results.filter(~F.col("ok")))
 
 
 # ---------------------------------------------------------------- B, C
@@ -284,18 +365,19 @@ def wellformed(spark: SparkSession, d: str) -> DataFrame:
 
 def fb2_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     src = X.book_src(spark, d)
-    text = X.fb2_text(src)
+    text = X.fb2_text(src, document_authors=True)
     meta = book_metadata(src.select("doc_id", "path", text.alias("text")))
     return meta.select("doc_id", "title", "ext_id", "version", "lang", "genre",
                        _ids().alias("author_ids"))
 
 
+def _spoilt_title() -> F.Column:
+    return (F.when(F.col("doc_id") % 11 == 0, F.lit("1984"))
+            .when(F.col("doc_id") % 13 == 0, F.lit(None).cast("string")).otherwise(F.col("title")))
+
+
 def reject_reasons(spark: SparkSession, d: str) -> DataFrame:
-    src = X.book_src(spark, d)
-    title = (F.when(F.col("doc_id") % 11 == 0, F.lit("1984"))
-             .when(F.col("doc_id") % 13 == 0, F.lit(None).cast("string"))
-             .otherwise(F.col("title")))
-    src = src.withColumn("title", title)
+    src = X.book_src(spark, d).withColumn("title", _spoilt_title())
     text = X.fb2_text(src)
     text = F.when(F.col("doc_id") % 17 == 0,
                   F.replace(F.replace(text, F.lit("<description>"), F.lit("<annotation>")),
@@ -355,11 +437,35 @@ def index_books(spark: SparkSession, d: str) -> DataFrame:
     return _index_catalog(spark, d).books.drop("created_at")
 
 
-def stream_index(spark: SparkSession, d: str) -> DataFrame:
+def index_persons(spark: SparkSession, d: str) -> DataFrame:
+    return _index_catalog(spark, d).persons.select("id", "normalized_name")
+
+
+def index_links(spark: SparkSession, d: str) -> DataFrame:
+    return _index_catalog(spark, d).links
+
+
+def index_rejects(spark: SparkSession, d: str) -> DataFrame:
+    _, rejects = index(X.render_library(spark, d, title=_spoilt_title()), persist=False)
+    return rejects.select("path", "reject_reason")
+
+
+def _streamed(spark: SparkSession, d: str) -> G.Catalog:
     from ..streaming.library_stream import stream_index_documents
 
-    books = stream_index_documents(spark, d)
-    return books.select("id", "digest", "ext_id", "version")
+    return stream_index_documents(spark, d)
+
+
+def stream_index(spark: SparkSession, d: str) -> DataFrame:
+    return _streamed(spark, d).books.select("id", "digest", "ext_id", "version")
+
+
+def stream_persons(spark: SparkSession, d: str) -> DataFrame:
+    return _streamed(spark, d).persons.select("id", "normalized_name")
+
+
+def stream_links(spark: SparkSession, d: str) -> DataFrame:
+    return _streamed(spark, d).links
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -401,5 +507,15 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "reject_reasons": reject_reasons,
         "fb2_edge_cases": fb2_edge_cases,
         "index_books": index_books,
+        "index_persons": index_persons,
+        "index_links": index_links,
+        "index_rejects": index_rejects,
         "stream_index": stream_index,
+        "stream_persons": stream_persons,
+        "stream_links": stream_links,
+        "by_author_sink": by_author_sink,
+        "scan_library": scan_library_q,
+        "explode_archives": explode_archives_q,
+        "blacklist_file": blacklist_file,
+        "utf8_check": utf8_check,
     }
