@@ -27,6 +27,8 @@ def decoded(files: DataFrame, path: str = "path", content: str = "content",
     """Bytes -> ``(path, basename, encoding, text, error)``; the binary
     column is dropped here, before anything shuffles.  ``until`` limits the
     decoding to the bytes up to a marker (see ``decode_books``)."""
+    if content not in files.columns:
+        files = read_files(files)
     opened = open_books(files, path, content)
     keep = [c for c in files.columns if c not in (path, content, "basename", "length",
                                                   "modificationTime", "encoding", "text", "error")]

@@ -94,12 +94,14 @@ def zip_single(name, content) -> Column:
 
 def open_books(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """A3 applied to a scan: ``.fb2.zip`` rows are replaced by their member,
-    plain ``.fb2`` rows pass through; adds ``error`` (NULL when fine)."""
+    plain ``.fb2`` rows pass through; adds ``error`` (NULL when fine; one
+    that is there already stays)."""
     is_zip = F.col(path).endswith(".fb2.zip")
+    prior = F.col("error") if "error" in files.columns else F.lit(None).cast("string")
     z = unzip_single(F.when(is_zip, F.col(content)))
     return (files.withColumn("_z", z)
             .withColumn(content, F.when(is_zip, F.col("_z.content")).otherwise(F.col(content)))
-            .withColumn("error", F.col("_z.error"))
+            .withColumn("error", F.coalesce(prior, F.col("_z.error")))
             .drop("_z"))
 
 

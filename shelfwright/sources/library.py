@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..operators.catalog import TABLES, Catalog
 from ..operators.metadata import BLANKS
-from ..session import written
+from ..session import scratch_path, written
 
 BOOK_GLOB = "*.{fb2,fb2.zip}"
 
@@ -20,7 +20,8 @@ def scan_library(spark: SparkSession, path: str, with_content: bool = True) -> D
     case-sensitive suffix test at listing time; a single file is accepted).
 
     ``(path, basename, length, modificationTime[, content])``.  Without
-    ``content`` the binaryFile scan reads no file bytes at all.
+    ``content`` the binaryFile scan reads no file bytes at all, and
+    :func:`read_files` reads those of the files that are left later on.
     """
     df = (spark.read.format("binaryFile")
           .option("recursiveFileLookup", "true")
@@ -69,9 +70,24 @@ def blacklist_lines(entries: DataFrame) -> DataFrame:
 
 def append_blacklist(entries: DataFrame, path: str) -> None:
     """Append new ``(basename, comment)`` entries to the blacklist
-    folder (compute them with ``new_blacklist_entries`` so nothing is listed
-    twice)."""
-    blacklist_lines(entries).write.mode("append").text(path)
+    (compute them with ``new_blacklist_entries`` so nothing is listed twice).
+
+    A list that is a folder gets new files.  One that is a plain file is
+    written anew with the lines behind its own and put in its place; such a
+    list is edited by hand, so one task writes it."""
+    lines = blacklist_lines(entries)
+    spark = entries.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(place) or store.getFileStatus(place).isDirectory():
+        lines.write.mode("append").text(path)
+        return
+    fresh = scratch_path(spark, "blacklist")
+    spark.read.text(path).union(lines).coalesce(1).write.text(fresh)
+    part = next(f.getPath() for f in store.listStatus(spark._jvm.org.apache.hadoop.fs.Path(fresh))
+                if f.getPath().getName().startswith("part-"))
+    file_util = spark._jvm.org.apache.hadoop.fs.FileUtil
+    file_util.copy(store, part, store, place, False, True, spark._jsc.hadoopConfiguration())
 
 
 def read_aliases(spark: SparkSession, path: str) -> DataFrame:
