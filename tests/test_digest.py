@@ -4,6 +4,7 @@ from shelfwright.functions.digest import book_digest, hex_id, stable_id
 
 
 def test_digest_golden(spark):
+    # Books and the digests they must have.
     df = spark.createDataFrame([
         ("Booktitle", "12345", None, ["Аркадий Стругацкий"]),
         ("Названиекнижки", None, None, ["Толстой Лев"]),

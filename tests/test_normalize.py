@@ -12,6 +12,7 @@ def values(spark, fn, inputs):
 
 
 def test_norm_name_golden(spark):
+    # Names and what they must normalise to.
     got = values(spark, norm_name, ["1щёпкина ", "Щепкина-Куперник", " !4-###", "War and Peace", "1984", None])
     assert got == ["Щепкина", "Щепкина-Куперник", None, "Warandpeace", None, None]
 
