@@ -36,6 +36,11 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return result
 
 
+def _mark(links: DataFrame) -> tuple:
+    """Tells two sets of links apart."""
+    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
 def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
     """(vertex, root) of every vertex of ``links`` (u, v: long); the root is
     the component's smallest vertex, which is a row too.  With ``rounds`` it
@@ -43,15 +48,15 @@ def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
     component may have several."""
     now = stage(links.filter("u <> v").select(
         F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    before = None
+    before = None if rounds else _mark(now)
     for _ in range(rounds or MAX_ROUNDS):
         wide = _star(now, large=True)
         stars = _star(wide, large=False)
         unstage(wide, now)
         now = stars
         if rounds is None:
-            mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-            if mark == before:
+            mark = _mark(now)
+            if mark == before:  # stars already: nothing moved
                 break
             before = mark
     else:

@@ -269,11 +269,37 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= THRESHOLD * (len(a) + len(b) - both)
 
 
+#: Comparisons a member may fail, on average, before a group is finished by
+#: counting shared shingles.
+FAILURES = 4
+
+
+def _shared(sets: list[np.ndarray]):
+    """A function of i: how many shingles set i shares with every set."""
+    sizes = np.array([len(s) for s in sets])
+    _, ids, holders = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)[np.argsort(ids, kind="stable")]
+    first = np.concatenate([[0], np.cumsum(holders)[:-1]])
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+
+    def count(i: int) -> np.ndarray:
+        mine = ids[begin[i]:begin[i + 1]]
+        long = holders[mine]
+        at = np.repeat(first[mine] - np.cumsum(long) + long, long) + np.arange(long.sum())
+        return np.bincount(owner[at], minlength=len(sets))
+
+    return count
+
+
 def _confirm(sids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links of one group that connect what is linked, confirmed on the sets."""
+    """(member, smallest member of its component) inside one group, by links
+    confirmed on the full sets: the likeliest pairs first, skipping those
+    already connected; where many fail, shared shingles of whatever is outside
+    the largest component are counted instead, which decides all of its pairs
+    at once."""
     n = np.array([len(s) for s in sets])
     if len(sets) == 2:
-        return [(int(sids[0]), int(sids[1]))] if linked(*sets) else []
+        return [(int(max(sids)), int(min(sids)))] if linked(*sets) else []
     bits = np.array([np.packbits((minwise(s) & np.uint64(1)).astype(np.uint8)) for s in sets]).view("<u8")
     i, j, like = similar_pairs(np.zeros(len(sets), np.int64), bits, n)
     root = list(range(len(sets)))
@@ -283,20 +309,41 @@ def _confirm(sids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
             root[x] = x = root[root[x]]
         return x
 
-    out, left = [], len(sets) - 1
+    left = len(sets) - 1
+
+    def join(x: int, y: int) -> None:
+        nonlocal left
+        a, b = find(x), find(y)
+        if a != b:
+            root[a], left = b, left - 1
+
+    failed = 0
     for p in np.argsort(-like, kind="stable").tolist():
-        a, b = find(int(i[p])), find(int(j[p]))
-        if a != b and linked(sets[i[p]], sets[j[p]]):
-            root[a] = b
-            out.append((int(sids[i[p]]), int(sids[j[p]])))
-            left -= 1
-            if not left:
-                break
-    return out
+        x, y = int(i[p]), int(j[p])
+        if find(x) == find(y):
+            continue
+        if linked(sets[x], sets[y]):
+            join(x, y)
+        else:
+            failed += 1
+        if not left or failed > FAILURES * len(sets):
+            break
+    if failed > FAILURES * len(sets):
+        parts = np.array([find(x) for x in range(len(sets))])
+        count = _shared(sets)
+        for x in np.flatnonzero(parts != np.bincount(parts).argmax()).tolist():
+            both = count(x)
+            for y in np.flatnonzero(100 * both >= THRESHOLD * (n[x] + n - both)).tolist():
+                join(x, y)
+    least: dict[int, int] = {}
+    for x, sid in enumerate(sids.tolist()):
+        least[find(x)] = min(sid, least.get(find(x), sid))
+    return [(sid, least[find(x)]) for x, sid in enumerate(sids.tolist()) if sid != least[find(x)]]
 
 
 def _confirmed(docs: DataFrame, proposals: DataFrame, vertices: DataFrame, partitions: int) -> DataFrame:
-    """Links (u, v) between vertices, confirmed on the texts' full sets."""
+    """Links (u, v) of vertices to the smallest one of their component in a
+    task's group, confirmed on the texts' full sets."""
     groups = stage(components(proposals, GROUPING_ROUNDS), "proposal-groups")
     info = vertices.select(F.col("sid").alias("vertex"), "n", "k1", "k2", "doc_key")
     members = stage(groups.join(info, "vertex"), "group-members")

@@ -88,3 +88,36 @@ def test_components(spark):
             root[max(a, b)] = min(a, b)
     assert got == {x: find(x) for x in root}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_confirming_a_group_of_near_misses(monkeypatch):
+    """Many pairs just below the threshold: the links found are those of all pairs."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2 ** 64, 400, dtype=np.uint64)
+    sets = []
+    for k in range(120):
+        own = rng.integers(0, 2 ** 64, 400, dtype=np.uint64)
+        keep = rng.random(400) < (0.97 if k % 6 == 0 else 0.9)
+        sets.append(np.unique(np.where(keep, base, own)))
+    sets.append(np.unique(np.concatenate([sets[1][:-20], own[:20]])))
+    want = {frozenset(c) for c in _classes(len(sets), [(a, b) for a in range(len(sets)) for b in range(a) if M.linked(sets[a], sets[b])])}
+    for failures in (0, 4, 10 ** 6):
+        monkeypatch.setattr(M, "FAILURES", failures)
+        got = M._confirm(np.arange(len(sets)), sets)
+        assert {frozenset(c) for c in _classes(len(sets), got)} == want
+    assert 1 < len(want) < len(sets)
+
+
+def _classes(n, links):
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    for a, b in links:
+        root[find(a)] = find(b)
+    out = {}
+    for x in range(n):
+        out.setdefault(find(x), []).append(x)
+    return out.values()
