@@ -17,7 +17,11 @@ and not with pairs.
 Proposals only group vertices: every group's texts then meet, and links are
 confirmed on the full sets, all pairs that the sketches allow in the order of
 likeness, skipping those already connected.  Groups too large for a task are
-dealt by their proposals.
+dealt by their proposals.  Then the nodes are compared again: whatever pairs
+the sketches allow between different components meet in pairs of blocks of
+their groups, so that no allowed pair of a node is left unchecked.  Where
+groups have many blocks, the likeliest pair of every two components goes
+first, which leaves little for the blocks.
 
 Null texts and texts without words have an empty set and are linked with
 nothing.  Repeated rows belong together like any equal texts.  A component of
@@ -44,6 +48,8 @@ TREES, LEVELS, SMALL_NODE, BLOCK, NEAREST = 8, 3, 512, 1024, 4
 #: Rounds of components that are enough to bring proposals' texts together.
 GROUPING_ROUNDS = 2
 GROUP_VERTICES, GROUP_SHINGLES = 512, 1_000_000
+#: Blocks of a group from which components are joined by their likeliest pairs first.
+MANY_BLOCKS = 8
 BINS, COORDS = 256, 64
 
 _SALTS = np.random.default_rng(17).integers(1, 2 ** 63, 16).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -242,15 +248,20 @@ def _nearest(i: np.ndarray, j: np.ndarray, like: np.ndarray) -> np.ndarray:
     return np.unique(pair[rank < NEAREST])
 
 
-def _proposals(members: DataFrame, vertices: DataFrame, partitions: int) -> DataFrame:
-    """Links (u, v) that comparing all nodes proposes."""
+def _dealt(members: DataFrame, vertices: DataFrame, partitions: int, *more: str) -> DataFrame:
+    """(grp, sid, n, bits, *more) of all nodes' members, a group being a node
+    or two blocks of a large one."""
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("sid"), blocks).cast("int")
     mates = F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: F.xxhash64(
         "node", F.least(b, F.col("own")), F.greatest(b, F.col("own"))))
-    dealt = (members.withColumn("own", own).select(F.explode(mates).alias("grp"), "sid")
-             .join(vertices.select("sid", "n", "bits"), "sid")
-             .repartition(partitions, "grp").sortWithinPartitions("grp").select("grp", "sid", "n", "bits"))
+    return (members.withColumn("own", own).select(F.explode(mates).alias("grp"), "sid")
+            .join(vertices.select("sid", "n", "bits", *more), "sid")
+            .repartition(partitions, "grp").sortWithinPartitions("grp").select("grp", "sid", "n", "bits", *more))
+
+
+def _proposals(members: DataFrame, vertices: DataFrame, partitions: int) -> DataFrame:
+    """Links (u, v) that comparing all nodes proposes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _sorted_groups(batches):
@@ -261,7 +272,43 @@ def _proposals(members: DataFrame, vertices: DataFrame, partitions: int) -> Data
             u, v = sid[i[keep]], sid[j[keep]]
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
 
-    return dealt.mapInArrow(run, "u long, v long").filter("u <> v").distinct()
+    return _dealt(members, vertices, partitions).mapInArrow(run, "u long, v long").filter("u <> v").distinct()
+
+
+def _open(members: DataFrame, placed: DataFrame, partitions: int, likeliest: bool) -> DataFrame:
+    """(part, vertex) of what the sketches allow between different components
+    (``label``) of nodes: a part is two blocks of ``placed`` and holds their
+    vertices with such a pair, or, ``likeliest``, those of the likeliest pairs
+    of two components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _sorted_groups(batches):
+            sid, label, block = (_column(table, c).to_numpy() for c in ("sid", "label", "block"))
+            i, j, like = similar_pairs(_column(table, "grp").to_numpy(), _fixed(_column(table, "bits"), "<u8", BINS // 64),
+                                       _column(table, "n").to_numpy())
+            apart = label[i] != label[j]
+            i, j, like = i[apart], j[apart], like[apart]
+            if likeliest:
+                keep = _nearest(i, j, like)
+                i, j, like = i[keep], j[keep], like[keep]
+            with np.errstate(over="ignore"):
+                low, high = np.minimum(block[i], block[j]).astype(np.uint64), np.maximum(block[i], block[j]).astype(np.uint64)
+                part = _words.mix(low * _SALTS[13] + high * _SALTS[14]).astype(np.int64)
+            if likeliest:
+                a, b = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
+                columns = [a, b, like, part, sid[i], sid[j]]
+            else:
+                columns = list(np.unique(np.stack([np.tile(part, 2), np.concatenate([sid[i], sid[j]])]), axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names.split())
+
+    dealt = _dealt(members, placed.withColumnRenamed("vertex", "sid"), partitions, "label", "block")
+    if not likeliest:
+        names = "part vertex"
+        return dealt.mapInArrow(run, "part long, vertex long").distinct()
+    names = "a b like part u v"
+    pairs = dealt.mapInArrow(run, "a long, b long, like double, part long, u long, v long")
+    best = pairs.groupBy("a", "b").agg(F.max(F.struct("like", "part", "u", "v")).alias("best"))
+    return best.select("best.part", F.explode(F.array("best.u", "best.v")).alias("vertex")).distinct()
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -291,15 +338,15 @@ def _shared(sets: list[np.ndarray]):
     return count
 
 
-def _confirm(sids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """(member, smallest member of its component) inside one group, by links
-    confirmed on the full sets: the likeliest pairs first, skipping those
-    already connected; where many fail, shared shingles of whatever is outside
-    the largest component are counted instead, which decides all of its pairs
-    at once."""
+def _confirm(labels: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """(label, smallest label of its component) inside one group, by links
+    confirmed on the full sets; sets of one label are connected already.  The
+    likeliest pairs come first, skipping those connected; where many fail,
+    shared shingles of whatever is outside the largest component are counted
+    instead, which decides all of its pairs at once."""
     n = np.array([len(s) for s in sets])
     if len(sets) == 2:
-        return [(int(max(sids)), int(min(sids)))] if linked(*sets) else []
+        return [(int(max(labels)), int(min(labels)))] if labels[0] != labels[1] and linked(*sets) else []
     bits = np.array([np.packbits((minwise(s) & np.uint64(1)).astype(np.uint8)) for s in sets]).view("<u8")
     i, j, like = similar_pairs(np.zeros(len(sets), np.int64), bits, n)
     root = list(range(len(sets)))
@@ -317,6 +364,9 @@ def _confirm(sids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
         if a != b:
             root[a], left = b, left - 1
 
+    seen: dict[int, int] = {}
+    for x, label in enumerate(labels.tolist()):
+        join(x, seen.setdefault(label, x))
     failed = 0
     for p in np.argsort(-like, kind="stable").tolist():
         x, y = int(i[p]), int(j[p])
@@ -336,41 +386,63 @@ def _confirm(sids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
             for y in np.flatnonzero(100 * both >= THRESHOLD * (n[x] + n - both)).tolist():
                 join(x, y)
     least: dict[int, int] = {}
-    for x, sid in enumerate(sids.tolist()):
-        least[find(x)] = min(sid, least.get(find(x), sid))
-    return [(sid, least[find(x)]) for x, sid in enumerate(sids.tolist()) if sid != least[find(x)]]
+    for label, x in seen.items():
+        least[find(x)] = min(label, least.get(find(x), label))
+    return [(label, least[find(x)]) for label, x in seen.items() if label != least[find(x)]]
 
 
-def _confirmed(docs: DataFrame, proposals: DataFrame, vertices: DataFrame, partitions: int) -> DataFrame:
-    """Links (u, v) of vertices to the smallest one of their component in a
-    task's group, confirmed on the texts' full sets."""
+def _confirmed(docs: DataFrame, members: DataFrame, vertices: DataFrame, partitions: int) -> DataFrame:
+    """(vertex, root) of linked vertices; links are confirmed on the texts'
+    full sets until no pair of a node that the sketches allow is left."""
+    proposals = stage(_proposals(members, vertices, partitions), "proposals")
     groups = stage(components(proposals, GROUPING_ROUNDS), "proposal-groups")
-    info = vertices.select(F.col("sid").alias("vertex"), "n", "k1", "k2", "doc_key")
-    members = stage(groups.join(info, "vertex"), "group-members")
-    parts = stage(members.groupBy("root").agg(F.greatest(
+    info = vertices.select(F.col("sid").alias("vertex"), "n", "bits", "k1", "k2", "doc_key")
+    grouped = stage(groups.join(info, "vertex"), "group-members")
+    parts = stage(grouped.groupBy("root").agg(F.greatest(
         F.ceil(F.count("*") / GROUP_VERTICES), F.ceil(F.sum("n") / GROUP_SHINGLES)).cast("int").alias("parts")), "group-parts")
     at = stage(proposals.join(groups.select(F.col("vertex").alias("u"), "root"), "u").join(parts, "root").select(
         F.xxhash64("root", F.pmod(F.xxhash64("u"), F.col("parts"))).alias("part"), "u", "v"), "dealt-proposals")
-    needed = (at.select("part", F.col("u").alias("vertex")).union(at.select("part", F.col("v").alias("vertex"))).distinct()
-              .join(info, "vertex"))
-    needed = stage(needed.select("part", "vertex", "k1", "k2", F.col("doc_key")), "needed-texts")
+    needed = at.select("part", F.col("u").alias("vertex")).union(at.select("part", F.col("v").alias("vertex"))).distinct()
+    links = _links(docs, needed.join(info.withColumn("label", F.col("vertex")), "vertex"), partitions)
+    placed = stage(grouped.join(parts, "root").withColumn(
+        "block", F.xxhash64("root", F.pmod(F.xxhash64("vertex"), F.col("parts")))).drop("root", "parts"), "placed")
+    many = parts.filter(F.col("parts") >= MANY_BLOCKS).take(1)
+    for likeliest in (True, False) if many else (False,):
+        roots = stage(components(links), "linked")
+        now = stage(placed.join(roots.withColumnRenamed("root", "label"), "vertex", "left").withColumn(
+            "label", F.coalesce("label", "vertex")), "labelled")
+        left = stage(_open(members, now, partitions, likeliest), "open")
+        if not left.take(1):
+            return roots
+        more = _links(docs, left.join(now, "vertex"), partitions)
+        if not more.take(1) and not likeliest:
+            return roots
+        links = stage(links.union(more), "all-links")
+    return components(links)
+
+
+def _links(docs: DataFrame, needed: DataFrame, partitions: int) -> DataFrame:
+    """Links (u, v) of labels to the smallest one of their component in a
+    part; ``needed``: (part, vertex, label, k1, k2, doc_key)."""
+    needed = stage(needed.select("part", "vertex", "label", "k1", "k2", "doc_key"), "needed-texts")
     text = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOW_KEY)).alias("doc_key"),
                        text_or_empty().cast("binary").alias("text"))
     # by id at every size: texts are too large to depend on what is broadcast
-    dealt = (text.join(needed.hint("merge"), "doc_key").select("part", "vertex", "k1", "k2", "text")
+    dealt = (text.join(needed.hint("merge"), "doc_key").select("part", "vertex", "label", "k1", "k2", "text")
              .repartition(partitions, "part").sortWithinPartitions("part", "vertex"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> None:
             if len(sets) > 1:
-                out.extend(_confirm(np.array(sids), sets))
+                out.extend(_confirm(np.array(labels), sets))
             sids.clear()
+            labels.clear()
             sets.clear()
 
-        now, sids, sets, out = None, [], [], []
+        now, sids, labels, sets, out = None, [], [], [], []
         for batch in batches:
-            part, vertex, k1, k2 = (batch.column(c).to_pylist() for c in range(4))
-            text = batch.column(4)
+            part, vertex, label, k1, k2 = (batch.column(c).to_pylist() for c in range(5))
+            text = batch.column(5)
             for lo, hi in _words.blocks(text):
                 for row, s in enumerate(shingle_sets(text, lo, hi), lo):
                     if part[row] != now:
@@ -379,6 +451,7 @@ def _confirmed(docs: DataFrame, proposals: DataFrame, vertices: DataFrame, parti
                     # a repeated id may bring another text, a repeated row the same one
                     if _sum_key(s) == (k1[row], k2[row]) and (not sids or sids[-1] != vertex[row]):
                         sids.append(vertex[row])
+                        labels.append(label[row])
                         sets.append(s)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["u", "v"])
@@ -408,10 +481,8 @@ def _components_of_rows(docs: DataFrame) -> DataFrame:
     members = leaves[0]
     for more in leaves[1:]:
         members = members.unionByName(more)
-    proposals = stage(_proposals(members, vertices, partitions), "proposals")
+    roots = _confirmed(docs, members, vertices, partitions).select(F.col("vertex").alias("sid"), "root")
     unstage(*leaves)
-    links = _confirmed(docs, proposals, vertices, partitions)
-    roots = components(links).select(F.col("vertex").alias("sid"), "root")
     owned = stage(vertices.select("sid", "k1", "k2", "doc_key").join(roots, "sid", "left").select(
         "k1", "k2", F.coalesce("root", "sid").alias("root"), "doc_key"), "rooted")
     # a vertex's doc_key is its smallest id already

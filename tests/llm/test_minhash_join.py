@@ -121,3 +121,22 @@ def _classes(n, links):
     for x in range(n):
         out.setdefault(find(x), []).append(x)
     return out.values()
+
+
+@pytest.mark.parametrize("copies", [6, 50])
+def test_two_versions_of_a_text(spark, monkeypatch, copies):
+    """Every copy's nearest are of its own version; the versions are linked all the same."""
+    monkeypatch.setattr(M, "GROUP_VERTICES", 8)
+    for many in (2, 10 ** 6):
+        monkeypatch.setattr(M, "MANY_BLOCKS", many)
+        rng = random.Random(copies)
+        texts = []
+        for _ in range(6):
+            base = sentence(rng, 300)
+            other = base[:265] + sentence(rng, 19) + base[284:]  # likeness of about 0.86 with base
+            for version in (base, other):
+                for _ in range(copies):  # one place edited, 0.97 within a version
+                    w = list(version)
+                    w[2] = "edit" + str(rng.randrange(10 ** 6))
+                    texts.append(" ".join(w))
+        check(spark, texts, random.Random(2).sample(range(10 ** 6), len(texts)))
