@@ -53,6 +53,9 @@ MANY_BLOCKS = 8
 BINS, COORDS = 256, 64
 
 _SALTS = np.random.default_rng(17).integers(1, 2 ** 63, 16).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_TOKEN_SALTS = np.random.default_rng(19).integers(1, 2 ** 63, TREES + COORDS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+#: Where the branching tokens' ranges of hashes begin.
+_RANGES = np.arange(COORDS).astype(np.uint64) * np.uint64(BINS // COORDS) << np.uint64(56)
 _LOW_KEY = -(2 ** 63)
 
 
@@ -100,6 +103,33 @@ def minwise(s: np.ndarray) -> np.ndarray:
         return _words.mix(least[at] + far * _SALTS[12])
 
 
+def tokens_of(sets: list[np.ndarray]) -> np.ndarray:
+    """TREES minwise values of each set by hash functions of their own, one a
+    tree, then COORDS for branching: the least hash of every fourth of the
+    BINS ranges, an empty one filled by its own hash function.  Two sets agree
+    in each with the probability of their likeness, independently."""
+    out = np.empty((len(sets), TREES + COORDS), np.uint64)
+    held = np.flatnonzero([len(s) for s in sets])
+    if not len(held):
+        return out.astype("<u4")
+    every = np.concatenate([sets[k] for k in held])
+    begin = np.cumsum([0, *(len(sets[k]) for k in held[:-1])])
+    with np.errstate(over="ignore"):
+        for t in range(TREES):
+            out[held, t] = np.minimum.reduceat(_words.mix(every ^ _TOKEN_SALTS[t]), begin)
+        for k in held.tolist():
+            s = sets[k]
+            at = np.searchsorted(s, _RANGES)
+            least = s[np.minimum(at, len(s) - 1)]
+            empty = np.flatnonzero((at == len(s)) | (least >> np.uint64(56) != _RANGES >> np.uint64(56)))
+            least = _words.mix(least)
+            if len(empty):
+                least[empty] = _words.mix(s ^ _TOKEN_SALTS[TREES + empty][:, None]).min(axis=1)
+            out[k, TREES:] = least
+    # low bits: those of a minimum's top are nearly all zero
+    return (out & np.uint64(0xFFFFFFFF)).astype("<u4")
+
+
 def _allowed(n: np.ndarray) -> np.ndarray:
     """Least likeness of sketches that a pair at the threshold may show, four
     standard deviations down; sketches of short texts vary more."""
@@ -114,13 +144,13 @@ def _describe(docs: DataFrame) -> DataFrame:
             text = batch.column(2)
             for lo, hi in _words.blocks(text):
                 n, keys, tokens, bits = [], [], [], []
-                for s in shingle_sets(text, lo, hi):
+                sets = shingle_sets(text, lo, hi)
+                for s, token in zip(sets, tokens_of(sets)):
                     n.append(len(s))
                     keys.append(_sum_key(s))
                     if len(s):
-                        m = minwise(s)
-                        tokens.append((m[:COORDS] >> np.uint64(32)).astype("<u4").tobytes())
-                        bits.append(np.packbits((m & np.uint64(1)).astype(np.uint8)).tobytes())
+                        tokens.append(token.tobytes())
+                        bits.append(np.packbits((minwise(s) & np.uint64(1)).astype(np.uint8)).tobytes())
                     else:
                         tokens.append(None)
                         bits.append(None)
@@ -147,17 +177,16 @@ def _branch(members: DataFrame, level: int) -> DataFrame:
         for batch in batches:
             if not len(batch):
                 continue
-            sid, tokens = batch.column(1), _fixed(batch.column(2), "<u4", COORDS).astype(np.uint64)
+            sid, tokens = batch.column(1), _fixed(batch.column(2), "<u4", TREES + COORDS).astype(np.uint64)
             rows = np.arange(len(batch))
             out = []
             with np.errstate(over="ignore"):
                 if level == 0:
                     for t in range(TREES):
-                        c = (t * 7) % COORDS
                         root = np.uint64(t + 1) * _SALTS[13]
-                        out.append((rows, _words.mix(root + tokens[:, c] * _SALTS[14] + np.uint64(c))))
+                        out.append((rows, _words.mix(root + tokens[:, t] * _SALTS[14])))
                 else:
-                    node = batch.column(0).to_numpy().astype(np.uint64)
+                    node, tokens = batch.column(0).to_numpy().astype(np.uint64), tokens[:, TREES:]
                     pick = _words.mix(node ^ _SALTS[15])
                     c = (pick % np.uint64(COORDS)).astype(np.int64)
                     out.append((rows, _words.mix(node + tokens[rows, c] * _SALTS[14] + c.astype(np.uint64))))
