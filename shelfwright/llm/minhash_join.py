@@ -17,7 +17,8 @@ and not with pairs.
 Proposals only group vertices: every group's texts then meet, and links are
 confirmed on the full sets, all pairs that the sketches allow in the order of
 likeness, skipping those already connected.  Groups too large for a task are
-dealt by their proposals.  Then the nodes are compared again: whatever pairs
+cut into blocks of about ``GROUP_VERTICES``, and a task holds one block, later
+the members of two.  Then the nodes are compared again: whatever pairs
 the sketches allow between different components meet in pairs of blocks of
 their groups, so that no allowed pair of a node is left unchecked.  Where
 groups have many blocks, the likeliest pair of every two components goes
@@ -306,7 +307,7 @@ def _proposals(members: DataFrame, vertices: DataFrame, partitions: int) -> Data
 
 def _open(members: DataFrame, placed: DataFrame, partitions: int, likeliest: bool) -> DataFrame:
     """(part, vertex) of what the sketches allow between different components
-    (``label``) of nodes: a part is two blocks of ``placed`` and holds their
+    (``label``) of nodes, a block's own pairs being decided: a part is two blocks of ``placed`` and holds their
     vertices with such a pair, or, ``likeliest``, those of the likeliest pairs
     of two components."""
 
@@ -315,7 +316,7 @@ def _open(members: DataFrame, placed: DataFrame, partitions: int, likeliest: boo
             sid, label, block = (_column(table, c).to_numpy() for c in ("sid", "label", "block"))
             i, j, like = similar_pairs(_column(table, "grp").to_numpy(), _fixed(_column(table, "bits"), "<u8", BINS // 64),
                                        _column(table, "n").to_numpy())
-            apart = label[i] != label[j]
+            apart = (label[i] != label[j]) & (block[i] != block[j])
             i, j, like = i[apart], j[apart], like[apart]
             if likeliest:
                 keep = _nearest(i, j, like)
@@ -429,12 +430,9 @@ def _confirmed(docs: DataFrame, members: DataFrame, vertices: DataFrame, partiti
     grouped = stage(groups.join(info, "vertex"), "group-members")
     parts = stage(grouped.groupBy("root").agg(F.greatest(
         F.ceil(F.count("*") / GROUP_VERTICES), F.ceil(F.sum("n") / GROUP_SHINGLES)).cast("int").alias("parts")), "group-parts")
-    at = stage(proposals.join(groups.select(F.col("vertex").alias("u"), "root"), "u").join(parts, "root").select(
-        F.xxhash64("root", F.pmod(F.xxhash64("u"), F.col("parts"))).alias("part"), "u", "v"), "dealt-proposals")
-    needed = at.select("part", F.col("u").alias("vertex")).union(at.select("part", F.col("v").alias("vertex"))).distinct()
-    links = _links(docs, needed.join(info.withColumn("label", F.col("vertex")), "vertex"), partitions)
     placed = stage(grouped.join(parts, "root").withColumn(
         "block", F.xxhash64("root", F.pmod(F.xxhash64("vertex"), F.col("parts")))).drop("root", "parts"), "placed")
+    links = _links(docs, placed.withColumn("part", F.col("block")).withColumn("label", F.col("vertex")), partitions)
     many = parts.filter(F.col("parts") >= MANY_BLOCKS).take(1)
     for likeliest in (True, False) if many else (False,):
         roots = stage(components(links), "linked")
