@@ -131,10 +131,10 @@ def tokens_of(sets: list[np.ndarray]) -> np.ndarray:
     return (out & np.uint64(0xFFFFFFFF)).astype("<u4")
 
 
-def _allowed(n: np.ndarray) -> np.ndarray:
+def _allowed(n: np.ndarray, threshold: int) -> np.ndarray:
     """Least likeness of sketches that a pair at the threshold may show, four
     standard deviations down; sketches of short texts vary more."""
-    return THRESHOLD / 100 - 4 * (0.035 + 0.55 / np.sqrt(np.maximum(n, 1)))
+    return threshold / 100 - 4 * (0.035 + 0.55 / np.sqrt(np.maximum(n, 1)))
 
 
 def _describe(docs: DataFrame) -> DataFrame:
@@ -170,7 +170,7 @@ def _fixed(column: pa.Array, dtype: str, width: int) -> np.ndarray:
     return data.view(dtype).reshape(len(column), width)
 
 
-def _branch(members: DataFrame, level: int) -> DataFrame:
+def _branch(members: DataFrame, level: int, threshold: int = THRESHOLD) -> DataFrame:
     """Children (node, sid) of ``members`` (node, sid, tokens); at level 0
     every vertex enters all trees."""
 
@@ -191,7 +191,7 @@ def _branch(members: DataFrame, level: int) -> DataFrame:
                     pick = _words.mix(node ^ _SALTS[15])
                     c = (pick % np.uint64(COORDS)).astype(np.int64)
                     out.append((rows, _words.mix(node + tokens[rows, c] * _SALTS[14] + c.astype(np.uint64))))
-                    more = np.flatnonzero((pick >> np.uint64(40)) % np.uint64(1000) < np.uint64(1000 * (100 - THRESHOLD) // THRESHOLD))
+                    more = np.flatnonzero((pick >> np.uint64(40)) % np.uint64(1000) < np.uint64(1000 * (100 - threshold) // threshold))
                     c2 = (c[more] + 1 + ((pick[more] >> np.uint64(16)) % np.uint64(COORDS - 1)).astype(np.int64)) % COORDS
                     out.append((more, _words.mix(node[more] + tokens[more, c2] * _SALTS[14] + c2.astype(np.uint64))))
             at = np.concatenate([o[0] for o in out])
@@ -201,11 +201,11 @@ def _branch(members: DataFrame, level: int) -> DataFrame:
     return members.select("node", "sid", "tokens").mapInArrow(run, "node long, sid long")
 
 
-def _leaves(vertices: DataFrame) -> list[DataFrame]:
+def _leaves(vertices: DataFrame, threshold: int) -> list[DataFrame]:
     """Members (node, sid, size) of all nodes that are to be compared."""
     found, members = [], vertices.withColumn("node", F.lit(0).cast("long"))
     for level in range(LEVELS):
-        children = stage(_branch(members, level), "children")
+        children = stage(_branch(members, level, threshold), "children")
         sizes = stage(children.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1"), "node-sizes")
         sized = stage(children.join(sizes, "node"), "members")
         unstage(children, sizes)
@@ -244,7 +244,7 @@ def _column(table: pa.Table, name: str) -> pa.Array:
     return c.chunk(0) if c.num_chunks == 1 else c.combine_chunks()
 
 
-def similar_pairs(group: np.ndarray, bits: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def similar_pairs(group: np.ndarray, bits: np.ndarray, n: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All pairs (i, j, likeness) inside the groups of a sorted array whose
     sketches and sizes allow a link."""
     out_i, out_j, out_s = [], [], []
@@ -258,7 +258,7 @@ def similar_pairs(group: np.ndarray, bits: np.ndarray, n: np.ndarray) -> tuple[n
         apart = np.bitwise_count(bits[rows] ^ bits[other]).sum(1)
         like = 1 - 2 * apart / BINS
         small, large = np.minimum(n[rows], n[other]), np.maximum(n[rows], n[other])
-        ok = (like >= _allowed(small)) & (100 * small >= THRESHOLD * large)
+        ok = (like >= _allowed(small, threshold)) & (100 * small >= threshold * large)
         out_i.append(rows[ok])
         out_j.append(other[ok])
         out_s.append(like[ok])
@@ -290,14 +290,14 @@ def _dealt(members: DataFrame, vertices: DataFrame, partitions: int, *more: str)
             .repartition(partitions, "grp").sortWithinPartitions("grp").select("grp", "sid", "n", "bits", *more))
 
 
-def _proposals(members: DataFrame, vertices: DataFrame, partitions: int) -> DataFrame:
+def _proposals(members: DataFrame, vertices: DataFrame, partitions: int, threshold: int) -> DataFrame:
     """Links (u, v) that comparing all nodes proposes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _sorted_groups(batches):
             sid = _column(table, "sid").to_numpy()
             i, j, like = similar_pairs(_column(table, "grp").to_numpy(), _fixed(_column(table, "bits"), "<u8", BINS // 64),
-                                       _column(table, "n").to_numpy())
+                                       _column(table, "n").to_numpy(), threshold)
             keep = _nearest(i, j, like)
             u, v = sid[i[keep]], sid[j[keep]]
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
@@ -305,7 +305,7 @@ def _proposals(members: DataFrame, vertices: DataFrame, partitions: int) -> Data
     return _dealt(members, vertices, partitions).mapInArrow(run, "u long, v long").filter("u <> v").distinct()
 
 
-def _open(members: DataFrame, placed: DataFrame, partitions: int, likeliest: bool) -> DataFrame:
+def _open(members: DataFrame, placed: DataFrame, partitions: int, likeliest: bool, threshold: int) -> DataFrame:
     """(part, vertex) of what the sketches allow between different components
     (``label``) of nodes, a block's own pairs being decided: a part is two blocks of ``placed`` and holds their
     vertices with such a pair, or, ``likeliest``, those of the likeliest pairs
@@ -315,7 +315,7 @@ def _open(members: DataFrame, placed: DataFrame, partitions: int, likeliest: boo
         for table in _sorted_groups(batches):
             sid, label, block = (_column(table, c).to_numpy() for c in ("sid", "label", "block"))
             i, j, like = similar_pairs(_column(table, "grp").to_numpy(), _fixed(_column(table, "bits"), "<u8", BINS // 64),
-                                       _column(table, "n").to_numpy())
+                                       _column(table, "n").to_numpy(), threshold)
             apart = (label[i] != label[j]) & (block[i] != block[j])
             i, j, like = i[apart], j[apart], like[apart]
             if likeliest:
@@ -341,9 +341,9 @@ def _open(members: DataFrame, placed: DataFrame, partitions: int, likeliest: boo
     return best.select("best.part", F.explode(F.array("best.u", "best.v")).alias("vertex")).distinct()
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
+def linked(a: np.ndarray, b: np.ndarray, threshold: int = THRESHOLD) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= THRESHOLD * (len(a) + len(b) - both)
+    return 100 * both >= threshold * (len(a) + len(b) - both)
 
 
 #: Comparisons a member may fail, on average, before a group is finished by
@@ -368,7 +368,7 @@ def _shared(sets: list[np.ndarray]):
     return count
 
 
-def _confirm(labels: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+def _confirm(labels: np.ndarray, sets: list[np.ndarray], threshold: int = THRESHOLD) -> list[tuple[int, int]]:
     """(label, smallest label of its component) inside one group, by links
     confirmed on the full sets; sets of one label are connected already.  The
     likeliest pairs come first, skipping those connected; where many fail,
@@ -376,9 +376,9 @@ def _confirm(labels: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]
     instead, which decides all of its pairs at once."""
     n = np.array([len(s) for s in sets])
     if len(sets) == 2:
-        return [(int(max(labels)), int(min(labels)))] if labels[0] != labels[1] and linked(*sets) else []
+        return [(int(max(labels)), int(min(labels)))] if labels[0] != labels[1] and linked(*sets, threshold) else []
     bits = np.array([np.packbits((minwise(s) & np.uint64(1)).astype(np.uint8)) for s in sets]).view("<u8")
-    i, j, like = similar_pairs(np.zeros(len(sets), np.int64), bits, n)
+    i, j, like = similar_pairs(np.zeros(len(sets), np.int64), bits, n, threshold)
     root = list(range(len(sets)))
 
     def find(x: int) -> int:
@@ -402,7 +402,7 @@ def _confirm(labels: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]
         x, y = int(i[p]), int(j[p])
         if find(x) == find(y):
             continue
-        if linked(sets[x], sets[y]):
+        if linked(sets[x], sets[y], threshold):
             join(x, y)
         else:
             failed += 1
@@ -413,7 +413,7 @@ def _confirm(labels: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]
         count = _shared(sets)
         for x in np.flatnonzero(parts != np.bincount(parts).argmax()).tolist():
             both = count(x)
-            for y in np.flatnonzero(100 * both >= THRESHOLD * (n[x] + n - both)).tolist():
+            for y in np.flatnonzero(100 * both >= threshold * (n[x] + n - both)).tolist():
                 join(x, y)
     least: dict[int, int] = {}
     for label, x in seen.items():
@@ -421,10 +421,10 @@ def _confirm(labels: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]
     return [(label, least[find(x)]) for label, x in seen.items() if label != least[find(x)]]
 
 
-def _confirmed(docs: DataFrame, members: DataFrame, vertices: DataFrame, partitions: int) -> DataFrame:
+def _confirmed(docs: DataFrame, members: DataFrame, vertices: DataFrame, partitions: int, threshold: int) -> DataFrame:
     """(vertex, root) of linked vertices; links are confirmed on the texts'
     full sets until no pair of a node that the sketches allow is left."""
-    proposals = stage(_proposals(members, vertices, partitions), "proposals")
+    proposals = stage(_proposals(members, vertices, partitions, threshold), "proposals")
     groups = stage(components(proposals, GROUPING_ROUNDS), "proposal-groups")
     info = vertices.select(F.col("sid").alias("vertex"), "n", "bits", "k1", "k2", "doc_key")
     grouped = stage(groups.join(info, "vertex"), "group-members")
@@ -432,23 +432,23 @@ def _confirmed(docs: DataFrame, members: DataFrame, vertices: DataFrame, partiti
         F.ceil(F.count("*") / GROUP_VERTICES), F.ceil(F.sum("n") / GROUP_SHINGLES)).cast("int").alias("parts")), "group-parts")
     placed = stage(grouped.join(parts, "root").withColumn(
         "block", F.xxhash64("root", F.pmod(F.xxhash64("vertex"), F.col("parts")))).drop("root", "parts"), "placed")
-    links = _links(docs, placed.withColumn("part", F.col("block")).withColumn("label", F.col("vertex")), partitions)
+    links = _links(docs, placed.withColumn("part", F.col("block")).withColumn("label", F.col("vertex")), partitions, threshold)
     many = parts.filter(F.col("parts") >= MANY_BLOCKS).take(1)
     for likeliest in (True, False) if many else (False,):
         roots = stage(components(links), "linked")
         now = stage(placed.join(roots.withColumnRenamed("root", "label"), "vertex", "left").withColumn(
             "label", F.coalesce("label", "vertex")), "labelled")
-        left = stage(_open(members, now, partitions, likeliest), "open")
+        left = stage(_open(members, now, partitions, likeliest, threshold), "open")
         if not left.take(1):
             return roots
-        more = _links(docs, left.join(now, "vertex"), partitions)
+        more = _links(docs, left.join(now, "vertex"), partitions, threshold)
         if not more.take(1) and not likeliest:
             return roots
         links = stage(links.union(more), "all-links")
     return components(links)
 
 
-def _links(docs: DataFrame, needed: DataFrame, partitions: int) -> DataFrame:
+def _links(docs: DataFrame, needed: DataFrame, partitions: int, threshold: int) -> DataFrame:
     """Links (u, v) of labels to the smallest one of their component in a
     part; ``needed``: (part, vertex, label, k1, k2, doc_key)."""
     needed = stage(needed.select("part", "vertex", "label", "k1", "k2", "doc_key"), "needed-texts")
@@ -461,7 +461,7 @@ def _links(docs: DataFrame, needed: DataFrame, partitions: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> None:
             if len(sets) > 1:
-                out.extend(_confirm(np.array(labels), sets))
+                out.extend(_confirm(np.array(labels), sets, threshold))
             sids.clear()
             labels.clear()
             sets.clear()
@@ -494,7 +494,7 @@ def _partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _components_of_rows(docs: DataFrame) -> DataFrame:
+def _components_of_rows(docs: DataFrame, threshold: int) -> DataFrame:
     """(doc_id, tid, n, root, component_id) for every row of ``docs``; root
     names the component, null for empty sets."""
     partitions = _partitions(docs.sparkSession)
@@ -504,11 +504,11 @@ def _components_of_rows(docs: DataFrame) -> DataFrame:
             F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("bits").alias("bits"),
             F.coalesce(F.min("doc_id"), F.lit(_LOW_KEY)).alias("doc_key"))
         .withColumn("sid", F.monotonically_increasing_id()), "vertices")
-    leaves = _leaves(vertices)
+    leaves = _leaves(vertices, threshold)
     members = leaves[0]
     for more in leaves[1:]:
         members = members.unionByName(more)
-    roots = _confirmed(docs, members, vertices, partitions).select(F.col("vertex").alias("sid"), "root")
+    roots = _confirmed(docs, members, vertices, partitions, threshold).select(F.col("vertex").alias("sid"), "root")
     unstage(*leaves)
     owned = stage(vertices.select("sid", "k1", "k2", "doc_key").join(roots, "sid", "left").select(
         "k1", "k2", F.coalesce("root", "sid").alias("root"), "doc_key"), "rooted")
@@ -522,17 +522,18 @@ def _components_of_rows(docs: DataFrame) -> DataFrame:
     return slim.join(named, ["k1", "k2"], "left").select("doc_id", "tid", "n", "root", component.alias("component_id"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
-    return _components_of_rows(docs).select(
+def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``;
+    a link is a likeness of ``threshold`` percent or more."""
+    return _components_of_rows(docs, threshold).select(
         "doc_id", F.col("n").alias("n_shingles"), "component_id",
         F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
+def drop_near_copies(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """``docs`` with one document of every component, that of the smallest id
     (ties: text hash); rows that repeat both id and text stay alike."""
-    rows = stage(_components_of_rows(docs).filter("root IS NOT NULL"), "near-rows")
+    rows = stage(_components_of_rows(docs, threshold).filter("root IS NOT NULL"), "near-rows")
     me = F.struct(F.coalesce("doc_id", F.lit(_LOW_KEY)).alias("id"), F.col("tid").alias("tid"))
     first = stage(rows.groupBy("root").agg(F.min(me).alias("first")), "near-firsts")
     gone = rows.join(first, "root").filter(me != F.col("first")).select(me.alias("me")).distinct()

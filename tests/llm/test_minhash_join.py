@@ -186,3 +186,30 @@ def test_tasks_hold_two_blocks(spark, monkeypatch):
         texts.append(" ".join(w))
     check(spark, texts, list(range(len(texts))))
     assert held[0] <= 40 and max(held) <= 80
+
+
+def test_drop_near_copies_from_80_percent(spark):
+    """The join against brute force at 0.8, likeness on both sides of 0.8 and 0.85."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for family in range(12):
+        base = [f"w{family}x{k}" for k in range(200)]
+        texts.append(" ".join(base))
+        for edits in (2, 3, 4, 5, 6):
+            w = list(base)
+            for at in rng.choice(range(10, 190), edits, replace=False):
+                w[at] = f"e{rng.integers(10 ** 9)}"
+            texts.append(" ".join(w))
+    sets = [{tuple(w[k:k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+    between = 0
+    for a in range(len(texts)):
+        for b in range(a):
+            both, either = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+            between += 80 * either <= 100 * both < 85 * either
+            if 100 * both >= 80 * either:
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    want = {k for k, r in enumerate(root) if k == r}
+    got = {r.doc_id for r in M.drop_near_copies(documents(spark, texts), threshold=80).collect()}
+    assert between and got == want
