@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ship_by_value, text_or_empty
+from ._common import ship_by_value, stage, text_or_empty
 
 ship_by_value(__name__)
 
@@ -34,6 +34,8 @@ SAMPLES = 128
 _CLASSES, _PERIOD = 64, 1 << 14
 #: Characters that walk side by side, and texts handed over at once.
 CELLS, TEXT_CHARS = 4_000_000, 2_000_000
+#: Members of a common band that are compared with one another in a task.
+BAND_BLOCK = 512
 _END = np.uint64(0xFFFFFFFF)
 
 
@@ -207,21 +209,31 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
 
 
 def near_pairs(docs: DataFrame, max_edits: int, min_likeness: float = 0.6, bands: int = 32, rows: int = 4) -> DataFrame:
-    """(doc_id, near_id, edits): documents within ``max_edits`` edits of their
-    band's first document.  A band hashes ``rows`` samples; whoever shares a
-    band with a smaller doc_id is compared with the smallest, first by
-    fingerprint, then by edit distance."""
+    """(doc_id, near_id, edits): links of documents within ``max_edits`` edits,
+    near_id being the smaller id.  A band hashes ``rows`` samples; all that
+    share a band are compared, first by fingerprint, then by edit distance,
+    a common band's members in blocks of about ``BAND_BLOCK``.  Of documents
+    with the same smallest near document only the links to that one are
+    given, which connect them."""
     prints = fingerprint_documents(docs).select("doc_id", "fingerprint")
     width = 2 * rows
     keys = F.array(*(F.concat_ws(":", F.lit(b), F.substring("fingerprint", b * width + 1, width)) for b in range(bands)))
-    banded = prints.select("doc_id", "fingerprint", F.explode(keys).alias("band"))
-    heads = banded.groupBy("band").agg(F.min(F.struct("doc_id", "fingerprint")).alias("head"))
-    same = sum(F.when(F.substring("fingerprint", 2 * k + 1, 2) == F.substring("head.fingerprint", 2 * k + 1, 2), 1)
+    banded = stage(prints.select("doc_id", "fingerprint", F.explode(keys).alias("band")), "bands")
+    sizes = banded.groupBy("band").agg(F.ceil(F.count("*") / BAND_BLOCK).cast("int").alias("blocks"), F.count("*").alias("size"))
+    dealt = banded.join(sizes.filter("size > 1"), "band").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    one = dealt.select("band", "doc_id", "fingerprint", F.col("own").alias("x"), others.alias("y"))
+    two = dealt.select("band", F.col("doc_id").alias("near_id"), F.col("fingerprint").alias("near"), F.col("own").alias("y"), others.alias("x"))
+    same = sum(F.when(F.substring("fingerprint", 2 * k + 1, 2) == F.substring("near", 2 * k + 1, 2), 1)
                .otherwise(0) for k in range(SAMPLES))
-    found = (banded.join(heads, "band").filter(F.col("head.doc_id") < F.col("doc_id")).filter(same >= min_likeness * SAMPLES)
-             .select("doc_id", F.col("head.doc_id").alias("near_id")).distinct())
+    found = (one.join(two, ["band", "x", "y"]).filter("near_id < doc_id").filter(same >= min_likeness * SAMPLES)
+             .select("doc_id", "near_id").distinct())
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     both = (found.join(text, "doc_id")
             .join(text.select(F.col("doc_id").alias("near_id"), F.col("text").alias("near_text")), "near_id"))
     edits = F.levenshtein("text", "near_text", max_edits)
-    return both.select("doc_id", "near_id", edits.alias("edits")).filter("edits >= 0")
+    links = stage(both.select("doc_id", "near_id", edits.alias("edits")).filter("edits >= 0"), "near-links")
+    least = links.groupBy("doc_id").agg(F.min("near_id").alias("least"))
+    of_near = least.select(F.col("doc_id").alias("near_id"), F.col("least").alias("near_least"))
+    return (links.join(least, "doc_id").join(of_near, "near_id", "left").filter("near_least IS NULL OR least <> near_least")
+            .select("doc_id", "near_id", "edits"))

@@ -59,3 +59,19 @@ def test_banding_and_verification(spark):
     texts = [base, base[:500] + "q" + base[500:], words(rng, 200), base]
     got = {(r.doc_id, r.near_id): r.edits for r in E.near_pairs(documents(spark, texts), 20).collect()}
     assert got == {(1, 0): 1, (3, 0): 0}
+
+
+def test_near_documents_behind_unrelated_band_heads(spark, monkeypatch):
+    """Two letters only: nearly every band's smallest document is unrelated."""
+    monkeypatch.setattr(E, "BAND_BLOCK", 8)
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("ab") for _ in range(300)) for _ in range(90)]
+    want = set()
+    for k in range(80, 90):
+        at = rng.randrange(250, 300)
+        want.add((len(texts), k))
+        texts.append(texts[k][:at] + "b" + texts[k][at:])
+    prints = E.fingerprints(texts)
+    want = {(c, b) for c, b in want if E.likeness(prints[b], prints[c]) >= 0.6}
+    assert len(want) >= 8
+    assert {(r.doc_id, r.near_id) for r in E.near_pairs(documents(spark, texts), 20).collect()} == want
