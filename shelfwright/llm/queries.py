@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import byte_bpe, edit_fingerprint, exact_dedup, minhash_join, packing, quality, quote_links, secret_scan, substring_dedup, url_filter
+from . import byte_bpe, edit_fingerprint, exact_dedup, minhash_join, packing, quality, quote_links, secret_scan, substring_dedup, url_filter, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,6 +89,12 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of all embeddings."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_quote_links, op2_secret_ledger, op3_byte_bpe, op4_minhash_join, op5_edit_fingerprint, op6_exact_dedup, op7_url_filter, op8_substring_dedup, op9_quality, op10_pack)}
+        op1_quote_links, op2_secret_ledger, op3_byte_bpe, op4_minhash_join, op5_edit_fingerprint, op6_exact_dedup, op7_url_filter, op8_substring_dedup, op9_quality, op10_pack,
+        op11_whitening)}
