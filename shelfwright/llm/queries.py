@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import byte_bpe, edit_fingerprint, exact_dedup, minhash_join, packing, quality, quote_links, secret_scan, substring_dedup, url_filter, whitening
+from . import byte_bpe, edit_fingerprint, exact_dedup, minhash_join, packing, quality, quote_links, secret_scan, substring_dedup, token_alignment, url_filter, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,7 +94,14 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between two tokenizers' tokens in all documents."""
+    return token_alignment.align_documents(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_quote_links, op2_secret_ledger, op3_byte_bpe, op4_minhash_join, op5_edit_fingerprint, op6_exact_dedup, op7_url_filter, op8_substring_dedup, op9_quality, op10_pack,
-        op11_whitening)}
+        op11_whitening, op12_token_alignment)}
