@@ -77,5 +77,20 @@ FROM m JOIN chain c USING (conv_id, turn) LEFT JOIN best b USING (conv_id, turn)
 """
 
 
+_OP13 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+h AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha256(payload) AS k, sha1(payload) AS hex FROM p),
+f AS (SELECT k, min(page_id) AS first FROM h GROUP BY k)
+SELECT page_id, payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST((CAST('0x' || substr(hex, CAST(i // 4 * 5 + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS BIGINT) + 1, 1)),
+    'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to, page_id % 64 = 5 AS salvaged
+FROM h JOIN f USING (k)
+"""
+
+
 def oracles() -> dict[str, str]:
-    return {"op1_quote_links": _OP1, "op2_secret_ledger": _OP2, "op6_exact_dedup": _OP6, "op7_url_filter": _OP7}
+    return {"op1_quote_links": _OP1, "op2_secret_ledger": _OP2, "op6_exact_dedup": _OP6, "op7_url_filter": _OP7,
+            "op13_warc_salvage": _OP13}

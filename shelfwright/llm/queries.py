@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import byte_bpe, edit_fingerprint, exact_dedup, minhash_join, packing, quality, quote_links, secret_scan, substring_dedup, token_alignment, url_filter, whitening
+from . import byte_bpe, edit_fingerprint, exact_dedup, minhash_join, packing, quality, quote_links, secret_scan, substring_dedup, token_alignment, url_filter, warc_salvage, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,7 +101,17 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
         public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
 
 
+#: One page in this many is first written torn, so that the reader has gaps to skip.
+TORN_PAGES = 64
+
+
+def op13_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC archives, some of them torn first, and read
+    back past the gaps."""
+    return warc_salvage.round_trip(table(spark, sf_dir, "pages"), torn=F.col("page_id") % TORN_PAGES == 5)
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_quote_links, op2_secret_ledger, op3_byte_bpe, op4_minhash_join, op5_edit_fingerprint, op6_exact_dedup, op7_url_filter, op8_substring_dedup, op9_quality, op10_pack,
-        op11_whitening, op12_token_alignment)}
+        op11_whitening, op12_token_alignment, op13_warc_salvage)}
