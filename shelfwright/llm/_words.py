@@ -1,8 +1,10 @@
 """Vectorised words: Arrow binary text -> 64-bit word hashes.
 
-A word is a run of bytes other than 0x20 and 0x09-0x0D.  Hashes are
-polynomials over random byte values modulo 2**64, mixed afterwards; equal
-words have equal hashes on every machine.
+A word is a run of bytes other than 0x20 and 0x09-0x0D.  A hash is the sum of
+its bytes' values, each mixed with its place in the word, mixed once more: no
+polynomial, whose differences structured words can cancel.  Equal words have
+equal hashes on every machine; two different words share one with probability
+2**-64.
 """
 
 from __future__ import annotations
@@ -19,8 +21,7 @@ ship_by_value(__name__)
 
 BLOCK_BYTES = 2 * 1024 * 1024
 
-_P = 0x9E3779B97F4A7C15 | 1
-_P_INV = pow(_P, -1, 2 ** 64)
+_PLACE = np.uint64(0x9E3779B97F4A7C15)
 _BYTES = np.random.default_rng(20240611).integers(1, 2 ** 63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -73,17 +74,6 @@ def block_bytes(column: pa.Array, lo: int, hi: int) -> tuple[np.ndarray, np.ndar
     return data, at - at[0]
 
 
-def _powers(n: int, cache: dict = {}) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006 - a cache
-    if len(cache.get("up", ())) < n:
-        n = max(n, BLOCK_BYTES + 1)
-        with np.errstate(over="ignore"):
-            for name, base in (("up", _P), ("down", _P_INV)):
-                p = np.full(n, base, np.uint64)
-                p[0] = 1
-                cache[name] = np.cumprod(p, dtype=np.uint64)
-    return cache["up"], cache["down"]
-
-
 def words(column: pa.Array, lo: int, hi: int, lower: bool = False) -> Words:
     data, at = block_bytes(column, lo, hi)
     n = len(data)
@@ -96,11 +86,13 @@ def words(column: pa.Array, lo: int, hi: int, lower: bool = False) -> Words:
     before[at[:-1][at[:-1] < n]] = False
     after[at[1:][at[1:] > 0] - 1] = False
     starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    up, down = _powers(n + 1)
     values = _BYTES[_LOWER] if lower else _BYTES
+    size = ends - starts
+    held = data[inside]
+    begin = np.cumsum(size) - size  # of each word among the bytes of words
+    place = (np.arange(len(held)) - np.repeat(begin, size)).astype(np.uint64)
     with np.errstate(over="ignore"):
-        total = np.empty(n + 1, np.uint64)
-        total[0] = 0
-        np.cumsum(values[data] * up[:n], out=total[1:])
-        hashes = mix((total[ends] - total[starts]) * down[starts])
+        place *= _PLACE
+        place += values[held]
+        hashes = mix(np.add.reduceat(mix(place), begin)) if len(begin) else np.zeros(0, np.uint64)
     return Words(hashes, starts, ends, np.searchsorted(starts, at), data, at)

@@ -53,8 +53,6 @@ SPAN = WINDOW - 2 * EDGE - CAPS[-1] + 1
 LEFT, RIGHT = EDGE, WINDOW - EDGE - SPAN + 1
 
 _SALTS = np.random.default_rng(23).integers(1, 2 ** 63, 12).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_Q = 0xC2B2AE3D27D4EB4F
-_Q_INV = pow(_Q, -1, 2 ** 64)
 _NEVER = np.uint64(2 ** 64 - 1)
 
 
@@ -86,16 +84,6 @@ def recompress(words: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndar
     return name, start
 
 
-def _powers(n: int, cache: dict = {}) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006 - a cache
-    if len(cache.get("up", ())) < n:
-        n = max(n, 1 << 19)
-        for key, base in (("up", _Q), ("down", _Q_INV)):
-            p = np.full(n, base, np.uint64)
-            p[0] = 1
-            cache[key] = np.cumprod(p, dtype=np.uint64)
-    return cache["up"], cache["down"]
-
-
 class Parsed:
     """Anchors and sequence hashes of a block of texts."""
 
@@ -104,8 +92,7 @@ class Parsed:
             self.words = w = _words.words(column, lo, hi)
             n, count = len(w.hashes), np.diff(w.of)
             text = np.repeat(np.arange(hi - lo), count)
-            up, _ = _powers(n + 1)
-            self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w.hashes * up[:n])])
+            self.spans = self._doubled(w.hashes)
             name, start = recompress(w.hashes, text)
             names = np.zeros(n, np.uint64)
             names[start] = name
@@ -121,11 +108,28 @@ class Parsed:
                 self.anchor = self.starts
             self.text = text
 
+    @staticmethod
+    def _doubled(hashes: np.ndarray) -> dict[int, np.ndarray]:
+        """Hashes of the 2**k words from each place, for the spans that
+        :meth:`sequence` needs; each is mixed from two of half the length."""
+        needed, spans, size = {n.bit_length() - 1 for n in (WINDOW, LEFT + RIGHT)}, {}, 0
+        now = hashes
+        while True:
+            if size in needed:
+                spans[size] = now
+            if size == max(needed):
+                return spans
+            half = min(1 << size, len(now))
+            now = _words.mix(now[:len(now) - half] * _SALTS[9] + now[half:] * _SALTS[10] + np.uint64(size))
+            size += 1
+
     def sequence(self, a: np.ndarray, length: int) -> np.ndarray:
-        """Hash of ``length`` words from each place of ``a``."""
+        """Hash of ``length`` words from each place of ``a``: two spans that
+        cover them, which may overlap."""
+        k = length.bit_length() - 1
+        span = self.spans[k]
         with np.errstate(over="ignore"):
-            _, down = _powers(len(self.total))
-            return _words.mix((self.total[a + length] - self.total[a]) * down[a])
+            return _words.mix(span[a] * _SALTS[11] + span[a + length - (1 << k)] * _SALTS[8] + np.uint64(length))
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """(place, key): the anchors and what must repeat around them."""
@@ -146,7 +150,8 @@ def _lists(offsets: np.ndarray, values: np.ndarray) -> pa.Array:
 
 
 def _parse(docs: DataFrame) -> DataFrame:
-    """(doc_id, tid, n_words, k1, k2, sha, keys, places) per row."""
+    """(doc_id, tid, n_words, sha, keys, places) per row; ``sha`` is that of
+    the words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,20 +160,15 @@ def _parse(docs: DataFrame) -> DataFrame:
                 p = Parsed(text, lo, hi)
                 w, at, keys = p.words, *p.anchors()
                 cut = np.searchsorted(at, w.of)
-                with np.errstate(over="ignore"):
-                    whole = (p.total[w.of[1:]] - p.total[w.of[:-1]]) * _powers(len(p.total))[1][w.of[:-1]]
-                    other = np.concatenate([np.zeros(1, np.uint64), np.cumsum(
-                        _words.mix(w.hashes ^ _SALTS[9]) * _powers(len(w.hashes) + 1)[0][:len(w.hashes)])])
-                    second = (other[w.of[1:]] - other[w.of[:-1]]) * _powers(len(p.total))[1][w.of[:-1]]
                 sha = [hashlib.sha256(b" ".join(t.split())).hexdigest() for t in text.slice(lo, hi - lo).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(np.diff(w.of)),
-                     pa.array(whole.astype(np.int64)), pa.array(second.astype(np.int64)), pa.array(sha),
+                     pa.array(sha),
                      _lists(cut, keys.astype(np.int64)),
                      _lists(cut, (at - w.of[p.text[at]]).astype(np.int32))],
-                    names=["doc_id", "tid", "n_words", "k1", "k2", "sha", "keys", "places"])
+                    names=["doc_id", "tid", "n_words", "sha", "keys", "places"])
 
-    return _identified(docs).mapInArrow(run, "doc_id long, tid long, n_words long, k1 long, k2 long, sha string, "
+    return _identified(docs).mapInArrow(run, "doc_id long, tid long, n_words long, sha string, "
                                              "keys array<long>, places array<int>")
 
 
@@ -233,9 +233,9 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     being copies."""
     spark = docs.sparkSession
     parsed = stage(_parse(docs), "parsed")
-    groups = stage(parsed.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min(F.struct(
+    groups = stage(parsed.groupBy("sha").agg(F.count("*").alias("copies"), F.min(F.struct(
         F.coalesce("doc_id", F.lit(-(2 ** 63))), "tid")).alias("first")), "copy-groups")
-    rows = stage(parsed.select("doc_id", "tid", "n_words", "sha", "k1", "k2").join(groups, ["k1", "k2"]).select(
+    rows = stage(parsed.select("doc_id", "tid", "n_words", "sha").join(groups, "sha").select(
         "doc_id", "tid", "n_words", "sha", "copies",
         (F.col("first") == F.struct(F.coalesce("doc_id", F.lit(-(2 ** 63))), F.col("tid"))).alias("leads")), "parsed-rows")
     counts = parsed.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n"))

@@ -26,7 +26,7 @@ def shingles(text):
     return {tuple(w[k:k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
-def near_components(rows):
+def near_components(rows, threshold=85):
     """{row number: (set size, component id)} by comparing all that share a shingle."""
     sets = [shingles(t) for _, t in rows]
     root = list(range(len(rows)))
@@ -42,7 +42,7 @@ def near_components(rows):
             holders[x].append(k)
     shared = Counter((a, b) for h in holders.values() for n, a in enumerate(h) for b in h[n + 1:])
     for (a, b), n in shared.items():
-        if 100 * n >= 85 * (len(sets[a]) + len(sets[b]) - n):
+        if 100 * n >= threshold * (len(sets[a]) + len(sets[b]) - n):
             root[find(a)] = find(b)
     least = {}
     for k, (i, _) in enumerate(rows):

@@ -49,6 +49,19 @@ def test_against_brute_force(spark, monkeypatch, small):
     check(spark, texts, random.Random(1).sample(range(10 ** 6), len(texts)))
 
 
+def thue_morse(n, a, b):
+    word = a
+    while len(word) < n:
+        word += word.translate(str.maketrans(a + b, b + a))
+    return word[:n]
+
+
+def test_long_words_that_polynomials_confuse(spark):
+    """Disjoint sets of one word each, and of shingles with such words."""
+    a, b = thue_morse(4096, "a", "b"), thue_morse(4096, "b", "a")
+    check(spark, [a, b, f"one two {a} three four five", f"one two {b} three four five"], [1, 2, 3, 4])
+
+
 def test_ties_null_ids_and_repeated_rows(spark):
     t = "a b c d e f g h"
     check(spark, [t, t, t, "q", "q", None], [4, 4, None, None, None, None])

@@ -48,3 +48,14 @@ def test_copies_nulls_ties_and_long_texts(spark):
     check(spark, texts)
     check(spark, [part, part, part + " y", "a b", "a b", None], [1, 1, None, 2, 2, None])
     assert D.remove_repeats(documents(spark, [])).count() == 0
+
+
+def test_words_and_windows_that_polynomials_confuse(spark):
+    """Windows that differ in one long word, or in the order of two words."""
+    from test_minhash_join import thue_morse
+    a, b = thue_morse(4096, "a", "b"), thue_morse(4096, "b", "a")
+    words = [f"w{k}" for k in range(35)]
+    texts = [" ".join([*words[:30], x, *words[31:]]) for x in (a, b)]
+    for n in (35, 64, 2048):  # the same for words in place of letters
+        texts += [" ".join("sun" if c == "a" else "moon" for c in thue_morse(n, *p)) for p in ("ab", "ba")]
+    check(spark, texts)
