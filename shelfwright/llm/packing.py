@@ -3,7 +3,8 @@
 Tokenisation gives each document's ids plus the end id.  A document is cut at
 the capacity, so its full pieces are sequences of their own, and a remainder
 over ``MAX_ITEM`` ids is cut once more.  What is left is dealt into groups of
-about ``GROUP_ITEMS`` items by a hash; each group is partitioned into windows
+about ``GROUP_ITEMS`` items by a hash of its place in the written table, so
+that rows which repeat spread as well; each group is partitioned into windows
 by differencing: every item starts as a partial partition, the two with the
 largest imbalance are merged with opposing orders until one is left.  Its
 windows are nearly equal; while the fullest exceeds the capacity, the window
@@ -54,7 +55,7 @@ def _byte_letters() -> dict[int, str]:
 
 class WordEncoder:
     """Ids of texts by a tokenizer that drops white space and never joins
-    across it, so a text's ids are those of its words; each word, and each
+    across it or special tokens' strings, so a text's ids are those of its words; each word, and each
     match of the tokenizer's pattern in one, is encoded once and remembered."""
 
     def __init__(self, path: str) -> None:
@@ -62,9 +63,14 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = True  # for words: what is left when they are cut out
         with open(path, encoding="utf-8") as f:
-            split = json.load(f)["pre_tokenizer"]["pretokenizers"][0]
+            spec = json.load(f)
+        split = spec["pre_tokenizer"]["pretokenizers"][0]
+        # strings of special tokens are cut out of the raw text before anything else
+        self.special = {t["content"]: array("I", [t["id"]]).tobytes() for t in spec["added_tokens"]}
+        longest = sorted(self.special, key=len, reverse=True)
+        self.cuts = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
         self.matches = regex.compile(split["pattern"]["Regex"]).findall
         self.letters = _byte_letters()
         self.known: dict[str, bytes] = {}
@@ -96,10 +102,16 @@ class WordEncoder:
         if len(self.pieces) > CACHED_PIECES:
             self.pieces.clear()
         for text in texts:
-            words = self._words(text)
-            for word in set(filterfalse(known.__contains__, words)):
-                known[word] = self._word(word)
-            yield b"".join(map(known.__getitem__, words))
+            out = []
+            for part in self.cuts.split(text) if self.cuts and self.cuts.search(text) else (text,):
+                if part in self.special:
+                    out.append(self.special[part])
+                    continue
+                words = self._words(part)
+                for word in set(filterfalse(known.__contains__, words)):
+                    known[word] = self._word(word)
+                out += map(known.__getitem__, words)
+            yield b"".join(out)
 
 
 def _encoder(path: str) -> WordEncoder:
@@ -202,7 +214,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = CAPAC
     pieces = stage(cut_documents(docs, tokenizer, end_id, capacity, max_item), "pieces")
     full = F.col("length") == capacity
     groups = max(1, -(-pieces.filter(~full).count() // group_items))
-    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "start", "ids_crc32"], ignore_index=True)

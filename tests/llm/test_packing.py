@@ -15,15 +15,13 @@ PATH = P.path("word_bpe_49k.json")
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def test_words_encode_like_whole_texts(tokenizer):
     rng, encoder = random.Random(1), K.WordEncoder(PATH)
     alphabet = [" ", "\n", "\x1c", "\x85", "\xa0", "᠎", "a", "B", "é", "É", "J̌", "é", "Σ", "ΑΣ", "İ", "ß", "'s", "'LL", "don't", "12",
-                "２", "!", "...", "#", "日本", "😀", "K", "Å", "<|endoftext|>", "́"]
+                "２", "!", "...", "#", "日本", "😀", "K", "Å", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|", "|>", "́"]
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(12))) for _ in range(4000)]
     for t, ids in zip(texts, encoder.encode(texts)):
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
@@ -32,7 +30,7 @@ def test_words_encode_like_whole_texts(tokenizer):
 def test_pieces_cover_every_id_once(spark, tokenizer):
     rng = random.Random(2)
     texts = [" ".join(rng.choice(["sun", "moon", "Überfluss", "x1", "tree."]) for _ in range(rng.randrange(1, 1500))) for _ in range(150)]
-    texts += [None, "", "a " * 9000, "same", "same", "b " * 4095]
+    texts += [None, "", "a " * 9000, "same", "same", "b " * 4095, "x <|endoftext|> y", "x<|startoftext|><|endoftext|>y z"]
     rows = K.pack(documents(spark, texts), PATH, group_items=40).collect()
     by_doc, by_seq = {}, {}
     for r in rows:
@@ -64,6 +62,16 @@ def test_repeated_ids_and_empty_table(spark):
     assert K.pack(documents(spark, []), PATH).count() == 0
 
 
+def test_many_repeated_rows_spread_over_the_groups(spark):
+    """Groups stay small although all rows are the same."""
+    rows = documents(spark, ["same words"], [1]).crossJoin(spark.range(20_000).select()).repartition(4)
+    assert rows.count() == 20_000
+    packed = K.pack(rows, PATH, group_items=500)
+    sizes = packed.selectExpr("sequence_id DIV 16777216 AS g").groupBy("g").count().collect()
+    assert len(sizes) == 40 and max(r["count"] for r in sizes) < 700
+    assert packed.selectExpr("count(*)", "sum(length)").first()[:2] == (20_000, 60_000)
+
+
 def test_differencing():
     sizes = [8, 7, 6, 5, 4]
     parts = K.difference(sizes, 2)
