@@ -35,10 +35,10 @@ THRESHOLD = 0.7
 BINS, PAIR_BINS, PAIRS = 32, 8, 6
 ROUNDS, PAIR_ROUNDS, STEP = 150, 60, 0.15
 
-FEATURES = ("log_bytes", "pipes", "symbols", "capitals", "bangs", "digits", "stops", "newlines", "wide",
+FEATURES = ("log_bytes", "doubled", "symbols", "capitals", "bangs", "digits", "stops", "newlines", "wide",
             "word_bytes", "repeats", "distinct", "top_word", "capital_words", "symbol_words")
 
-_CLASSES = {"pipes": b"|", "symbols": b"#$%&*@^~<>{}[]\\=+_", "capitals": bytes(range(65, 91)), "bangs": b"!",
+_CLASSES = {"symbols": b"#$%&*@^~<>{}[]\\=+_", "capitals": bytes(range(65, 91)), "bangs": b"!",
             "digits": b"0123456789", "stops": b".,;:?", "newlines": b"\n", "wide": bytes(range(128, 256))}
 
 
@@ -50,7 +50,14 @@ def features(column: pa.Array, lo: int, hi: int) -> np.ndarray:
     out[:, 0] = np.log1p(n)
     size = np.maximum(n, 1)
     member = {}
-    for k, name in enumerate(FEATURES[1:9], 1):
+    plain = np.ones(256, bool)  # neither letters, digits nor white space
+    plain[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256), *range(9, 14), 32]] = False
+    again = np.zeros(len(w.data), bool)
+    again[1:] = (w.data[1:] == w.data[:-1]) & plain[w.data[1:]]
+    again[w.at[:-1][w.at[:-1] < len(again)]] = False
+    total = np.concatenate([[0], np.cumsum(again)])
+    out[:, 1] = (total[w.at[1:]] - total[w.at[:-1]]) / size
+    for k, name in enumerate(FEATURES[2:9], 2):
         table = np.zeros(256, bool)
         table[list(_CLASSES[name])] = True
         member[name] = total = np.concatenate([[0], np.cumsum(table[w.data])])
@@ -211,9 +218,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS)
                     [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), *map(pa.array, x.T)],
                     names=["doc_id", "quality", *FEATURES])
 
-    # at most max_rows rows of numbers, unless a document repeats its id
     rows = known.mapInArrow(run, "doc_id long, quality double, " + ", ".join(f"{f} double" for f in FEATURES))
-    pdf = rows.limit(2 * max_rows).toPandas().sort_values(["doc_id", *FEATURES], ignore_index=True)
+    # one row per (doc_id, label), whichever documents share the id: at most max_rows rows of numbers
+    one = rows.groupBy("doc_id", "quality").agg(F.min(F.struct(*FEATURES)).alias("x")).select("doc_id", "quality", "x.*")
+    pdf = one.toPandas().sort_values(["doc_id", "quality"], ignore_index=True)
     return fit(pdf[list(FEATURES)].to_numpy(float), pdf["quality"].to_numpy(float))
 
 
