@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfwright.llm import exact_dedup, minhash_join, packing, quality, secret_scan
-from shelfwright.session import scratch_path
+from shelfwright.session import remove_folder, scratch_path, scratch_scope
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,8 +31,9 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the smallest doc_id."""
-    return minhash_join.drop_near_copies(docs)
+    """One document of each group of near-duplicates (five-word shingles,
+    likeness 0.8 or more) stays, the smallest doc_id."""
+    return minhash_join.drop_near_copies(docs, threshold=80)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,10 +54,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage, each stage written and read again."""
-    docs = _table(spark, sf_dir, "documents")
+    """The rows of the last stage, each stage written and read again.  What a
+    stage writes on its way goes when it ends, its own table when the next
+    one's is there."""
+    docs, before = _table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = scratch_path(spark, f"pipeline-{name.replace(' ', '-')}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch_scope(spark, "stage"):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:
+            remove_folder(spark, before)
+        before = path
     return docs

@@ -36,7 +36,7 @@ def test_stages(spark):
             want = {i: rows[i] for i in last.values()}
         elif name == "near dedup":
             order = sorted(rows)
-            found = near_components([(i, rows[i].text) for i in order])
+            found = near_components([(i, rows[i].text) for i in order], 80)
             want = {i: rows[i] for k, i in enumerate(order) if found[k][1] == i}
         else:
             assert set(kept) == set(rows)
