@@ -330,7 +330,8 @@ def returned(index: DataFrame, scores: DataFrame) -> DataFrame:
     score = scores.select(F.col("a").alias("sa"), F.col("b").alias("sb"), F.col("docs").alias("in_docs"),
                           F.col("links").alias("in_links"), F.col("best").cast("long").alias("best"))
     postings = index.filter("pos IS NULL").select("block", "a", "b", "places", "words")
-    scored = (postings.join(stage(score, "pair-scores"), (F.col("a") == F.col("sa")) & (F.col("b") == F.col("sb")))
+    # both sides grow: always a merge of two shuffles, whatever their size
+    scored = (postings.join(stage(score, "pair-scores").hint("merge"), (F.col("a") == F.col("sa")) & (F.col("b") == F.col("sb")))
               .select("block", "places", "words", "best", "in_links", "in_docs"))
 
     def emit(sums: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -380,5 +381,5 @@ def align_documents(docs: DataFrame, tokenizer_a: str, tokenizer_b: str, pattern
         F.col("block").alias("of"), F.col("pos").alias("bit"), "n_best", "count_sum", "docs_sum")
     rows = index.filter("pos IS NOT NULL")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return rows.join(scores, (F.col("block") == F.col("of")) & (F.col("pos") == F.col("bit")), "left").select(
+    return rows.join(scores.hint("merge"), (F.col("block") == F.col("of")) & (F.col("pos") == F.col("bit")), "left").select(
         "doc_id", "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), "groups_sha256", zero("docs_sum"))
