@@ -141,8 +141,9 @@ def decode_books(df: DataFrame, content: str = "content", until: str | None = No
     ``</description>``) only the bytes up to and including its first
     occurrence are checked and decoded -- the metadata reader never looks
     further, and every supported charset is ASCII-compatible, so the byte
-    search is exact.  Where a comment or CDATA section starts before the
-    marker, the marker may stand inside it, so the whole content is decoded.
+    search is exact.  Where a comment, CDATA section or entity value starts
+    before the marker, the marker may stand inside it, so the whole content
+    is decoded.
     """
     c = F.col(content)
     if until:
@@ -151,7 +152,7 @@ def decode_books(df: DataFrame, content: str = "content", until: str | None = No
         head = F.substring_index(c.cast("string"), until, 1)
         before = F.octet_length(head)
         found = ((before < F.octet_length(c)) & ~F.contains(head, F.lit("<!--"))
-                 & ~F.contains(head, F.lit("<![CDATA[")))
+                 & ~F.contains(head, F.lit("<![CDATA[")) & ~F.contains(head, F.lit("<!ENTITY")))
         df = df.withColumn("_upto", F.when(found, F.substring(c, F.lit(1), before + len(until)))
                            .otherwise(c))
         c = F.col("_upto")

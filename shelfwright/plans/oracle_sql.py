@@ -284,6 +284,14 @@ WITH m AS (SELECT doc_id, text, doc_id % 20 <> 0 AS ok,
 w AS (SELECT *, row_number() OVER (PARTITION BY basename, ok ORDER BY doc_id) AS r FROM m)
 SELECT basename, concat('d', doc_id, '/', basename) AS member_path, ok, CASE WHEN ok THEN sha256(text) END AS sha
 FROM w WHERE NOT ok OR r = 1"""
+    o["extract_twice"] = """
+WITH m AS (SELECT text, doc_id // 64 AS a,
+  CASE WHEN doc_id % 5 = 0 THEN concat('b', doc_id % 250, '.fb2') ELSE concat(doc_id, '.fb2') END AS basename
+  FROM documents WHERE doc_id % 20 <> 0),
+late AS (SELECT basename, arg_max(text, a) AS t FROM m WHERE a % 2 = 1 GROUP BY basename),
+early AS (SELECT basename, arg_min(text, a) AS t FROM m WHERE a % 2 = 0 GROUP BY basename)
+SELECT basename, strlen(coalesce(l.t, e.t)) AS length, sha256(coalesce(l.t, e.t)) AS sha
+FROM late l FULL JOIN early e USING (basename)"""
     o["blacklist_file"] = """
 WITH d AS (SELECT *, concat(doc_id, '.fb2') AS basename FROM documents),
 listed AS (SELECT basename, CASE WHEN doc_id % 2 = 1 THEN concat(lang, '|', n_chars) END AS comment
@@ -329,7 +337,7 @@ SELECT doc_id, basename,
 FROM r"""
 
     o["fb2_edge_cases"] = WITH + f""", e AS (SELECT doc_id,
-  CASE WHEN doc_id % 8 = 7 THEN 'Last words' ELSE nullif(trim(title), '') END AS title FROM book_src)
+  CASE WHEN doc_id % 12 = 7 THEN 'Last words' ELSE nullif(trim(title), '') END AS title FROM book_src)
 SELECT e.doc_id, e.title, coalesce(a.ids, '') AS author_ids, true AS ok,
   CASE WHEN e.title IS NULL THEN 'book has no title'
        WHEN {nname('e.title')} IS NULL THEN 'title normalises to nothing' END AS reject_reason

@@ -17,7 +17,8 @@ from ..operators.catalog import Catalog, build_catalog, upsert
 from ..operators.metadata import book_metadata, check_wellformed, split_accepted
 from ..operators.organize import destination, move_plan, unique_destination
 from ..operators.report import run_summary
-from ..sources.archives import explode_archives, open_books
+from ..sources.archives import open_books
+from ..sources.extract_target import extract_into, extracted_books
 from ..session import written
 from ..sources.library import append_blacklist, read_blacklist, read_files, write_by_author
 
@@ -66,23 +67,17 @@ def summary(files: DataFrame, selected: DataFrame, failed: DataFrame) -> DataFra
 
 
 def extract(archives: DataFrame, target: str, existing: DataFrame | None = None, overwrite: bool = False) -> DataFrame:
-    """``extract``: the books of all archives as a parquet table under
-    ``target`` with the columns of a scan (``path, basename, length,
-    content``), which the other commands take as their files.  Returns the
-    failures ``(archive, member_path, basename, error)``."""
-    out = explode_archives(archives, existing, overwrite)
-    spark = out.sparkSession
-    good = out.filter(F.col("error").isNull())
-    good.select(F.concat_ws("/", F.lit(target.rstrip("/")), "basename").alias("path"), "basename",
-                F.octet_length("content").cast("long").alias("length"), "content"
-                ).write.mode("overwrite" if overwrite else "append").parquet(f"{target.rstrip('/')}/books")
-    out.filter(F.col("error").isNotNull()).drop("content").write.mode("overwrite").parquet(f"{target.rstrip('/')}/failures")
-    return spark.read.parquet(f"{target.rstrip('/')}/failures")
+    """``extract``: the books of all archives as a table under ``target`` with
+    the columns of a scan (``path, basename, length, content``), which the
+    other commands take as their files.  Names that the target has are skipped
+    or, with ``overwrite``, replaced; all others stay.  Returns the failures
+    ``(archive, member_path, basename, error)`` of this run."""
+    return extract_into(archives, target, existing, overwrite)
 
 
 def extracted(spark: SparkSession, target: str) -> DataFrame:
     """The files that :func:`extract` has written."""
-    return spark.read.parquet(f"{target.rstrip('/')}/books")
+    return extracted_books(spark, target)
 
 
 def index(files: DataFrame, aliases: DataFrame | None = None, blacklist: DataFrame | None = None,

@@ -22,7 +22,7 @@ from ..session import scratch_path, written
 from ..sources.archives import explode_archives
 from ..sources.library import append_blacklist, read_blacklist, read_files, scan_library, write_by_author
 from . import fixtures as X
-from .pipeline import index, parse_library, summary, validate
+from .pipeline import extract, extracted, index, parse_library, summary, validate
 
 TARGET = "lib"
 
@@ -248,6 +248,20 @@ def explode_archives_q(spark: SparkSession, d: str) -> DataFrame:
     return books.select("basename", "member_path", F.col("error").isNull().alias("ok"), F.sha2("content", 256).alias("sha"))
 
 
+def extract_twice(spark: SparkSession, d: str) -> DataFrame:
+    """The target of four extractions: some archives, all of them without
+    overwriting, the same again, and the others with overwriting (A2)."""
+    root = scratch_path(spark, "archives")
+    X.write_files(X.book_archives(spark, d), f"{root}/in")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(f"{root}/in").select("path")
+    odd = F.regexp_extract("path", r"(\d)\.zip$", 1).cast("int") % 2 == 1
+    extract(found.filter(~odd), f"{root}/out")
+    for _ in range(2):
+        extract(found, f"{root}/out")
+    extract(found.filter(odd), f"{root}/out", overwrite=True)
+    return extracted(spark, f"{root}/out").select("basename", "length", F.sha2("content", 256).alias("sha"))
+
+
 def blacklist_file(spark: SparkSession, d: str) -> DataFrame:
     """A list with comments and remarks is read, appended to and read again
     (A4, A7)."""
@@ -290,15 +304,23 @@ _RENDERED = ("n_chars", "text", "title", "lang", "genre", "ext_id", "version", "
 
 def _breakable(src: DataFrame) -> DataFrame:
     """``book_src`` rows with their FB2 text ``xml``, every 5th broken in one
-    of four ways: root left open, wrong end tag, bare ampersand, unquoted
-    attribute."""
+    of seven ways: root left open, wrong end tag, bare ampersand, unquoted
+    attribute, a prefix never declared, one out of scope, one of an attribute.
+    Some others have prefixes that are bound, nested and declared anew."""
     broken = F.col("doc_id") % 5 == 0
-    way = F.when(broken, (F.col("doc_id") / 5).cast("long") % 4)
+    way = F.when(broken, (F.col("doc_id") / 5).cast("long") % 7)
+    section = F.lit("<section>")
+    bound = F.when(F.col("doc_id") % 5 == 1, F.lit('<section><y:p xmlns:y="u"><y:q xmlns:y="v" y:a="&gt;"/></y:p>')).when(
+        F.col("doc_id") % 5 == 2, F.lit("<section xmlns:y='>'><y:p xml:lang=\"en\">y:z=\"1\"</y:p>"))
     root_end = F.when(way == 0, F.lit("")).otherwise(F.lit("</FictionBook>\n"))
     x = F.col("_whole")
     xml = (F.when(way == 1, F.replace(x, F.lit("</section>"), F.lit("</sektion>")))
            .when(way == 2, F.replace(x, F.lit("<section><p>"), F.lit("<section><p>this & that ")))
-           .when(way == 3, F.replace(x, F.lit("<section>"), F.lit("<section id=a>"))).otherwise(x))
+           .when(way == 3, F.replace(x, section, F.lit("<section id=a>")))
+           .when(way == 4, F.replace(x, section, F.lit("<section><y:p/>")))
+           .when(way == 5, F.replace(x, section, F.lit('<section><p><e xmlns:y="u"/><y:p/></p>')))
+           .when(way == 6, F.replace(x, section, F.lit('<section y:href="u">')))
+           .when(bound.isNotNull(), F.replace(x, section, bound)).otherwise(x))
     return evaluate_once(src, "_whole", X.fb2_text(src, close_root=root_end)).withColumn("xml", xml).drop("_whole")
 
 
@@ -389,21 +411,26 @@ def reject_reasons(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _edge_forms(src: DataFrame) -> F.Column:
-    """FB2 text of a ``book_src`` row in one of eight unusual but valid forms,
-    chosen by ``doc_id % 8``."""
+    """FB2 text of a ``book_src`` row in one of twelve unusual but valid forms,
+    chosen by ``doc_id % 12``."""
     text = X.fb2_text(src)
     title = F.coalesce(F.col("title"), F.lit(""))
-    tag, end = F.lit("<book-title>"), F.lit("</book-title>")
+    tag, end, root = F.lit("<book-title>"), F.lit("</book-title>"), F.lit("<FictionBook>")
     forms = [
         F.concat(F.lit("\ufeff"), text),
         F.concat(F.repeat(F.lit("\n"), F.lit(5000)), X.fb2_text(src, declaration=F.lit(""))),
-        F.replace(text, F.lit("<FictionBook>"), F.lit('<!DOCTYPE FictionBook [<!ENTITY a "b>c">]>\n<FictionBook>')),
+        F.replace(text, root, F.lit('<!DOCTYPE FictionBook [<!ENTITY a "b>c">]>\n<FictionBook>')),
         F.replace(F.regexp_replace(text, r"<(/?)([A-Za-z])", "<$1f:$2"), F.lit("<f:FictionBook>"),
                   F.lit('<f:FictionBook xmlns:f="urn:f">')),
         F.replace(text, F.lit("<description>"), F.lit("<!-- </description> --><description>")),
         F.replace(text, end, F.concat(F.lit("<emphasis>and more</emphasis>"), end)),
         F.replace(text, F.concat(tag, X.xml_escape(title)), F.concat(tag, F.lit("<![CDATA["), title, F.lit("]]>"))),
         F.replace(F.replace(text, tag, F.concat(tag, F.lit("<strong>"))), end, F.concat(F.lit("</strong> Last words"), end)),
+        F.replace(text, root, F.lit('<!DOCTYPE FictionBook [<!ENTITY a "x]y">]>\n<FictionBook>')),
+        F.replace(text, root, F.lit("<!-- it's ]> --><!DOCTYPE FictionBook SYSTEM \"a>b\" [<?p '?> <!-- \" --> ] >\n<FictionBook>")),
+        F.replace(text, root, F.lit("<!DOCTYPE FictionBook [<!ENTITY a '</description> <!-- \"'>]><FictionBook>")),
+        F.replace(F.replace(text, root, F.lit('<FictionBook xmlns:l="u">')), tag, F.concat(F.lit(
+            '<x:note xmlns:x="v" l:a="]>"><x:p xmlns:x="w"/></x:note>'), tag)),
     ]
     m = F.col("doc_id") % len(forms)
     out = F.when(m == 0, forms[0])
@@ -516,6 +543,7 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "by_author_sink": by_author_sink,
         "scan_library": scan_library_q,
         "explode_archives": explode_archives_q,
+        "extract_twice": extract_twice,
         "blacklist_file": blacklist_file,
         "utf8_check": utf8_check,
     }

@@ -193,3 +193,38 @@ def test_validate_and_group_commands(spark, tmp_dir):
     dest = sorted(r["destination"] for r in plan.collect())
     assert dest == ["/sorted/Автор/Книга(1).fb2", "/sorted/Автор/Книга.fb2"]
     assert [r["basename"] for r in rejects.collect()] == ["bad.fb2"]
+
+
+def test_extract_keeps_what_other_runs_extracted(spark, tmp_dir, monkeypatch):
+    from shelfwright.plans.pipeline import extract, extracted
+    from shelfwright.sources import extract_target as T
+    monkeypatch.setattr(T, "BUCKETS", 3)  # names of several runs share partitions
+    one, two, bad = (os.path.join(tmp_dir, n) for n in ("one.zip", "two.zip", "bad.zip"))
+    write(one, zip_bytes({"a.fb2": b"<a1/>", "b.fb2": b"<b1/>", "c.fb2": b"<c1/>"}))
+    write(two, zip_bytes({"x/b.fb2": b"<b2/>", "d.fb2": b"<d2/>"}))
+    members = {"a.fb2": b"<a3 damaged/>", "c.fb2": b"<c3/>"}
+    write(bad, damaged(members, "a.fb2"))
+    archives = lambda *names: spark.createDataFrame([(n,) for n in names], "path string")
+    run = lambda target, names, **kw: sorted(r.basename or "" for r in extract(archives(*names), f"{tmp_dir}/{target}", **kw).collect())
+    held = lambda target: sorted((r.basename, bytes(r.content)) for r in extracted(spark, f"{tmp_dir}/{target}").collect())
+    both = [("a.fb2", b"<a1/>"), ("b.fb2", b"<b1/>"), ("c.fb2", b"<c1/>"), ("d.fb2", b"<d2/>")]
+    assert held("none") == []
+    for k in range(3):  # reruns add nothing
+        assert run("t", [one] if k == 0 else [one, two]) == []
+        assert held("t") == (both if k else both[:3])
+    # overwriting replaces the run's own names only, and never by a member that fails
+    over = [("a.fb2", b"<a1/>"), ("b.fb2", b"<b2/>"), ("c.fb2", b"<c1/>"), ("d.fb2", b"<d2/>")]
+    for _ in range(2):
+        assert run("t", [two], overwrite=True) == [] and held("t") == over
+    assert run("t", [bad], overwrite=True) == ["a.fb2"]
+    assert held("t") == [("a.fb2", b"<a1/>"), ("b.fb2", b"<b2/>"), ("c.fb2", b"<c3/>"), ("d.fb2", b"<d2/>")]
+    # failures are those of the run
+    assert run("t", [one, one + "x"]) == [""] and run("t", [one]) == []
+    # either order gives the same names; the last overwriting run wins
+    for target, order in (("u", [one, two]), ("v", [two, one])):
+        for archive in order:
+            run(target, [archive], overwrite=True)
+    assert held("u") == over and held("v") == both
+    listed = spark.createDataFrame([("d.fb2",)], "basename string")
+    run("w", [two], existing=listed)
+    assert held("w") == [("b.fb2", b"<b2/>")]
