@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.digest import hex_id, stable_id
-from ._joins import bounded_broadcast
+from ..session import written
+from ._joins import is_small, maybe_among
 from .identity import dedupe_books, with_digest
 
 _S = T.StringType()
@@ -52,6 +53,7 @@ class Catalog:
     books: DataFrame
     persons: DataFrame
     links: DataFrame
+    titles: DataFrame | None = None  # the stored title index
 
     def tables(self) -> dict[str, DataFrame]:
         return {"books": self.books, "persons": self.persons, "book_authors": self.links}
@@ -137,14 +139,20 @@ def _not_in_catalog(batch: DataFrame, table: DataFrame, keys: list[str],
     ``small_batch`` (a micro-batch against a big catalogue): the catalogue
     keys are first semi-joined against the batch keys.  While those are small
     enough to broadcast, the catalogue is only scanned per batch and the
-    remaining anti-join is between two batch-sized inputs; a batch beyond the
-    bound shuffles the catalogue's key column.  Otherwise (a bulk load): one
+    remaining anti-join is between two batch-sized inputs; beyond the bound a
+    bitmap of hashed batch keys, of bounded size, goes through the scan first,
+    and only keys that it may hold are shuffled.  Otherwise (a bulk load): one
     shuffled anti-join.
     """
     if not small_batch:
         return batch.join(table.select(*keys), keys, "left_anti")
-    wanted = bounded_broadcast(batch.select(*keys).distinct())
-    present = table.select(*keys).join(wanted, keys, "left_semi")
+    wanted = written(batch.select(*keys).distinct(), "batch-keys")
+    known = table.select(*keys)
+    if not is_small(wanted):
+        known = maybe_among(known, wanted, keys)
+    else:
+        wanted = F.broadcast(wanted)
+    present = known.join(wanted, keys, "left_semi")
     return batch.join(present, keys, "left_anti")
 
 
@@ -233,7 +241,9 @@ def authors_of(cat: Catalog, books: DataFrame | None = None) -> DataFrame:
 
 
 def search_titles(books: DataFrame, prefix: str) -> DataFrame:
-    """Titles starting with ``prefix`` (no wildcard meaning of % or _)."""
+    """Titles starting with ``prefix`` (no wildcard meaning of % or _).
+    ``books`` may be a stored catalogue's ``titles``, whose files are sorted by
+    title, so that a search skips what lies beside the prefix."""
     return (books.filter(F.col("title").startswith(prefix))
             .select("id", "title", "encoding", "filename"))
 

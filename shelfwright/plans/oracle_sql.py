@@ -229,6 +229,11 @@ UNION ALL SELECT 'dangling_link_book', CAST(book_id AS VARCHAR), count(*) FROM l
     o["search_titles"] = cat + f"""SELECT {sid('digest')} AS id, title, 'utf-8' AS encoding, ext_id AS filename
 FROM cat_dig WHERE starts_with(title, 'Order bc')"""
 
+    o["snapshot_delete"] = cat + f"""SELECT 'book' AS kind, {sid('digest')} AS a, 0 AS b FROM cat_dig WHERE book_no % 10 <> 0
+UNION ALL SELECT DISTINCT 'link', book_id, person_id FROM cat_links_k WHERE book_no % 10 <> 0"""
+    o["title_index"] = cat + f"""SELECT {sid('digest')} AS id, title, ext_id AS filename
+FROM cat_dig WHERE starts_with(title, 'Order bc')"""
+
     # ---- organise
     principal = """prin AS (
   SELECT d.*, coalesce(f.id, 'UnknownAuthor') AS principal

@@ -16,7 +16,7 @@ from ..operators.blacklist import basename, exclude_blacklisted, new_blacklist_e
 from ..operators.catalog import Catalog, build_catalog, upsert
 from ..operators.metadata import book_metadata, check_wellformed, split_accepted
 from ..operators.organize import destination, move_plan, unique_destination
-from ..operators.report import run_summary
+from ..operators.report import summary_of_counts
 from ..sources.archives import open_books
 from ..sources.extract_target import extract_into, extracted_books
 from ..session import written
@@ -30,7 +30,7 @@ def decoded(files: DataFrame, path: str = "path", content: str = "content",
     decoding to the bytes up to a marker (see ``decode_books``)."""
     if content not in files.columns:
         files = read_files(files)
-    opened = open_books(files, path, content)
+    opened = open_books(files, path, content, until)
     keep = [c for c in files.columns if c not in (path, content, "basename", "length",
                                                   "modificationTime", "encoding", "text", "error")]
     dec = decode_books(opened, content, until=until)
@@ -58,12 +58,8 @@ def _selected(files: DataFrame, blacklist: DataFrame | None, reverse: bool = Fal
 
 def summary(files: DataFrame, selected: DataFrame, failed: DataFrame) -> DataFrame:
     """K1 of a command: counts of the scanned files, of those selected and of
-    those that failed (each a DataFrame with ``path``)."""
-    state = (files.select("path", F.lit(1).alias("s"), F.lit(0).alias("p"), F.lit(0).alias("f"))
-             .unionByName(selected.select("path", F.lit(0).alias("s"), F.lit(1).alias("p"), F.lit(0).alias("f")))
-             .unionByName(failed.select("path", F.lit(0).alias("s"), F.lit(0).alias("p"), F.lit(1).alias("f"))))
-    per = state.groupBy("path").agg(F.max("p").alias("p"), F.max("f").alias("f"))
-    return run_summary(per.select((F.col("p") == 0).alias("blacklisted"), (F.col("f") == 0).alias("ok")))
+    those that failed (each with a row per file)."""
+    return summary_of_counts(files, selected, failed)
 
 
 def extract(archives: DataFrame, target: str, existing: DataFrame | None = None, overwrite: bool = False) -> DataFrame:

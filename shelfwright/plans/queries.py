@@ -20,7 +20,8 @@ from ..operators.metadata import book_metadata, check_wellformed
 from ..operators.organize import destination, move_plan, unique_destination
 from ..session import scratch_path, written
 from ..sources.archives import explode_archives
-from ..sources.library import append_blacklist, read_blacklist, read_files, scan_library, write_by_author
+from ..sources.library import (append_blacklist, compact_catalog, delete_from_catalog, read_blacklist, read_catalog, read_files,
+                               scan_library, write_by_author, write_catalog)
 from . import fixtures as X
 from .pipeline import extract, extracted, index, parse_library, summary, validate
 
@@ -171,6 +172,26 @@ def delete_cascade(spark: SparkSession, d: str) -> DataFrame:
     return cat.links
 
 
+def snapshot_delete(spark: SparkSession, d: str) -> DataFrame:
+    """A stored catalogue after a deletion and a compaction, each its own
+    snapshot (A8, G10)."""
+    base, root = _base(spark, d), scratch_path(spark, "snapshots")
+    write_catalog(_batch(spark, d, base), root, bulk=True)
+    delete_from_catalog(spark, root, _delete_request(base))
+    cat = compact_catalog(spark, root)
+    return (cat.books.select(F.lit("book").alias("kind"), F.col("id").alias("a"), F.lit(0).cast("long").alias("b"))
+            .unionByName(cat.links.select(F.lit("link").alias("kind"), F.col("book_id").alias("a"), F.col("person_id").alias("b"))))
+
+
+def title_index(spark: SparkSession, d: str) -> DataFrame:
+    """A prefix search in the stored title index of two commits."""
+    cat, batch, _ = _both(spark, d)
+    root = scratch_path(spark, "titles")
+    write_catalog(cat, root, bulk=True)
+    write_catalog(G.Catalog(G.upsert_books(read_catalog(spark, root).books, batch), batch.persons, batch.links), root, only=("books",))
+    return G.search_titles(read_catalog(spark, root).titles, "Order bc").select("id", "title", "filename")
+
+
 def catalog_integrity(spark: SparkSession, d: str) -> DataFrame:
     cat, batch, base = _both(spark, d)
     naive = G.union_catalog(cat, batch)          # appended without the anti-joins
@@ -518,6 +539,8 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "delete_books": delete_books,
         "delete_cascade": delete_cascade,
         "catalog_integrity": catalog_integrity,
+        "snapshot_delete": snapshot_delete,
+        "title_index": title_index,
         "search_titles": search_titles,
         "sanitize_names": sanitize_names,
         "destination": destination_q,

@@ -1,8 +1,9 @@
 """ZIP handling, the one place Python runs per row: Spark has no ZIP codec.
 
-* :func:`unzip_single` (A3) -- a ``.fb2.zip`` must hold exactly one
-  ``.fb2`` member.  Arrow-batched pandas UDF; callers pass NULL for rows
-  that are not zipped, so only zipped bytes cross into Python.
+* :func:`open_books` (A3) -- a ``.fb2.zip`` must hold exactly one ``.fb2``
+  member.  Members are inflated piece by piece, all of them for the checksum,
+  but kept only as far as they are needed; what a task holds is bounded by
+  inflated bytes.  Batches without zipped rows pass through untouched.
 * :func:`explode_archives` (A2) -- big archives of many books: the central
   directories are listed first, many archives a task, and the members are
   dealt in slices of an archive's bytes, so one huge archive spreads over
@@ -36,15 +37,33 @@ try:
 except Exception:  # noqa: BLE001 - older cloudpickle: fall back to by-reference
     pass
 
-UNZIPPED = T.StructType([
-    T.StructField("content", T.BinaryType()),
-    T.StructField("error", T.StringType()),
-])
+#: Inflated at once; the longest member that a row may hold.
+PIECE, LARGEST_MEMBER = 256 << 10, 1 << 30
+#: Before a marker these may hide it, so all of such a text is kept.
+_HIDING = (b"<!--", b"<![CDATA[", b"<!ENTITY")
 
 
-def _unzip_one(data: bytes | None) -> tuple[bytes | None, str | None]:
-    if data is None:
-        return None, None
+def _inflated(f, until: bytes | None) -> bytes:
+    """A member's bytes, or those up to its first ``until``.  All of it is
+    read, for the checksum at its end."""
+    kept, done, at = bytearray(), False, 0
+    while piece := f.read(PIECE):
+        if done:
+            continue
+        if len(kept) + len(piece) > LARGEST_MEMBER:
+            raise ValueError(f"member of more than {LARGEST_MEMBER} bytes")
+        kept += piece
+        if until and (k := kept.find(until, max(0, at - len(until)))) >= 0:
+            if any(0 <= kept.find(h, 0, k) for h in _HIDING):
+                until = None
+            else:
+                del kept[k + len(until):]
+                done = True
+        at = len(kept)
+    return bytes(kept)
+
+
+def _unzip_one(data: bytes, until: bytes | None = None) -> tuple[bytes | None, str | None]:
     try:
         with zipfile.ZipFile(io.BytesIO(data)) as z:
             members = [i for i in z.infolist() if not i.is_dir() and i.filename.endswith(BOOK_SUFFIX)]
@@ -52,7 +71,8 @@ def _unzip_one(data: bytes | None) -> tuple[bytes | None, str | None]:
                 return None, "no .fb2 member in archive"
             if len(members) > 1:
                 return None, "more than one .fb2 member in archive"
-            return z.read(members[0]), None
+            with z.open(members[0]) as f:
+                return _inflated(f, until), None
     except (zipfile.BadZipFile, zipfile.LargeZipFile, OSError, EOFError, ValueError,
             NotImplementedError, RuntimeError) as e:  # zlib.error is an Exception too
         return None, f"cannot unzip: {e}"
@@ -60,17 +80,6 @@ def _unzip_one(data: bytes | None) -> tuple[bytes | None, str | None]:
         return None, f"cannot unzip: {e}"
 
 
-@F.pandas_udf(UNZIPPED)
-def _unzip_udf(content: pd.Series) -> pd.DataFrame:
-    out = [_unzip_one(b) for b in content]
-    return pd.DataFrame({"content": [o[0] for o in out], "error": [o[1] for o in out]})
-
-
-def unzip_single(content) -> Column:
-    """A3: ``struct(content, error)`` of the single ``.fb2`` member (NULL in, NULL out)."""
-    return _unzip_udf(content)
-
-
 @F.pandas_udf(T.BinaryType())
 def _zip_udf(name: pd.Series, content: pd.Series) -> pd.Series:
     out = []
@@ -92,17 +101,48 @@ def zip_single(name, content) -> Column:
     return _zip_udf(name, content)
 
 
-def open_books(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+def open_books(files: DataFrame, path: str = "path", content: str = "content", until: str | None = None) -> DataFrame:
     """A3 applied to a scan: ``.fb2.zip`` rows are replaced by their member,
     plain ``.fb2`` rows pass through; adds ``error`` (NULL when fine; one
-    that is there already stays)."""
-    is_zip = F.col(path).endswith(".fb2.zip")
-    prior = F.col("error") if "error" in files.columns else F.lit(None).cast("string")
-    z = unzip_single(F.when(is_zip, F.col(content)))
-    return (files.withColumn("_z", z)
-            .withColumn(content, F.when(is_zip, F.col("_z.content")).otherwise(F.col(content)))
-            .withColumn("error", F.coalesce(prior, F.col("_z.error")))
-            .drop("_z"))
+    that is there already stays).  With ``until`` members are kept up to that
+    marker only, unless something before it may hide it."""
+    if "error" not in files.columns:
+        files = files.withColumn("error", F.lit(None).cast("string"))
+    names = files.columns
+    at, where, noted = names.index(path), names.index(content), names.index("error")
+    marker = until.encode() if until else None
+
+    def run(batches):
+        for batch in batches:
+            zipped = [k for k, p in enumerate(batch.column(at).to_pylist()) if p is not None and p.endswith(".fb2.zip")]
+            if not zipped:
+                yield batch
+                continue
+            chosen = set(zipped)
+            yield batch.take(pa.array([k for k in range(len(batch)) if k not in chosen], pa.int64()))
+            rows, contents, errors, held = [], [], [], 0
+
+            def flush():
+                part = batch.take(pa.array(rows, pa.int64()))
+                columns = list(part.columns)
+                columns[where] = pa.array(contents, batch.schema.field(where).type)
+                columns[noted] = pa.array(errors, batch.schema.field(noted).type)
+                return pa.RecordBatch.from_arrays(columns, names=names)
+
+            for k in zipped:
+                data, error = batch.column(where)[k].as_py(), batch.column(noted)[k].as_py()
+                book, failed = (None, None) if data is None else _unzip_one(data, marker)
+                rows.append(k)
+                contents.append(book)
+                errors.append(error if error is not None else failed)
+                held += len(book or b"")
+                if held >= BATCH_BYTES:
+                    yield flush()
+                    rows, contents, errors, held = [], [], [], 0
+            if rows:
+                yield flush()
+
+    return files.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType, True) for f in files.schema.fields]))
 
 
 # ------------------------------------------------------------------ A2: extract

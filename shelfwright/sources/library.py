@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.catalog import TABLES, Catalog
+from ..operators.catalog import BOOKS_SCHEMA, TABLES, Catalog, delete_books
 from ..operators.metadata import BLANKS
 from ..session import scratch_path, written
+from . import snapshots
 
 BOOK_GLOB = "*.{fb2,fb2.zip}"
 
@@ -19,19 +20,23 @@ def scan_library(spark: SparkSession, path: str, with_content: bool = True) -> D
     """A1: every ``.fb2`` / ``.fb2.zip`` file under ``path`` (recursive,
     case-sensitive suffix test at listing time; a single file is accepted).
 
-    ``(path, basename, length, modificationTime[, content])``.  Without
-    ``content`` the binaryFile scan reads no file bytes at all, and
-    :func:`read_files` reads those of the files that are left later on.
+    ``(path, basename, length, modificationTime[, content])``.  Folders are
+    listed in tasks, level by level, so the driver holds no file's status; a
+    path with wildcards, or one of a store that tasks can't list, is listed by
+    Spark's own file source.  :func:`read_files` reads the bytes: late, where
+    names are joined to something first.
     """
-    df = (spark.read.format("binaryFile")
-          .option("recursiveFileLookup", "true")
-          .option("pathGlobFilter", BOOK_GLOB)
-          .load(path))
-    cols = [F.col("path"), F.regexp_extract("path", r"([^/]*)$", 1).alias("basename"),
-            "length", "modificationTime"]
-    if with_content:
-        cols.append("content")
-    return df.select(*cols)
+    from .listing import list_tree
+
+    found = list_tree(spark, path)
+    if found is None:
+        df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+              .option("pathGlobFilter", BOOK_GLOB).load(path))
+    else:
+        df = found.filter(F.col("path").endswith(".fb2") | F.col("path").endswith(".fb2.zip"))
+    names = df.select("path", F.regexp_extract("path", r"([^/]*)$", 1).alias("basename"), "length", "modificationTime",
+                      *(["content"] if with_content and found is None else []))
+    return read_files(names).drop("error") if with_content and found is not None else names
 
 
 BLACKLIST_SCHEMA = T.StructType([T.StructField("basename", T.StringType()),
@@ -117,46 +122,103 @@ def read_aliases(spark: SparkSession, path: str) -> DataFrame:
 
 # ----------------------------------------------------------------- catalogue
 
+#: The title index (G12): what a search shows, sorted by title.
+TITLES_SCHEMA = T.StructType([BOOKS_SCHEMA[c] for c in ("title", "id", "encoding", "filename")])
+_STORED = TABLES | {"titles": TITLES_SCHEMA}
+
+
 def read_catalog(spark: SparkSession, root: str) -> Catalog:
-    """The three tables under ``root`` (empty ones when absent)."""
+    """The tables under ``root`` as the last commit left them (empty ones when
+    there is none).  A folder without manifests is read as it is."""
+    root = root.rstrip("/")
+    _, files = snapshots.latest(spark, root)
     out = {}
-    for name, schema in TABLES.items():
+    for name, schema in _STORED.items():
+        if files is not None:
+            paths = [f"{root}/{name}/{f}" for f in files.get(name, [])]
+            out[name] = spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+            continue
         try:
-            out[name] = spark.read.schema(schema).parquet(f"{root.rstrip('/')}/{name}")
+            out[name] = spark.read.schema(schema).parquet(f"{root}/{name}")
         except AnalysisException as e:
             if not _missing(e):
                 raise
             out[name] = spark.createDataFrame([], schema)
-    return Catalog(out["books"], out["persons"], out["book_authors"])
+    titles = out["titles"] if files is not None and "titles" in files else None
+    return Catalog(out["books"], out["persons"], out["book_authors"], titles)
+
 
+_SORTED_BY = {"books": "digest", "persons": "normalized_name", "book_authors": "book_id", "titles": "title"}
 
-_NATURAL_KEYS = {"books": "digest", "persons": "normalized_name", "book_authors": "book_id"}
 
+def _add_files(rows: DataFrame, root: str, name: str, bulk: bool) -> list[str]:
+    """Names of the files that now hold ``rows``, in no commit yet."""
+    spark, key = rows.sparkSession, _SORTED_BY[name]
+    before = set(snapshots.table_files(spark, root, name))
+    rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in _STORED[name].fields])
+    if bulk:
+        rows = rows.repartitionByRange(key)
+    writer = rows.sortWithinPartitions(key).write.mode("append")
+    if name != "titles":  # searched by prefix
+        writer = (writer.option(f"parquet.bloom.filter.enabled#{key}", "true")
+                  .option(f"parquet.bloom.filter.expected.ndv#{key}", "200000"))
+    writer.parquet(f"{root}/{name}")
+    return sorted(set(snapshots.table_files(spark, root, name)) - before)
 
-def write_catalog(cat: Catalog, root: str, mode: str = "append", bulk: bool = False) -> None:
-    """Write the three tables as parquet with the fixed schemas.
+
+def write_catalog(cat: Catalog, root: str, mode: str = "append", bulk: bool = False,
+                  only: tuple[str, ...] = tuple(TABLES)) -> None:
+    """Writes the tables as parquet with the fixed schemas and commits
+    them together: readers see all of it or nothing.  ``append`` adds rows,
+    ``overwrite`` replaces the tables named by ``only``, ``errorifexists``
+    needs a new folder.
 
     Files are sorted by the natural key and carry a bloom filter on it, so a
-    lookup (G7, G8) skips row groups.  ``bulk`` range-partitions the rows by
-    the key first; a micro-batch is only sorted."""
+    lookup (G7, G8) skips row groups; the title index (G12) follows the books.
+    ``bulk`` range-partitions the rows by the key first; a micro-batch is only
+    sorted."""
+    root, spark = root.rstrip("/"), cat.books.sparkSession
+    number, known = snapshots.latest(spark, root)
+    if known is None:  # a folder from before there were manifests is adopted
+        known = {name: snapshots.table_files(spark, root, name) for name in TABLES}
+        if known["books"]:
+            old = spark.read.schema(BOOKS_SCHEMA).parquet(*(f"{root}/books/{f}" for f in known["books"]))
+            known["titles"] = _add_files(old, root, "titles", bulk)
+    if mode == "errorifexists" and any(known.values()):
+        raise ValueError(f"{root} holds a catalogue")
+    files = dict(known)
     for name, df in cat.tables().items():
-        schema, key = TABLES[name], _NATURAL_KEYS[name]
-        rows = df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
-        if bulk:
-            rows = rows.repartitionByRange(key)
-        (rows.sortWithinPartitions(key).write.mode(mode)
-         .option(f"parquet.bloom.filter.enabled#{key}", "true")
-         .option(f"parquet.bloom.filter.expected.ndv#{key}", "200000")
-         .parquet(f"{root.rstrip('/')}/{name}"))
-
-
-def compact_catalog(spark: SparkSession, root: str, target: str) -> Catalog:
-    """The catalogue under ``root`` rewritten to ``target`` in few sorted
-    files; readers switch when it is complete."""
+        if name in only:
+            files[name] = ([] if mode == "overwrite" else known.get(name, [])) + _add_files(df, root, name, bulk)
+    if "books" in only:
+        fresh = files["books"] if mode == "overwrite" else files["books"][len(known.get("books", [])):]
+        files["titles"] = [] if mode == "overwrite" else known.get("titles", [])
+        if fresh:
+            rows = spark.read.schema(BOOKS_SCHEMA).parquet(*(f"{root}/books/{f}" for f in fresh))
+            files["titles"] = files["titles"] + _add_files(rows, root, "titles", bulk)
+    snapshots.commit(spark, root, number + 1, files)
+
+
+def compact_catalog(spark: SparkSession, root: str, target: str | None = None) -> Catalog:
+    """The catalogue under ``root`` rewritten in few sorted files, to
+    ``target`` or as its own next snapshot."""
+    if target is None:
+        write_catalog(read_catalog(spark, root), root, mode="overwrite", bulk=True)
+        return read_catalog(spark, root)
     write_catalog(read_catalog(spark, root), target, mode="errorifexists", bulk=True)
     return read_catalog(spark, target)
 
 
+def delete_from_catalog(spark: SparkSession, root: str, digests: DataFrame, digest_col: str = "digest") -> DataFrame:
+    """G10 on a stored catalogue: a new snapshot without these books and their
+    links.  Returns the status of each digest; earlier snapshots stay until
+    ``snapshots.vacuum``."""
+    cat, status = delete_books(read_catalog(spark, root), digests, digest_col)
+    status = written(status, "deleted")
+    write_catalog(cat, root, mode="overwrite", bulk=True, only=("books", "book_authors"))
+    return status
+
+
 def read_files(files: DataFrame) -> DataFrame:
     """``content`` for a scan without it: the bytes of exactly these paths,
     read in tasks that hold about equally many bytes' worth of files.

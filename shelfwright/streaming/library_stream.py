@@ -20,16 +20,19 @@ from ..operators.metadata import split_accepted
 from ..plans.pipeline import _selected, parse_library
 from ..session import ensure_checkpoint_dir, scratch_path, scratch_scope, written
 from ..sources.library import BOOK_GLOB, read_catalog, write_catalog
+from ..sources.listing import tasks_can_open
 
 
 def _index_batch(catalog_root: str, aliases: DataFrame | None, blacklist: DataFrame | None,
-                 rejects_root: str | None):
+                 rejects_root: str | None, names_first: bool = False):
     def run(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
+        # the bytes of a folder's files are read after the blacklist join, by the tasks that parse them
+        files = batch.select("path", "length") if names_first else batch.select("path", "content")
         # what a batch writes on the way goes with the batch, and nothing is
         # cached: an endless stream fills neither executors nor the disk
         with scratch_scope(spark, f"stream-batch-{epoch_id}"):
-            meta = written(parse_library(_selected(batch.select("path", "content"), blacklist)), "parsed")
+            meta = written(parse_library(_selected(files, blacklist)), "parsed")
             ok, rejects = split_accepted(meta)
             # one alias join and one dedupe per batch feed all three tables
             books = written(first_seen_books(resolve_aliases(ok, aliases)), "first-seen")
@@ -37,13 +40,14 @@ def _index_batch(catalog_root: str, aliases: DataFrame | None, blacklist: DataFr
             known = read_catalog(spark, catalog_root)
             new = Catalog(upsert_books(known.books, rows), upsert_persons(known.persons, rows),
                           upsert_links(known.links, rows))
-            # Each table is guarded by its own anti-join against what is
-            # already written, so the order books -> persons -> links is
-            # replay-safe.
-            write_catalog(new, catalog_root, mode="append")
+            # Rejects of a query and epoch have a folder of their own, so a
+            # replay replaces them.  The tables are committed together, and
+            # each is guarded by its own anti-join, so a replay adds nothing.
             if rejects_root:
+                query = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "none"
                 (rejects.select("path", "basename", "reject_reason")
-                 .withColumn("epoch", F.lit(epoch_id)).write.mode("append").parquet(rejects_root))
+                 .write.mode("overwrite").parquet(f"{rejects_root.rstrip('/')}/query={query}/epoch={epoch_id}"))
+            write_catalog(new, catalog_root, mode="append")
     return run
 
 
@@ -67,10 +71,14 @@ def stream_library(spark: SparkSession, source: str | DataFrame, catalog_root: s
         if max_files_per_trigger:
             reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
         stream = reader.load(source)
+        # a store that tasks can't open is read by the stream itself
+        names_first = tasks_can_open(spark, source)
+        if names_first:
+            stream = stream.drop("content")
     else:
-        stream = source
+        stream, names_first = source, False
     w = (stream.writeStream
-         .foreachBatch(_index_batch(catalog_root, aliases, blacklist, rejects_root))
+         .foreachBatch(_index_batch(catalog_root, aliases, blacklist, rejects_root, names_first))
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     q = w.start()
