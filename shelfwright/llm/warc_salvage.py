@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from ..sources import archives as _archives
+from ..sources.archives import SCHEMES, UnsupportedStore, _open as open_archive
 from ._common import ship_by_value, stage
 
 ship_by_value(__name__)
@@ -73,7 +73,7 @@ def _create(path: str):
         store, at = fs.LocalFileSystem(), path.removeprefix("file:")
     else:
         scheme, rest = path.split("://", 1)
-        store, at = fs.FileSystem.from_uri(f"{_archives.SCHEMES.get(scheme, scheme)}://{rest}")
+        store, at = fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}")
     store.create_dir(at.rsplit("/", 1)[0], recursive=True)
     return store.open_output_stream(at, compression=None)  # members are gzipped one by one
 
@@ -412,8 +412,8 @@ def read_archives(archives: DataFrame, archive: str = "archive", payloads: bool
             for path in paths.column(0).to_pylist():
                 rows, size = [], 0
                 try:
-                    f = _archives._open(path)
-                except _archives.UnsupportedStore:
+                    f = open_archive(path)
+                except UnsupportedStore:
                     raise  # every archive of this store would fail
                 except OSError as e:
                     yield batch([{"archive": path, "kind": "gap", "at": 0, "reason": f"can't be opened: {e}"}])
