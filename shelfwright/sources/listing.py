@@ -8,14 +8,19 @@ Spark's own listing has them.
 
 from __future__ import annotations
 
+import sys
 from functools import reduce
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import written
-from . import archives as _archives
+from .archives import SCHEMES, UnsupportedStore, _partitions
+
+# Shipped by value, like the archive readers.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Deepest tree; beyond it links that lead back are likely.
 MAX_DEPTH = 128
@@ -30,11 +35,11 @@ def _store(path: str):
     if "://" not in path:
         return fs.LocalFileSystem(), path.removeprefix("file:") or "/", "file:"
     scheme, rest = path.split("://", 1)
-    uri = f"{_archives.SCHEMES.get(scheme, scheme)}://{rest}"
+    uri = f"{SCHEMES.get(scheme, scheme)}://{rest}"
     try:
         store, at = fs.FileSystem.from_uri(uri)
     except ArrowInvalid as e:
-        raise _archives.UnsupportedStore(f"{scheme}:// can't be listed in tasks: {e}") from e
+        raise UnsupportedStore(f"{scheme}:// can't be listed in tasks: {e}") from e
     if scheme == "file":
         return store, at, "file:"
     return store, at, path[:len(path.rstrip("/")) - len(at.rstrip("/"))]
@@ -72,7 +77,7 @@ def tasks_can_open(spark: SparkSession, path: str) -> bool:
     """Whether files under ``path`` can be opened without Spark's readers."""
     try:
         _store(_qualified(spark, path))
-    except _archives.UnsupportedStore:
+    except UnsupportedStore:
         return False
     return True
 
@@ -87,7 +92,7 @@ def list_tree(spark: SparkSession, path: str) -> DataFrame | None:
     root = _qualified(spark, path)
     try:
         store, at, prefix = _store(root)
-    except _archives.UnsupportedStore:
+    except UnsupportedStore:
         return None
     top = store.get_file_info(at)
     if top.type == fs.FileType.NotFound:
@@ -95,7 +100,7 @@ def list_tree(spark: SparkSession, path: str) -> DataFrame | None:
     if top.type == fs.FileType.File:
         when = top.mtime.replace(microsecond=top.mtime.microsecond // 1000 * 1000) if top.mtime else None
         return spark.createDataFrame([(prefix + top.path, top.size, when)], "path string, length long, modificationTime timestamp")
-    n = _archives._partitions(spark.range(0), None)
+    n = _partitions(spark.range(0), None)
     folders, levels = spark.createDataFrame([(root,)], "path string"), []
     for _ in range(MAX_DEPTH):
         level = written(folders.repartition(n).mapInArrow(_list, FOUND), "listing")
