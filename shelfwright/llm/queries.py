@@ -27,9 +27,11 @@ def op1_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans of secrets per document, through the blob ledger."""
+    """Spans of secrets per document, through the blob ledger: one half of
+    the rows is an earlier run, then all rows are scanned against its ledger."""
     docs = table(spark, sf_dir, "documents")
-    ledger = secret_scan.update_ledger(docs)
+    earlier = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0)
+    ledger = secret_scan.update_ledger(docs, secret_scan.update_ledger(earlier))
     spans = F.col("spans")
     count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
     joined = secret_scan.spans_text(spans)

@@ -6,8 +6,10 @@ scanned, with the spans found.  A run scans only the pairs the ledger lacks:
 new blobs by all rules, and known blobs by rules that are new or changed.
 Findings are joined back to all paths that hold the blob.
 
-Blobs are grouped before any text is scanned, so thousands of copies of one
-file are scanned once.  The join back runs on written tables, where the
+Against a ledger, distinct digests are joined first; the digests of blobs that
+lack a rule become a bitmap of bounded size, and only texts that it may hold
+are grouped by blob.  Blobs are grouped before any text is scanned, so thousands
+of copies of one file are scanned once.  The join back runs on written tables, where the
 adaptive skew-join rule can split a blob that a third of all paths share.
 
 Null texts count as empty; an empty text has a ledger row without spans.
@@ -22,6 +24,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators._joins import maybe_among
 from ._common import as_row, stage, text_or_empty
 
 LEDGER_SCHEMA = ("blob string, rule string, version int, "
@@ -83,17 +86,21 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None,
                 rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """New ledger rows: every (blob, rule, version) of ``versions`` (``text``)
     that ``ledger`` lacks, with the spans found."""
-    # the rules each blob still needs, by digest only; texts of known blobs stay out
     hashed = versions.select(blob_of(text_or_empty()).alias("blob"), text_or_empty().alias("text"))
     if ledger is None:
         todo = hashed.groupBy("blob").agg(F.first("text").alias("text"))
         wanted = [F.lit(True)] * len(rules)
     else:
-        current = F.concat_ws(":", "rule", F.col("version").cast("string"))
-        seen = ledger.groupBy("blob").agg(F.collect_set(current).alias("seen"))
-        todo = (hashed.groupBy("blob").agg(F.first("text").alias("text"))
-                .join(seen, "blob", "left"))
-        wanted = [~F.coalesce(F.array_contains("seen", f"{r.kind}:{r.version}"), F.lit(False)) for r in rules]
+        # digests alone tell which blobs lack a rule; only those blobs' texts are shuffled
+        names = [f"{r.kind}:{r.version}" for r in rules]
+        seen = (ledger.select("blob", F.concat_ws(":", "rule", F.col("version").cast("string")).alias("name"))
+                .filter(F.col("name").isin(names)).groupBy("blob").agg(F.collect_set("name").alias("seen")))
+        lacking = stage(hashed.select("blob").distinct().join(seen, "blob", "left").select(
+            "blob", F.array_except(F.array(*map(F.lit, names)), F.coalesce("seen", F.array().cast("array<string>"))).alias("lacks"))
+            .filter("size(lacks) > 0"), "blobs-to-scan")
+        todo = (maybe_among(hashed, lacking, ["blob"]).groupBy("blob").agg(F.first("text").alias("text"))
+                .join(lacking, "blob"))
+        wanted = [F.array_contains("lacks", name) for name in names]
     found = F.array(*(F.when(w, F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version"),
                                          find_spans(F.col("text"), r).alias("spans")))
                       for r, w in zip(rules, wanted)))

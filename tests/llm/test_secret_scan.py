@@ -47,6 +47,20 @@ def test_ledger_scans_only_unseen_pairs(spark):
     assert {r.doc_id: len(r.spans) for r in S.findings(first, both).collect()} == {0: 1, 1: 0, 2: 0}
 
 
+def test_texts_of_known_blobs_are_not_shuffled(spark, tmp_dir):
+    """A ledger that knows all blobs leaves no text; half a ledger gives the
+    findings of a single run."""
+    texts = ["token=abcdef", "plain", None, "", "plain", "secret: abcdefgh " * 50, "hot"] + ["hot"] * 300
+    docs = documents(spark, texts)
+    whole = S.update_ledger(docs)
+    assert S.scan_unseen(docs, whole).count() == 0
+    halved = S.update_ledger(docs, S.update_ledger(docs.filter("doc_id % 2 = 0")))
+    key = lambda df: sorted((r.blob, r.rule, r.version, r.spans) for r in df.collect())
+    assert key(halved) == key(whole)
+    plan = S.scan_unseen(docs, whole)._jdf.queryExecution().executedPlan().toString()
+    assert "bitmap_construct_agg" in plan
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     docs = documents(spark, ["a token=abcdef b", None, "", "secret: 0123456789abcdef0123456789 x", "clean", "clean"], [1, 2, 3, 4, 5, 5])
     got = S.redact(docs, S.blob_findings(S.update_ledger(docs)))
