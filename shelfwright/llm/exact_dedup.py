@@ -137,27 +137,44 @@ def lookup(probes: DataFrame, index: DigestIndex) -> DataFrame:
                         F.when(member, F.col("n")).alias("n"))
 
 
+def update_history(history: DataFrame, groups: DataFrame) -> DataFrame:
+    """``history`` (digest, winner, n) after more rows, given as ``groups``
+    (digest, own, own_n) with one row per digest.  Digests found in the index
+    keep the larger locator and add their rows; the others are new groups.  A
+    written table."""
+    found = lookup(groups, build_index(history))
+    met = found.select("digest", F.greatest("winner", "own").alias("winner"),
+                       (F.col("own_n") + F.coalesce("n", F.lit(0))).alias("n"))
+    # at most two rows a digest: the history's, and its update
+    return stage(history.select("digest", "winner", "n").unionByName(met).groupBy("digest").agg(
+        F.max("winner").alias("winner"), F.max("n").alias("n")), "digest-history")
+
+
+def _groups(rows: DataFrame) -> DataFrame:
+    return stage(rows.groupBy("digest").agg(F.max("doc_id").alias("own"), F.count("*").alias("own_n")), "digest-groups")
+
+
 def exact_dedup(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) for every row.
 
     ``history`` (digest, winner, n) holds the distinct digests seen so far; a
-    row whose digest is in it is a copy of ``winner``.  Without a history the
-    table's own distinct digests are it, and the largest doc_id of equal texts
-    stays.  Non-members' groups keep their largest doc_id too.
+    row whose digest is in it is a copy of ``winner``.  Non-members' groups
+    keep their largest doc_id.  Without a history one half of the rows (by
+    hash of doc_id) becomes it, the other half is looked up in its index,
+    and of equal texts in either half the largest doc_id stays.
     """
     rows = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                              digest_of(text_or_empty()).alias("digest")), "digests")
-    groups = stage(rows.groupBy("digest").agg(F.max("doc_id").alias("own"), F.count("*").alias("own_n")),
-                   "digest-groups")
     if history is None:
-        history = groups.select("digest", F.col("own").alias("winner"), F.col("own_n").alias("n"))
-        seen = F.col("n")
+        half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+        earlier = _groups(rows.filter(half == 0)).select("digest", F.col("own").alias("winner"), F.col("own_n").alias("n"))
+        known = update_history(earlier, _groups(rows.filter(half == 1)))
+        resolved = known.select("digest", F.col("winner").alias("keep_id"), F.col("n").alias("group_size"))
     else:
-        seen = F.col("n") + F.col("own_n")
-    found = lookup(groups, build_index(history))
-    resolved = stage(found.select(
-        "digest", F.when(F.col("n").isNull(), F.col("own")).otherwise(F.col("winner")).alias("keep_id"),
-        F.coalesce(seen, F.col("own_n")).alias("group_size")), "digest-winners")
+        found = lookup(_groups(rows), build_index(history))
+        resolved = stage(found.select(
+            "digest", F.when(F.col("n").isNull(), F.col("own")).otherwise(F.col("winner")).alias("keep_id"),
+            (F.coalesce("n", F.lit(0)) + F.col("own_n")).alias("group_size")), "digest-winners")
     return rows.join(resolved, "digest", "left").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.col("digest").alias("text_sha256"))

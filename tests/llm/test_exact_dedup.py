@@ -30,6 +30,24 @@ def test_history_names_the_winner_and_nonmembers_group_apart(spark):
     assert got == {1000: (7, 3, False), 1001: (1002, 2, False), 1002: (1002, 2, True), 1003: (499, 3, False), 1004: (1004, 1, True)}
 
 
+def test_history_grows_by_members_and_nonmembers(spark):
+    history = spark.createDataFrame([(sha("a"), 5, 2), (sha("b"), 9, 1), (sha("n"), None, 1)], "digest string, winner long, n long")
+    groups = spark.createDataFrame([(sha("a"), 7, 3), (sha("b"), 3, 1), (sha("c"), 4, 2), (sha("n"), None, 2)], "digest string, own long, own_n long")
+    got = {r.digest: (r.winner, r.n) for r in X.update_history(history, groups).collect()}
+    assert got == {sha("a"): (7, 5), sha("b"): (9, 2), sha("c"): (4, 2), sha("n"): (None, 3)}
+    none = X.update_history(history.limit(0), groups)
+    assert {r.digest: (r.winner, r.n) for r in none.collect()} == {sha("a"): (7, 3), sha("b"): (3, 1), sha("c"): (4, 2), sha("n"): (None, 2)}
+
+
+def test_both_halves_hold_members_and_nonmembers(spark):
+    texts = [f"t{k % 170}" for k in range(400)] + ["hot"] * 200
+    want = {}
+    for k, t in enumerate(texts):
+        want.setdefault(t, []).append(k)
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in X.exact_dedup(documents(spark, texts)).collect()}
+    assert got == {k: (max(want[t]), len(want[t]), k == max(want[t])) for k, t in enumerate(texts)}
+
+
 def test_lookup_compares_all_bytes(spark, monkeypatch):
     monkeypatch.setattr(X, "BUCKET_KEYS", 64)
     keys = [sha(str(k)) for k in range(1000)]
