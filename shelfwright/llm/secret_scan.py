@@ -27,6 +27,10 @@ from pyspark.sql import functions as F
 from ..operators._joins import maybe_among
 from ._common import as_row, stage, text_or_empty
 
+#: Bits of the bitmap of blobs to scan (8 MB), broadcast at every size.  With far
+#: more blobs than bits it lets most texts through, and the join still decides.
+BITMAP_BITS = 1 << 26
+
 LEDGER_SCHEMA = ("blob string, rule string, version int, "
                  "spans array<struct<start:int,end:int>>")
 
@@ -98,7 +102,7 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None,
         lacking = stage(hashed.select("blob").distinct().join(seen, "blob", "left").select(
             "blob", F.array_except(F.array(*map(F.lit, names)), F.coalesce("seen", F.array().cast("array<string>"))).alias("lacks"))
             .filter("size(lacks) > 0"), "blobs-to-scan")
-        todo = (maybe_among(hashed, lacking, ["blob"]).groupBy("blob").agg(F.first("text").alias("text"))
+        todo = (maybe_among(hashed, lacking, ["blob"], BITMAP_BITS).groupBy("blob").agg(F.first("text").alias("text"))
                 .join(lacking, "blob"))
         wanted = [F.array_contains("lacks", name) for name in names]
     found = F.array(*(F.when(w, F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version"),
