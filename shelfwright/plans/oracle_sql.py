@@ -326,7 +326,8 @@ SELECT count(*) AS total, count(*) FILTER (WHERE bl) AS blacklisted, count(*) FI
     WHEN 3 THEN 'iso-8859-5' WHEN 4 THEN 'utf-8' WHEN 5 THEN 'big5' ELSE 'utf-8' END AS encoding,
   doc_id % 8 <> 5 AS supported
 FROM documents"""
-    o["recode_charsets"] = WITH + f"SELECT doc_id, {_recode_case('title')} AS recoded FROM book_src"
+    o["recode_charsets"] = f"""SELECT doc_id, {_recode_case('latin')} AS recoded
+FROM (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x{{FF}}]', '?', 'g') AS latin FROM documents)"""
     o["wellformed"] = "SELECT doc_id, doc_id % 5 <> 0 AS ok FROM documents"
     o["fb2_roundtrip"] = WITH + """SELECT b.doc_id, nullif(trim(b.title), '') AS title, b.ext_id, b.version, b.lang, b.genre,
   coalesce(a.ids, '') AS author_ids

@@ -392,8 +392,11 @@ def declared_encoding_q(spark: SparkSession, d: str) -> DataFrame:
 
 
 def recode_charsets(spark: SparkSession, d: str) -> DataFrame:
-    src = X.book_src(spark, d)
-    raw = F.encode(F.col("title"), "ISO-8859-1")
+    """B2 over whole texts: each is stored as a single-byte file (what Latin-1
+    lacks as ``?``) and decoded in one of the charsets."""
+    src = X.table(spark, d, "documents").select(
+        "doc_id", F.encode(F.regexp_replace("text", r"[^\x00-\xFF]", "?"), "ISO-8859-1").alias("raw"))
+    raw = F.col("raw")
     m = F.col("doc_id") % 6
     out = None
     for i, cs in enumerate(CHARSETS):
