@@ -62,21 +62,24 @@ def resolve_aliases(books: DataFrame, aliases: DataFrame | None, key: str = "pat
     """E2 + E3: replace every author whose key is an alias by the canonical
     person (one hop, no chains), then drop repeated authors of a book.
 
-    Books are exploded with their position, left-joined to the alias table
-    (broadcast when its size is proven small) and regrouped by ``key``.  All
-    rows of a book come from one input row, so the regrouping is fully
-    combined map-side and the shuffle carries one row per book.
+    Only ``(key, author id)`` is exploded and joined to the alias table
+    (broadcast when its size is proven small); what comes back to a book are
+    its hits, so a book without one is never exploded or regrouped and no other
+    column is carried twice.  Hits are keyed by author id, so books that repeat
+    a ``key`` stay apart.
     """
     if aliases is None:
         return books.withColumn(authors, dedupe_authors(F.col(authors)))
-    others = [c for c in books.columns if c not in (key, authors)]
-    ex = books.select(key, *others, F.posexplode_outer(authors).alias("_pos", "_a"))
+    ids = (books.select(F.col(key).alias("_key"), F.explode(F.transform(F.col(authors), lambda a: a["id"])).alias("_id")))
     al = bounded_broadcast(aliases.select(F.col("alias_key"), F.col("canonical").alias("_canon")))
-    j = ex.join(al, ex["_a.id"] == al["alias_key"], "left")
-    person = F.when(F.col("_canon").isNotNull(), F.col("_canon")).otherwise(F.col("_a"))
-    item = F.struct(F.col("_pos"), person.alias("p"))
-    g = (j.groupBy(key)
-         .agg(*[F.any_value(c).alias(c) for c in others],
-              F.array_sort(F.collect_list(F.when(F.col("_a").isNotNull(), item))).alias("_items")))
-    resolved = F.transform(F.col("_items"), lambda s: s["p"]).cast(T.ArrayType(PERSON))
-    return g.select(key, *others, dedupe_authors(resolved).alias(authors)).select(*books.columns)
+    hits = (ids.join(al, ids["_id"] == al["alias_key"])
+            .groupBy("_key").agg(F.collect_list(F.struct("_id", "_canon")).alias("_hits")))
+    joined = books.join(hits, books[key] == hits["_key"], "left")
+
+    def canonical(a: Column) -> Column:
+        hit = F.get(F.filter(F.col("_hits"), lambda h: h["_id"] == a["id"]), 0)
+        return F.coalesce(hit["_canon"], a)
+
+    resolved = F.when(F.col("_hits").isNull(), F.col(authors)).otherwise(
+        F.transform(F.coalesce(F.col(authors), F.array()), canonical).cast(T.ArrayType(PERSON)))
+    return joined.select(*[dedupe_authors(resolved).alias(c) if c == authors else books[c] for c in books.columns])

@@ -70,9 +70,16 @@ def empty_catalog(spark: SparkSession) -> Catalog:
 
 # ---------------------------------------------------------------- build
 
-def first_seen_books(parsed: DataFrame) -> DataFrame:
-    """Accepted books with their digest, first file per digest kept (F1+F2)."""
-    return dedupe_books(with_digest(parsed))
+#: What the three tables take from a parsed book, beside its digest.
+_PERSON_COLUMNS = ("path", "authors")
+_BOOK_COLUMNS = ("path", "ext_id", "version", "title", "encoding", "lang", "genre", "filename")
+
+
+def first_seen_books(parsed: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame:
+    """Accepted books with their digest, first file per digest kept (F1+F2).
+    ``columns`` limits what is carried through the shuffle."""
+    books = with_digest(parsed)
+    return dedupe_books(books.select("digest", *columns) if columns else books)
 
 
 def books_rows(deduped: DataFrame) -> DataFrame:
@@ -108,26 +115,30 @@ def links_rows(deduped: DataFrame) -> DataFrame:
                     LINKS_SCHEMA)
 
 
-def build_catalog(parsed: DataFrame) -> Catalog:
+def build_catalog(parsed: DataFrame, once: bool = True) -> Catalog:
     """G1-G3 from accepted, alias-resolved books (one row per file).
 
-    The deduped books feed three tables, so the caller should ``persist``
-    ``parsed`` when the three are written in one go.
+    The first-seen books feed three tables, so they are written once to the
+    shared checkpoint folder and the dedupe's shuffle runs once.  With ``once``
+    false nothing runs yet and each table has its own dedupe, which carries only
+    that table's columns: for callers that read one table.
     """
-    d = first_seen_books(parsed)
+    if not once:
+        return Catalog(build_books(parsed), build_persons(parsed), build_links(parsed))
+    d = written(first_seen_books(parsed, tuple(dict.fromkeys(_BOOK_COLUMNS + _PERSON_COLUMNS))), "first-seen")
     return Catalog(books_rows(d), persons_rows(d), links_rows(d))
 
 
 def build_books(parsed: DataFrame) -> DataFrame:
-    return books_rows(first_seen_books(parsed))
+    return books_rows(first_seen_books(parsed, _BOOK_COLUMNS))
 
 
 def build_persons(parsed: DataFrame) -> DataFrame:
-    return persons_rows(first_seen_books(parsed))
+    return persons_rows(first_seen_books(parsed, _PERSON_COLUMNS))
 
 
 def build_links(parsed: DataFrame) -> DataFrame:
-    return links_rows(first_seen_books(parsed))
+    return links_rows(first_seen_books(parsed, _PERSON_COLUMNS))
 
 
 # ------------------------------------------------------------- upsert

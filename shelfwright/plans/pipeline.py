@@ -92,7 +92,7 @@ def index(files: DataFrame, aliases: DataFrame | None = None, blacklist: DataFra
         meta = meta.persist()
     ok, rejects = split_accepted(meta)
     books = resolve_aliases(ok, aliases)
-    out = build_catalog(books) if catalog is None else upsert(catalog, books)
+    out = build_catalog(books, once=persist) if catalog is None else upsert(catalog, books)
     return out, rejects.select("path", "basename", "reject_reason")
 
 

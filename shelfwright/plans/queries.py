@@ -102,37 +102,37 @@ def _base(spark: SparkSession, d: str) -> DataFrame:
     return X.cat_parsed_base(spark, d).persist()
 
 
-def _existing(spark: SparkSession, d: str, base: DataFrame | None = None) -> G.Catalog:
+def _existing(spark: SparkSession, d: str, base: DataFrame | None = None, once: bool = True) -> G.Catalog:
     base = base if base is not None else _base(spark, d)
-    return G.build_catalog(X.cat_variant(base, "existing").filter(F.col("book_no") % 2 == 0))
+    return G.build_catalog(X.cat_variant(base, "existing").filter(F.col("book_no") % 2 == 0), once)
 
 
-def _batch(spark: SparkSession, d: str, base: DataFrame | None = None) -> G.Catalog:
+def _batch(spark: SparkSession, d: str, base: DataFrame | None = None, once: bool = True) -> G.Catalog:
     base = base if base is not None else _base(spark, d)
-    return G.build_catalog(X.cat_variant(base, "batch"))
+    return G.build_catalog(X.cat_variant(base, "batch"), once)
 
 
-def _both(spark: SparkSession, d: str) -> tuple[G.Catalog, G.Catalog, DataFrame]:
+def _both(spark: SparkSession, d: str, once: bool = True) -> tuple[G.Catalog, G.Catalog, DataFrame]:
     """Existing and batch catalogues from one persisted parse of the orders
     (both are derived from it by projection)."""
     base = _base(spark, d)
-    return _existing(spark, d, base), _batch(spark, d, base), base
+    return _existing(spark, d, base, once), _batch(spark, d, base, once), base
 
 
 def upsert_books(spark: SparkSession, d: str) -> DataFrame:
-    cat, batch, _ = _both(spark, d)
+    cat, batch, _ = _both(spark, d, once=False)
     new = G.upsert_books(cat.books, batch, small_batch=False)   # bulk load: all keys
     return cat.books.unionByName(new).select("id", "digest", "title", "encoding", "filename")
 
 
 def upsert_persons(spark: SparkSession, d: str) -> DataFrame:
-    cat, batch, _ = _both(spark, d)
+    cat, batch, _ = _both(spark, d, once=False)
     new = G.upsert_persons(cat.persons, batch, small_batch=False)
     return cat.persons.unionByName(new).select("id", "normalized_name", "first_name")
 
 
 def upsert_links(spark: SparkSession, d: str) -> DataFrame:
-    cat, batch, _ = _both(spark, d)
+    cat, batch, _ = _both(spark, d, once=False)
     return cat.links.unionByName(G.upsert_links(cat.links, batch, small_batch=False))
 
 
@@ -141,11 +141,11 @@ def find_person(spark: SparkSession, d: str) -> DataFrame:
     sup = X.table(spark, d, "supplier")
     first = F.translate(F.split_part(F.col("s_name"), F.lit("#"), F.lit(2)), X.DIGITS, X.DIGIT_LETTERS)
     wanted = sup.select(person_key(F.lit("Supplier"), first, F.lit(None).cast("string")).alias("id"))
-    return G.find_persons(_existing(spark, d).persons, wanted, "id")
+    return G.find_persons(_existing(spark, d, once=False).persons, wanted, "id")
 
 
 def find_book(spark: SparkSession, d: str) -> DataFrame:
-    cat, batch, _ = _both(spark, d)
+    cat, batch, _ = _both(spark, d, once=False)
     return G.find_books(cat.books, batch.books.select("digest"))
 
 
@@ -201,7 +201,7 @@ def catalog_integrity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def search_titles(spark: SparkSession, d: str) -> DataFrame:
-    return G.search_titles(_batch(spark, d).books, "Order bc")
+    return G.search_titles(_batch(spark, d, once=False).books, "Order bc")
 
 
 # ---------------------------------------------------------------- H
