@@ -56,16 +56,20 @@ _NORM = r"""trim(regexp_replace(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ab
 
 _OP1 = f"""
 WITH RECURSIVE m AS (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations),
-own AS (SELECT conv_id, turn, {_NORM.format('x')} AS norm FROM (
+w AS (SELECT conv_id, turn, text, string_split({_NORM.format('text')}, ' ') AS words FROM m),
+whole AS (SELECT conv_id, turn, unnest(CASE WHEN len(words) <= 5 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS piece FROM w),
+lines AS (SELECT conv_id, turn, {_NORM.format('x')} AS piece FROM (
   SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS x FROM m)),
-firsts AS (SELECT conv_id, norm, min(turn) AS turn FROM own WHERE norm <> '' GROUP BY ALL),
-quoted AS (SELECT m.conv_id, m.turn, q.level, o.norm FROM m, (VALUES (1), (2)) AS q(level)
-  JOIN own o ON true WHERE o.conv_id = m.conv_id AND o.turn = m.turn - q.level AND o.norm <> ''),
-votes AS (SELECT q.conv_id, q.turn, q.level, f.turn AS reply_turn, sum(length(q.norm)) AS size
-  FROM quoted q JOIN firsts f ON f.conv_id = q.conv_id AND f.norm = q.norm GROUP BY ALL),
+own AS (SELECT conv_id, turn, piece FROM whole UNION SELECT conv_id, turn, piece FROM lines WHERE len(string_split(piece, ' ')) < 5),
+firsts AS (SELECT conv_id, piece, min(turn) AS turn FROM own WHERE piece <> '' GROUP BY ALL),
+quoted AS (SELECT DISTINCT m.conv_id, m.turn, q.level, o.piece FROM m, (VALUES (1), (2)) AS q(level)
+  JOIN whole o ON true WHERE o.conv_id = m.conv_id AND o.turn = m.turn - q.level AND o.piece <> ''),
+votes AS (SELECT q.conv_id, q.turn, q.level, f.turn AS reply_turn, sum(length(q.piece)) AS size
+  FROM quoted q JOIN firsts f ON f.conv_id = q.conv_id AND f.piece = q.piece GROUP BY ALL),
 best AS (SELECT conv_id, turn, reply_turn FROM votes
   QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, size DESC, reply_turn) = 1),
-totals AS (SELECT conv_id, turn, max(level) AS max_level, count(*) AS n FROM quoted GROUP BY ALL),
+totals AS (SELECT conv_id, turn, max(level) AS max_level, count(DISTINCT level) AS n FROM quoted GROUP BY ALL),
 chain AS (SELECT conv_id, turn, turn AS thread_turn, 0 AS depth FROM m
     WHERE NOT EXISTS (SELECT 1 FROM best b WHERE b.conv_id = m.conv_id AND b.turn = m.turn)
   UNION ALL SELECT b.conv_id, b.turn, c.thread_turn, c.depth + 1 FROM best b

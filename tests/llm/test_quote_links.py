@@ -42,3 +42,23 @@ def test_mail_quotes_two_levels(spark):
     df = spark.createDataFrame([(1, 0, "a\nb"), (1, 1, "c"), (1, 2, "d")], "conv_id long, turn long, text string")
     got = {r.turn: r.text for r in Q.as_mail(df).collect()}
     assert got[0] == "a\nb" and got[2] == "On turn 1 they wrote:\n> > a\n> > b\n> c\nd"
+
+
+def test_quotes_wrapped_anew(spark):
+    said = "the quick brown fox jumps over\nthe lazy dog and\nruns far away"
+    got = links(spark, [
+        (1, 0, said), (1, 1, "> The quick brown\n> fox jumps over the lazy dog and runs\n> far away\nno"),
+        (1, 2, "> jumps over the lazy dog\n>\n> > and runs far\n> nothing of this was ever said\nlast"), (2, 0, "> dog and runs far\nshort")])
+    assert [got[1, k].reply_turn for k in range(3)] == [None, 0, 0]
+    assert (got[1, 1].n_quoted, got[1, 1].n_linked) == (1, 1)
+    assert (got[1, 2].n_quoted, got[1, 2].n_linked, got[1, 2].max_level) == (3, 1, 2)
+    assert got[2, 0].reply_turn is None
+
+
+def test_mail_wraps_a_share_of_its_quotes(spark):
+    said = " ".join(f"w{k}" for k in range(20))
+    df = spark.createDataFrame([(c, t, said) for c in range(20) for t in (0, 1)], "conv_id long, turn long, text string")
+    mail = [r.text for r in Q.as_mail(df).filter("turn = 1").collect()]
+    anew = sum("\n> w9 " in t for t in mail)
+    assert 0 < anew < 20 and all(f"> {said}\n" in t or "\n> w9 " in t for t in mail)
+    assert all(r.reply_turn == 0 and r.n_linked == 1 for r in Q.link_quotes(Q.as_mail(df)).collect() if r.turn == 1)
