@@ -56,15 +56,18 @@ _NORM = r"""trim(regexp_replace(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ab
 
 _OP1 = f"""
 WITH RECURSIVE m AS (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations),
-w AS (SELECT conv_id, turn, text, string_split({_NORM.format('text')}, ' ') AS words FROM m),
-whole AS (SELECT conv_id, turn, unnest(CASE WHEN len(words) <= 5 THEN [array_to_string(words, ' ')]
-    ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS piece FROM w),
-lines AS (SELECT conv_id, turn, {_NORM.format('x')} AS piece FROM (
-  SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS x FROM m)),
-own AS (SELECT conv_id, turn, piece FROM whole UNION SELECT conv_id, turn, piece FROM lines WHERE len(string_split(piece, ' ')) < 5),
+w AS (SELECT conv_id, turn, {_NORM.format('text')} AS norm, string_split(text, chr(10)) AS said,
+  string_split({_NORM.format('text')}, ' ') AS words FROM m),
+parts AS (SELECT conv_id, turn, list_prepend(norm, string_split(regexp_replace(norm, '([.!?])\\x20', '\\1' || chr(10), 'g'), chr(10))) AS whole,
+  list_transform(said, lambda x: {_NORM.format('x')}) AS lines,
+  CASE WHEN len(list_filter(said, lambda x: len(string_split(x, ' ')) > 9)) > 0 THEN list_transform(
+    range(0, CAST(ceil(len(words) / 9) AS BIGINT)), lambda i: array_to_string(words[i * 9 + 1:i * 9 + 9], ' ')) END AS anew FROM w),
+own AS (SELECT conv_id, turn, unnest(list_concat(whole, lines)) AS piece FROM parts),
 firsts AS (SELECT conv_id, piece, min(turn) AS turn FROM own WHERE piece <> '' GROUP BY ALL),
-quoted AS (SELECT DISTINCT m.conv_id, m.turn, q.level, o.piece FROM m, (VALUES (1), (2)) AS q(level)
-  JOIN whole o ON true WHERE o.conv_id = m.conv_id AND o.turn = m.turn - q.level AND o.piece <> ''),
+quotes AS (SELECT m.conv_id, m.turn, q.level, unnest(list_concat(o.whole, CASE WHEN (m.conv_id + m.turn) % 2 = 0
+    THEN coalesce(o.anew, o.lines) ELSE o.lines END)) AS piece
+  FROM m, (VALUES (1), (2)) AS q(level) JOIN parts o ON true WHERE o.conv_id = m.conv_id AND o.turn = m.turn - q.level),
+quoted AS (SELECT DISTINCT conv_id, turn, level, piece FROM quotes WHERE piece <> ''),
 votes AS (SELECT q.conv_id, q.turn, q.level, f.turn AS reply_turn, sum(length(q.piece)) AS size
   FROM quoted q JOIN firsts f ON f.conv_id = q.conv_id AND f.piece = q.piece GROUP BY ALL),
 best AS (SELECT conv_id, turn, reply_turn FROM votes

@@ -4,15 +4,14 @@ A message's lines carry their quote level, the number of ``>`` they start
 with; level 0 is the message's own text.  Consecutive lines of one level are
 a passage: without their marks they are joined and normalised (A-Z
 lower-cased, white space collapsed), so a quote that a mail program has
-wrapped anew is the same passage.  Its pieces are hashed: every
-``PASSAGE_WORDS`` consecutive words, or the whole of a shorter passage.  Own
-lines of fewer words are pieces as well, so that a short line quoted alone is
-found.  A piece's original is the first message of the same conversation that
+wrapped anew is the same passage.  Its pieces are hashed: the whole
+passage, its sentences (up to ``.``, ``!`` or ``?`` before a blank) and its lines.
+A piece's original is the first message of the same conversation that
 has it in its own text, and is earlier; failing that, the first such message
 anywhere.  Of the originals at a message's lowest linked quote level the one
 with most quoted characters (over distinct pieces) is what it replies to
-(ties: the earlier message).  A shorter quote taken from the middle of a
-longer line or across lines is linked only if it has that many words.  Reply
+(ties: the earlier message).  A quote that is cut inside its sentences and
+lines is not linked.  Reply
 chains are followed to their first message by pointer doubling, which gives
 each message its thread and depth; ordered by depth and turn, a thread is a
 conversation in reply order, and ``own_text`` has no quotes or attribution
@@ -37,8 +36,6 @@ from ._common import stage, text_or_empty, unstage
 
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _MARKS = r"^[>\x20]*>"
-#: Words of a hashed piece of a passage.
-PASSAGE_WORDS = 5
 #: Words a line of the quotes that :func:`as_mail` wraps anew.
 WRAP_WORDS = 9
 
@@ -67,26 +64,22 @@ def run_starts(lines: Column) -> Column:
 
 
 def passages(lines: Column, starts: Column) -> Column:
-    """Array of (level, words, short) of the runs of lines of one level that
-    have words; ``short`` has the own lines of under ``PASSAGE_WORDS`` words."""
+    """Array of (level, lines, whole) of the runs of lines of one level that
+    have words, normalised."""
 
     def passage(start: Column, k: Column) -> Column:
         run = F.slice(lines, start + 1, F.coalesce(F.get(starts, k + 1), F.size(lines)) - start)
         held = F.filter(F.transform(run, lambda x: normalised(x["content"])), lambda x: x != "")
-        level = F.get(lines, start)["level"]
-        short = F.filter(held, lambda x: (level == 0) & (F.size(F.split(x, " ")) < PASSAGE_WORDS))
-        return F.struct(level.alias("level"), F.split(F.array_join(held, " "), " ").alias("words"), short.alias("short"))
+        return F.struct(F.get(lines, start)["level"].alias("level"), held.alias("lines"), F.array_join(held, " ").alias("whole"))
 
-    return F.filter(F.transform(starts, passage), lambda p: F.get(p["words"], 0) != "")
+    return F.filter(F.transform(starts, passage), lambda p: p["whole"] != "")
 
 
-def pieces(words: Column, short: Column) -> Column:
-    """Distinct (hash, size) of a passage's pieces and short lines."""
-    k = PASSAGE_WORDS
-    runs = F.when(F.size(words) <= k, F.array(F.array_join(words, " "))).otherwise(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(words) - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, k), " ")))
-    return F.array_distinct(F.transform(F.concat(runs, short), lambda x: F.struct(
-        F.unhex(F.md5(x)).alias("hash"), F.length(x).alias("size"))))
+def pieces(whole: Column, lines: Column) -> Column:
+    """Distinct (hash, size) of a passage, its sentences and its lines."""
+    sentences = F.split(F.regexp_replace(whole, r"([.!?])\x20", "$1\n"), "\n")
+    return F.transform(F.array_distinct(F.concat(F.array(whole), sentences, lines)), lambda x: F.struct(
+        F.unhex(F.md5(x)).alias("hash"), F.length(x).alias("size")))
 
 
 def own_text(lines: Column) -> Column:
@@ -119,7 +112,7 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     # a generator below each use keeps what lambdas read from being inlined into them
     runs = evaluate_once(texts, "starts", run_starts(F.col("lines")))
     passage = stage(runs.select("mid", "conv_id", "turn", F.posexplode(passages(F.col("lines"), F.col("starts"))).alias("place", "p")), "passages")
-    piece = (passage.select("mid", "conv_id", "turn", "place", "p.level", F.explode(pieces(F.col("p.words"), F.col("p.short"))).alias("piece"))
+    piece = (passage.select("mid", "conv_id", "turn", "place", "p.level", F.explode(pieces(F.col("p.whole"), F.col("p.lines"))).alias("piece"))
              .select("mid", "conv_id", "turn", "place", "level", "piece.hash", "piece.size"))
     # struct order: the earliest message first
     who = F.struct("turn", "conv_id", "mid")
@@ -166,7 +159,7 @@ def as_mail(turns: DataFrame) -> DataFrame:
     def quoted(side: str, marks: str) -> Column:
         words, kept = F.col(f"{side}.words"), F.split(F.col(f"{side}.said"), "\n")
         long = F.exists(kept, lambda x: F.size(F.split(x, " ")) > WRAP_WORDS)
-        wraps = long & (F.pmod(F.xxhash64("conv_id", "turn"), F.lit(2)) == 0)
+        wraps = long & (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(2)) == 0)
         last = F.greatest(F.ceil(F.size(words) / WRAP_WORDS).cast("int") - 1, F.lit(0))
         anew = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(words, i * WRAP_WORDS + 1, WRAP_WORDS), " "))
         lines = F.when(wraps, anew).otherwise(kept)

@@ -45,10 +45,10 @@ def test_mail_quotes_two_levels(spark):
 
 
 def test_quotes_wrapped_anew(spark):
-    said = "the quick brown fox jumps over\nthe lazy dog and\nruns far away"
+    said = "the quick brown fox jumps over\nthe lazy dog. It\nruns far away"
     got = links(spark, [
-        (1, 0, said), (1, 1, "> The quick brown\n> fox jumps over the lazy dog and runs\n> far away\nno"),
-        (1, 2, "> jumps over the lazy dog\n>\n> > and runs far\n> nothing of this was ever said\nlast"), (2, 0, "> dog and runs far\nshort")])
+        (1, 0, said), (1, 1, "> The quick brown\n> fox jumps over the lazy dog. It runs\n> far away\nno"),
+        (1, 2, "> It\n>\n> runs far  away\n> > and runs far\n> nothing of this was ever said\nlast"), (2, 0, "> dog. It runs\nshort")])
     assert [got[1, k].reply_turn for k in range(3)] == [None, 0, 0]
     assert (got[1, 1].n_quoted, got[1, 1].n_linked) == (1, 1)
     assert (got[1, 2].n_quoted, got[1, 2].n_linked, got[1, 2].max_level) == (3, 1, 2)
