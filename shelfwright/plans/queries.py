@@ -20,7 +20,7 @@ from ..operators.metadata import book_metadata, check_wellformed
 from ..operators.organize import destination, move_plan, unique_destination
 from ..session import scratch_path, written
 from ..sources.archives import explode_archives
-from ..sources.library import (append_blacklist, compact_catalog, delete_from_catalog, read_blacklist, read_catalog, read_files,
+from ..sources.library import (BY_AUTHOR_SCHEMA, append_blacklist, compact_catalog, delete_from_catalog, read_blacklist, read_catalog, read_files,
                                scan_library, write_by_author, write_catalog)
 from . import fixtures as X
 from .pipeline import extract, extracted, index, parse_library, summary, validate
@@ -239,10 +239,12 @@ def move_plan_q(spark: SparkSession, d: str) -> DataFrame:
 def by_author_sink(spark: SparkSession, d: str) -> DataFrame:
     """The planned layout written by author and read back."""
     text = X.table(spark, d, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content"))
-    plan = unique_destination(_plan(spark, d), TARGET).select("doc_id", "path", "author_dir", "unique_name", "suffix")
+    # names only; they are read several times to be ranked, and twice to be dealt
+    named = written(_plan(spark, d).select("doc_id", "path", "author_dir", "dest_name", "suffix", "dest"), "destinations")
+    plan = written(unique_destination(named, TARGET).select("doc_id", "path", "author_dir", "unique_name", "suffix"), "by-author-plan")
     root = scratch_path(spark, "by-author")
     write_by_author(plan.join(text, "doc_id"), root)
-    back = spark.read.schema("file_name string, source string, content binary, author_dir string").parquet(root)
+    back = spark.read.schema(BY_AUTHOR_SCHEMA).parquet(root)
     return back.select("author_dir", "file_name", "source", F.sha2("content", 256).alias("sha"))
 
 

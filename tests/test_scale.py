@@ -133,6 +133,29 @@ def test_by_author_writes_few_files(spark, tmp_dir, monkeypatch):
     assert 2 <= len(busy) <= 4 and spark.read.parquet(f"{tmp_dir}/many").count() == 400
 
 
+def test_many_authors_share_folders(spark, tmp_dir, monkeypatch):
+    from shelfwright.sources import library as L
+    monkeypatch.setattr(L, "AUTHOR_FOLDERS", 20)
+    monkeypatch.setattr(L, "AUTHOR_BUCKETS", 4)
+    plan = spark.range(400).repartition(8).select(
+        F.concat(F.lit("p"), F.col("id")).alias("path"), F.when(F.col("id") < 200, "Busy").otherwise(F.concat(F.lit("A/ "), F.col("id"))).alias("author_dir"),
+        F.concat(F.lit("t"), F.col("id")).alias("unique_name"), F.lit(".fb2").alias("suffix"), F.encode(F.repeat(F.col("id").cast("string"), F.lit(300)), "UTF-8").alias("content"))
+    wanted = sorted((r.author_dir, f"{r.unique_name}.fb2", r.path, bytes(r.content)) for r in plan.collect())
+    held = lambda root: sorted((r.author_dir, r.file_name, r.source, bytes(r.content))
+                               for r in spark.read.schema(L.BY_AUTHOR_SCHEMA).parquet(root).collect())
+    write_by_author(plan, f"{tmp_dir}/one")
+    files = [f for d, _, fs in os.walk(f"{tmp_dir}/one") for f in fs if f.endswith(".parquet")]
+    assert len(files) == 4 and held(f"{tmp_dir}/one") == wanted
+    few = plan.filter("author_dir = 'Busy'")  # goes on as it was begun
+    write_by_author(few, f"{tmp_dir}/one", mode="append")
+    assert sum(f.startswith("author_bucket=") for f in os.listdir(f"{tmp_dir}/one")) == 4
+    assert len(held(f"{tmp_dir}/one")) == 600
+    monkeypatch.setattr(L, "AUTHOR_FILE_BYTES", 40_000)  # a prolific author still has several files
+    write_by_author(plan, f"{tmp_dir}/many")
+    busy = spark.read.schema(L.BY_AUTHOR_SCHEMA).parquet(f"{tmp_dir}/many").filter("author_dir = 'Busy'")
+    assert busy.select(F.input_file_name()).distinct().count() >= 2 and held(f"{tmp_dir}/many") == wanted
+
+
 def test_stream_leaves_nothing_cached(spark, tmp_dir):
     from shelfwright.streaming.library_stream import stream_library
     lib, root = os.path.join(tmp_dir, "lib"), os.path.join(tmp_dir, "cat")
