@@ -108,24 +108,30 @@ def persons_rows(deduped: DataFrame) -> DataFrame:
 
 
 def links_rows(deduped: DataFrame) -> DataFrame:
-    """Distinct (book_id, person_id) pairs."""
-    occ = _author_occurrences(deduped)
-    return _conform(occ.select(hex_id(F.col("digest")).alias("book_id"),
-                               stable_id(F.col("a.id")).alias("person_id")).distinct(),
-                    LINKS_SCHEMA)
+    """Distinct (book_id, person_id) pairs.  A digest has one row, so a
+    book's pairs all come from one list and nothing is shuffled to compare
+    them with other books'."""
+    deduped = deduped if "person_ids" in deduped.columns else _with_ids(deduped)
+    return _conform(deduped.select("book_id", F.explode("person_ids").alias("person_id")), LINKS_SCHEMA)
+
+
+def _with_ids(deduped: DataFrame) -> DataFrame:
+    people = F.array_distinct(F.transform("authors", lambda a: stable_id(a["id"])))
+    return deduped.withColumns({"book_id": hex_id(F.col("digest")), "person_ids": people})
 
 
 def build_catalog(parsed: DataFrame, once: bool = True) -> Catalog:
     """G1-G3 from accepted, alias-resolved books (one row per file).
 
     The first-seen books feed three tables, so they are written once to the
-    shared checkpoint folder and the dedupe's shuffle runs once.  With ``once``
+    shared checkpoint folder, with the ids of the links, and the dedupe's
+    shuffle runs once.  With ``once``
     false nothing runs yet and each table has its own dedupe, which carries only
     that table's columns: for callers that read one table.
     """
     if not once:
         return Catalog(build_books(parsed), build_persons(parsed), build_links(parsed))
-    d = written(first_seen_books(parsed, tuple(dict.fromkeys(_BOOK_COLUMNS + _PERSON_COLUMNS))), "first-seen")
+    d = written(_with_ids(first_seen_books(parsed, tuple(dict.fromkeys(_BOOK_COLUMNS + _PERSON_COLUMNS)))), "first-seen")
     return Catalog(books_rows(d), persons_rows(d), links_rows(d))
 
 

@@ -98,8 +98,9 @@ def build_links(spark: SparkSession, d: str) -> DataFrame:
 
 def _base(spark: SparkSession, d: str) -> DataFrame:
     """The orders parsed once per query: every catalogue table of the query
-    is derived from this persisted frame instead of re-running the joins."""
-    return X.cat_parsed_base(spark, d).persist()
+    is derived from this written table, of which each reads its columns,
+    instead of re-running the joins.  It takes no executor's memory."""
+    return written(X.cat_parsed_base(spark, d), "parsed-orders")
 
 
 def _existing(spark: SparkSession, d: str, base: DataFrame | None = None, once: bool = True) -> G.Catalog:
@@ -113,7 +114,7 @@ def _batch(spark: SparkSession, d: str, base: DataFrame | None = None, once: boo
 
 
 def _both(spark: SparkSession, d: str, once: bool = True) -> tuple[G.Catalog, G.Catalog, DataFrame]:
-    """Existing and batch catalogues from one persisted parse of the orders
+    """Existing and batch catalogues from one written parse of the orders
     (both are derived from it by projection)."""
     base = _base(spark, d)
     return _existing(spark, d, base, once), _batch(spark, d, base, once), base
