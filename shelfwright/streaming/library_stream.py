@@ -21,6 +21,7 @@ from ..plans.pipeline import _selected, parse_library
 from ..session import ensure_checkpoint_dir, scratch_path, scratch_scope, written
 from ..sources.library import BOOK_GLOB, read_catalog, write_catalog
 from ..sources.listing import tasks_can_open
+from ..sources.snapshots import table_files
 
 
 def _index_batch(catalog_root: str, aliases: DataFrame | None, blacklist: DataFrame | None,
@@ -87,6 +88,11 @@ def stream_library(spark: SparkSession, source: str | DataFrame, catalog_root: s
     return q
 
 
+def _most_files(spark: SparkSession, drops: str, batches: int) -> int:
+    """Files of the drop that has most."""
+    return max(len(table_files(spark, drops, f"drop={k:05d}")) for k in range(batches))
+
+
 def stream_index_documents(spark: SparkSession, d: str, batches: int = 4) -> Catalog:
     """Driver check: the rendered documents arrive in ``batches`` drops of
     parquet files, are indexed by the stream, and the final catalogue is
@@ -102,7 +108,9 @@ def stream_index_documents(spark: SparkSession, d: str, batches: int = 4) -> Cat
         (files.filter(F.col("doc_id") % batches == k).select("path", "content")
          .write.parquet(f"{drops}/drop={k:05d}"))
     schema = "path string, content binary"
+    # a drop has as many files as its documents had splits: one drop a trigger, however large
+    # it is, as each batch joins the catalogue so far
     stream = (spark.readStream.schema(schema).option("recursiveFileLookup", "true")
-              .option("maxFilesPerTrigger", "16").parquet(drops))
+              .option("maxFilesPerTrigger", str(max(16, _most_files(spark, drops, batches)))).parquet(drops))
     stream_library(spark, stream, catalog_root, ckpt)
     return read_catalog(spark, catalog_root)
