@@ -23,6 +23,7 @@ from ..functions._util import evaluate_once
 from ..functions.normalize import norm_title, person_key, trim_to_null
 from ..operators.aliases import dedupe_authors
 from ..operators.metadata import PERSON
+from ..session import bound_batches
 
 # Digits coded as letters (digits vanish in normalisation).
 DIGITS = "0123456789"
@@ -196,6 +197,7 @@ def zipped_where_named(raw: DataFrame) -> DataFrame:
     them as their one member."""
     from ..sources.archives import zip_single
 
+    bound_batches(raw.sparkSession)
     is_zip = F.col("path").endswith(".fb2.zip")
     inner = F.regexp_replace(F.regexp_extract(F.col("path"), r"([^/]*)$", 1), r"\.zip$", "")
     zipped = raw.withColumn("_zip", zip_single(F.when(is_zip, inner), F.when(is_zip, F.col("raw"))))
@@ -224,7 +226,7 @@ def cat_parsed_base(spark: SparkSession, d: str) -> DataFrame:
                                   F.lit("Supplier").alias("last_name")).alias("p"))
     authors = (links.join(persons, "person_no")
                .groupBy("book_no")
-               .agg(F.array_sort(F.collect_list(F.struct("person_no", "p"))).alias("_a"))
+               .agg(F.sort_array(F.collect_list(F.struct("person_no", "p"))).alias("_a"))
                .select("book_no", F.transform("_a", lambda s: s["p"]).cast(T.ArrayType(PERSON)).alias("authors")))
     key = F.col("o_orderkey").cast("string")
     books = orders.select(
@@ -265,13 +267,15 @@ def _store(path: str):
 
 def write_files(files: DataFrame, root: str) -> None:
     """Write ``(name, content)`` rows as the files ``root/name``."""
+    bound_batches(files.sparkSession)
+
     def run(batches):
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 store, path = _store(f"{root}/{name}")
                 store.create_dir(path.rsplit("/", 1)[0], recursive=True)
                 with store.open_output_stream(path) as f:
-                    f.write(content)
+                    f.write(content.as_buffer())
             yield batch.select([0])
 
     files.select("name", "content").mapInArrow(run, "name string").count()
@@ -304,5 +308,6 @@ def book_archives(spark: SparkSession, d: str) -> DataFrame:
             data[at] ^= 0xFF
         return pd.DataFrame({"name": [f"a{pdf['a'].iloc[0]:08d}.zip"], "content": [bytes(data)]})
 
+    bound_batches(spark)
     docs = table(spark, d, "documents").select("doc_id", "text", F.expr(f"doc_id DIV {ARCHIVE_BOOKS}").alias("a"))
     return docs.groupBy("a").applyInPandas(build, "name string, content binary")

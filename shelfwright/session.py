@@ -11,6 +11,17 @@ import threading
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of rows that Python gets at once.
+ARROW_BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Rows with whole texts or files go to Python in batches bounded by bytes
+    too, not by 10,000 rows alone: a worker holds several copies of a batch.
+    A bound that the session has already stays."""
+    if spark.conf.get(BATCH_CONF, None) is None:
+        spark.conf.set(BATCH_CONF, str(ARROW_BATCH_BYTES))
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import scratch_path
+from ..session import bound_batches, scratch_path
 
 BOOK_SUFFIX = ".fb2"
 
@@ -106,6 +106,7 @@ def open_books(files: DataFrame, path: str = "path", content: str = "content", u
     plain ``.fb2`` rows pass through; adds ``error`` (NULL when fine; one
     that is there already stays).  With ``until`` members are kept up to that
     marker only, unless something before it may hide it."""
+    bound_batches(files.sparkSession)
     if "error" not in files.columns:
         files = files.withColumn("error", F.lit(None).cast("string"))
     names = files.columns
@@ -149,7 +150,7 @@ def open_books(files: DataFrame, path: str = "path", content: str = "content", u
 
 #: Bytes of an archive that one task slice covers, and inflated bytes that a
 #: task hands over at once.
-SLICE_BYTES, BATCH_BYTES = 64 << 20, 16 << 20
+SLICE_BYTES, BATCH_BYTES = 64 << 20, 4 << 20
 
 MEMBERS = "archive string, member_path string, basename string, size long, slice long, error string"
 MEMBER_BYTES = "archive string, member_path string, basename string, content binary, error string"
